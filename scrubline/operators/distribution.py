@@ -49,11 +49,17 @@ def plan_bins(df: DataFrame, col: str) -> tuple[Moments, Bins]:
 def histogram(df: DataFrame, col: str, bins: Bins | None = None) -> DataFrame:
     """``bin, low, high, n`` of the bins that hold values; the last bin is closed."""
     bins = bins or plan_bins(df, col)[1]
-    x = number(col)
-    place = F.least(F.floor((x - bins.low) / (bins.high - bins.low) * bins.count), F.lit(bins.count - 1))
+    x, last = F.col("x"), bins.count - 1
+    guess = F.least(F.floor((x - bins.low) / (bins.high - bins.low) * bins.count), F.lit(last)).cast("int")
+    # the division may land one bin off the edge; the edges decide
+    place = F.when(x < F.col("bin") * bins.width + bins.low, F.col("bin") - 1).when(
+        (F.col("bin") < last) & (x >= (F.col("bin") + 1) * bins.width + bins.low), F.col("bin") + 1
+    ).otherwise(F.col("bin"))
     return (
-        df.where(x.isNotNull())
-        .groupBy(place.cast("int").alias("bin"))
+        df.select(number(col).alias("x"))
+        .where(x.isNotNull())
+        .withColumn("bin", guess)
+        .groupBy(place.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
             "bin",
