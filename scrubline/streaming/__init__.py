@@ -1,0 +1 @@
+"""Cleaning rows as they arrive, with decisions taken beforehand on a batch."""
