@@ -91,7 +91,6 @@ def compact_dashboard(c: Column) -> Column:
     """Dashboard label: at most two decimals, a dash for no value."""
     v = finite(c.cast("double"))
     plain = F.regexp_replace(F.format_number(v, 2), r"\.?0+$", "")
-    plain = F.when(F.format_number(v, 2).endswith(".00"), F.format_number(v, 0)).otherwise(plain)
     return F.coalesce(F.when(F.abs(v) >= 1000, compact(v)).otherwise(plain), F.lit("—"))
 
 
