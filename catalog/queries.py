@@ -29,7 +29,7 @@ def query(f: Query) -> Query:
 
 
 def rounded(df: DataFrame, digits: int, *cols: str) -> DataFrame:
-    return df.withColumns({c: F.bround(F.col(c).cast("double"), digits) for c in cols})
+    return df.withColumns({c: N.round_even(F.col(c).cast("double"), digits) for c in cols})
 
 
 # ── flagship ──
@@ -158,7 +158,7 @@ def currency_parse(spark, sf):
 def percent_parse(spark, sf):
     df = table(spark, sf, "dirty_lineitem")
     share = N.parse_percent(X.null_fakes(F.col("disc_txt")))
-    return df.select("l_orderkey", "l_linenumber", F.bround(share, 4).alias("discount"))
+    return df.select("l_orderkey", "l_linenumber", N.round_even(share, 4).alias("discount"))
 
 
 @query

@@ -47,8 +47,9 @@ def z_score(c: Column, mean, std) -> Column:
 
 
 def round_even(c: Column, digits: int) -> Column:
-    """Round half to even."""
-    return F.bround(c, digits)
+    """Round half to even in binary floating point, without a negative zero."""
+    unit = 10.0**digits
+    return F.rint(c.cast("double") * unit) / unit + 0.0
 
 
 def variation_pct(std: Column, mean: Column) -> Column:

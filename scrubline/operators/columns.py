@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ROW_ID = "_rid"
 
@@ -89,6 +91,12 @@ def batches(items: Sequence, size: int) -> Iterable[list]:
         yield list(items[i : i + size])
 
 
-def small_frame(df: DataFrame, rows: list, schema: str) -> DataFrame:
-    """Rows that number like columns, decisions or bins, never like records."""
-    return df.sparkSession.createDataFrame(rows, schema)
+def small_frame(df: DataFrame | SparkSession, rows: list, schema: str) -> DataFrame:
+    """Rows that number like columns, decisions or bins, never like records.
+
+    They go in as one Arrow table, which Spark plans as a local relation.
+    """
+    spark = df if isinstance(df, SparkSession) else df.sparkSession
+    struct = T.StructType.fromDDL(schema)
+    records = [dict(zip(struct.names, row)) for row in rows]
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(struct)), struct)

@@ -8,42 +8,63 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.operators.columns import batches, number, numeric_columns
+from scrubline.jobs import together
+from scrubline.operators.columns import batches, number, numeric_columns, quoted, small_frame
+from scrubline.operators.profile import Moments, moments
 
-PAIRS = 24  # pairs per aggregation
+PAIRS = 64  # pairs per aggregation
+GAP_PAIRS = 12  # pairs with missing values need more sums each
 
 
-def pearson(a: str, b: str, complete: Sequence[str] = ()) -> Column:
-    """Correlation over the rows where both are known, NULL when one does not vary.
+def _complete_pair(i: int, a: str, b: str, m: dict[str, Moments]) -> tuple[list[Column], Column]:
+    """One sum of products; the spreads are already known."""
+    sums = [F.sum(quoted(a) * quoted(b)).alias(f"p{i}")]
+    scale = (m[a].n - 1) * m[a].std * m[b].std
+    return sums, F.try_divide(F.col(f"p{i}"), F.lit(scale))
 
-    ``corr`` itself divides by zero on a constant column under ANSI rules.
-    """
-    x, y = number(a), number(b)
-    if b not in complete:
-        x = F.when(number(b).isNotNull(), x)
-    if a not in complete:
-        y = F.when(number(a).isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+def _gappy_pair(i: int, a: str, b: str, m: dict[str, Moments]) -> tuple[list[Column], Column]:
+    """Sums over the rows where both are known; NULL when either is constant there."""
+    x, y = quoted(a), quoted(b)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    parts = {
+        "n": F.count(x), "p": F.sum(x * y), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "yy": F.sum(y * y),
+        "vary": (F.min(x) < F.max(x)) & (F.min(y) < F.max(y)),
+    }
+    c = {k: F.col(f"{k}{i}") for k in parts}
+    product = c["p"] - c["x"] * c["y"] / c["n"]
+    spread = F.sqrt((c["xx"] - c["x"] * c["x"] / c["n"]) * (c["yy"] - c["y"] * c["y"] / c["n"]))
+    return [v.alias(f"{k}{i}") for k, v in parts.items()], F.when(c["vary"], F.try_divide(product, spread))
 
 
 def correlation_pairs(
-    df: DataFrame, cols: Sequence[str] | None = None, complete: Sequence[str] = ()
+    df: DataFrame, cols: Sequence[str] | None = None, m: dict[str, Moments] | None = None, rows: int | None = None
 ) -> DataFrame:
     """``ord, a, b, r`` for every pair of columns, in column order.
 
-    Columns known to be ``complete`` need no pairwise masking, so all their
-    pairs share one spread per column.
+    A first scan finds means and spreads; the second needs only one sum of
+    centred products per pair where both columns are complete. (``corr`` keeps
+    six running figures per pair, and divides by zero on a constant column.)
     """
     cols = list(cols if cols is not None else numeric_columns(df))
-    out = None
-    for some in batches(list(enumerate(combinations(cols, 2))), PAIRS):
-        wide = df.agg(*[pearson(a, b, complete).alias(f"r{i}") for i, (a, b) in some])
-        cells = [
-            F.struct(F.lit(i).alias("ord"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"))
-            for i, (a, b) in some
-        ]
-        part = wide.select(F.inline(F.array(*cells)))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return df.sparkSession.createDataFrame([], "ord int, a string, b string, r double")
+    if m is None or rows is None:
+        m, rows = together(lambda: moments(df, cols), df.count)
+    numbered = list(enumerate(combinations(cols, 2)))
+    empty = [(i, a, b) for i, (a, b) in numbered if not (m[a].n and m[b].n)]
+    whole = [(i, a, b) for i, (a, b) in numbered if m[a].n == m[b].n == rows > 1]
+    known = {i for i, _, _ in empty + whole}
+    gappy = [(i, a, b) for i, (a, b) in numbered if i not in known]
+
+    centred = df.select(*[(number(c) - F.lit(m[c].mean)).alias(c) for c in cols if m[c].n])
+    schema = "ord int, a string, b string, r double"
+    out = small_frame(df, [(i, a, b, None) for i, a, b in empty], schema)
+    for some, build, size in ((whole, _complete_pair, PAIRS), (gappy, _gappy_pair, GAP_PAIRS)):
+        for part in batches(some, size):
+            built = [(i, a, b, *build(i, a, b, m)) for i, a, b in part]
+            cells = [
+                F.struct(F.lit(i).alias("ord"), F.lit(a).alias("a"), F.lit(b).alias("b"), r.alias("r"))
+                for i, a, b, _, r in built
+            ]
+            wide = centred.agg(*[s for *_, sums, _ in built for s in sums])
+            out = out.unionByName(wide.select(F.inline(F.array(*cells))))
     return out

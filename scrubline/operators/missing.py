@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+
 from scrubline.config import CURRENT, CleanConfig
+from scrubline.jobs import together
 from scrubline.operators.columns import quoted, row_order, small_frame
 from scrubline.operators.frequencies import modes
-from scrubline.operators.profile import moments
+from scrubline.operators.profile import Moments, moments
 from scrubline.operators.quantiles import medians
 from scrubline.operators.roles import NUMERIC_ROLES, Role
 from scrubline.staging import stage
@@ -55,23 +57,25 @@ def decide_fills(
     """
     todo = [r for r in roles if nulls[r.column] and not r.protected and r.role != "other"]
     numeric = [r.column for r in todo if r.role in NUMERIC_ROLES]
-    stats = moments(df, numeric)
 
-    def wants_median(c: str) -> bool:
-        m = stats[c]
+    def wants_median(m: Moments) -> bool:
         if m.n < config.min_numeric_values:
             return False
         limit = config.mean_skew_limit
         return limit is None or m.skew is None or abs(m.skew) >= limit
 
-    halves = medians(df, [c for c in numeric if wants_median(c)], {c: m.n for c, m in stats.items()})
+    def centres() -> tuple[dict[str, Moments], dict[str, float]]:
+        stats = moments(df, numeric)
+        skewed = [c for c in numeric if wants_median(stats[c])]
+        return stats, medians(df, skewed, {c: stats[c].n for c in skewed})
+
     share = {r.column: nulls[r.column] / rows for r in todo}
     labels = [
         r.column for r in todo
         if r.role in ("categorical", "text")
         and (config.unknown_share is None or share[r.column] <= config.unknown_share)
     ]
-    mode = modes(df, labels)
+    (stats, halves), mode = together(centres, lambda: modes(df, labels))
 
     fills = []
     for r in todo:
@@ -156,8 +160,8 @@ def fill_in_order(
 def fill_log(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
     """``ord, column, strategy, fill_value, count, pct`` of each fill."""
     rows = [
-        (i, f.column, f.strategy, None if f.value is None else str(f.value)[:40], f.count, f.share * 100)
+        (i, f.column, f.strategy, None if f.value is None else str(f.value)[:40], f.count, round(f.share * 100, 1))
         for i, f in enumerate(fills)
     ]
     schema = "ord int, column string, strategy string, fill_value string, count bigint, pct double"
-    return small_frame(df, rows, schema).withColumn("pct", F.bround("pct", 1))
+    return small_frame(df, rows, schema)

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from scrubline.config import CURRENT, CleanConfig
 from scrubline.functions.numbers import clip, z_score
+from scrubline.jobs import together
 from scrubline.operators.columns import batches, number, numeric_columns, small_frame
 from scrubline.operators.frequencies import distinct_counts
-from scrubline.operators.profile import moments
+from scrubline.operators.profile import Moments, moments
 from scrubline.operators.quantiles import exact_quantiles
 
 
@@ -35,14 +36,21 @@ class Fence:
 
 
 def tukey_fences(
-    df: DataFrame, cols: Sequence[str] | None = None, config: CleanConfig = CURRENT
+    df: DataFrame, cols: Sequence[str] | None = None, config: CleanConfig = CURRENT,
+    stats: dict[str, Moments] | None = None,
 ) -> list[Fence]:
-    """Fences of the columns long, varied and spread enough to have outliers."""
+    """Fences of the columns long, varied and spread enough to have outliers.
+
+    The moments found on the way are left in ``stats``.
+    """
     cols = list(cols if cols is not None else numeric_columns(df))
-    stats = moments(df, cols)
-    cols = [c for c in cols if stats[c].n and stats[c].n >= config.min_outlier_values and stats[c].min != stats[c].max]
-    distinct = distinct_counts(df, cols, config.min_outlier_distinct)
-    cols = [c for c in cols if distinct[c] > config.min_outlier_distinct]
+    known, distinct = together(
+        lambda: moments(df, cols), lambda: distinct_counts(df, cols, config.min_outlier_distinct)
+    )
+    if stats is not None:
+        stats.update(known)
+    stats = known
+    cols = [c for c in cols if stats[c].n >= config.min_outlier_values and distinct[c] > config.min_outlier_distinct]
     quartiles = exact_quantiles(df, cols, [0.25, 0.75], {c: stats[c].n for c in cols})
     out = []
     for c in cols:
@@ -76,11 +84,11 @@ def cap(df: DataFrame, fences: Sequence[Fence]) -> DataFrame:
 
 def outlier_report(df: DataFrame, fences: Sequence[Fence]) -> DataFrame:
     """``ord, column, outside, far, lower, upper, pct`` per capped column."""
-    rows = [(i, f.column, f.outside, f.far, f.lower, f.upper, f.pct) for i, f in enumerate(fences)]
-    schema = "ord int, column string, outside bigint, far bigint, lower double, upper double, pct double"
-    return (
-        small_frame(df, rows, schema)
-        .withColumn("lower", F.bround("lower", 4))
-        .withColumn("upper", F.bround("upper", 4))
-        .withColumn("pct", F.bround("pct", 2))
+    rows = [
+        (i, f.column, f.outside, f.far, round(f.lower, 4), round(f.upper, 4), round(f.pct, 2))
+        for i, f in enumerate(fences)
+    ]
+    return small_frame(
+        df, rows,
+        "ord int, column string, outside bigint, far bigint, lower double, upper double, pct double",
     )

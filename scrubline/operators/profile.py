@@ -9,7 +9,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.functions.numbers import variation_pct
+from scrubline.functions.numbers import round_even, variation_pct
+from scrubline.jobs import together
 from scrubline.operators.columns import (
     batches, data_columns, number, numeric_columns, quoted, small_frame,
 )
@@ -49,12 +50,14 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Moments]:
         row = df.agg(
             *[
                 F.struct(
-                    F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.max(x), F.sum(x), adjusted_skew(x)
+                    F.count(x), F.stddev_samp(x), F.min(x), F.max(x), F.sum(x), adjusted_skew(x)
                 ).alias(f"m{i}")
                 for i, x in enumerate(map(number, some))
             ]
         ).first()
-        out.update({c: Moments(*row[f"m{i}"]) for i, c in enumerate(some)})
+        for i, c in enumerate(some):
+            n, std, low, high, total, skew = row[f"m{i}"]
+            out[c] = Moments(n, total / n if n else None, std, low, high, total, skew)
     return out
 
 
@@ -102,8 +105,7 @@ def table_shape(df: DataFrame) -> DataFrame:
 def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Mean, median, spread, range, missing and skew of each numeric column with values."""
     cols = list(cols if cols is not None else numeric_columns(df))
-    m = moments(df, cols)
-    n_rows, nulls = null_counts(df, cols)
+    m, (_, nulls) = together(lambda: moments(df, cols), lambda: null_counts(df, cols))
     q = exact_quantiles(df, cols, [0.5], {c: m[c].n for c in cols})
     rows = [
         (i, c, m[c].n, nulls[c], m[c].mean, q[c][0.5], m[c].std, m[c].min, m[c].max, m[c].skew)
@@ -116,7 +118,7 @@ def numeric_stats(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame
     )
     return small_frame(df, rows, schema).select(
         "ord", "column", "n", "missing",
-        *[F.bround(F.col(c), 2).alias(c) for c in ("mean", "median", "std", "min", "max", "skew")],
+        *[round_even(F.col(c), 2).alias(c) for c in ("mean", "median", "std", "min", "max", "skew")],
     )
 
 
@@ -135,7 +137,7 @@ def describe(df: DataFrame, first: int = 8) -> DataFrame:
     )
     return small_frame(df, rows, schema).select(
         "ord", "column", "n",
-        *[F.bround(F.col(c), 2).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
+        *[round_even(F.col(c), 2).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")],
     )
 
 

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from scrubline.jobs import together
 from scrubline.config import CURRENT, CleanConfig
-from scrubline.operators.columns import data_columns, numeric_columns
+from scrubline.operators.columns import data_columns, numeric_columns, small_frame
 from scrubline.operators.duplicates import duplicate_count
 from scrubline.operators.profile import moments, null_counts
 
@@ -33,13 +33,16 @@ def score(rows: int, columns: int, nulls: int, duplicates: int, consistent: floa
 
 def quality_score(df: DataFrame, config: CleanConfig = CURRENT) -> DataFrame:
     """The parts and the score of one table, as one row."""
-    rows, nulls = null_counts(df)
-    repeats = duplicate_count(df).select(F.col("duplicates")).first()[0]
-    skews = [m.skew for m in moments(df, numeric_columns(df)).values()]
-    consistent = consistency(skews, config)
+    (rows, nulls), repeats, stats = together(
+        lambda: null_counts(df),
+        lambda: duplicate_count(df).first()["duplicates"],
+        lambda: moments(df, numeric_columns(df)),
+    )
+    consistent = consistency((m.skew for m in stats.values()), config)
     columns = len(data_columns(df))
     total = sum(nulls.values())
-    return df.sparkSession.createDataFrame(
+    return small_frame(
+        df,
         [(rows, columns, total, repeats, consistent, score(rows, columns, total, repeats, consistent))],
         "rows bigint, columns int, nulls bigint, duplicates bigint, consistency double, score double",
     )

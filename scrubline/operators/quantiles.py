@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scrubline.operators.columns import batches, number
 
 ACCURACY = 10_000  # rank error of the sketch: one row in this many
-MAX_LISTED = 20_000  # most rows in a stretch whose values are listed
+MAX_LISTED = 10_000  # most rows in a stretch whose values are listed
 
 
 class _Search:

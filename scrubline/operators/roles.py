@@ -13,6 +13,7 @@ from scrubline.config import CURRENT, CleanConfig
 from scrubline.functions.dates import looks_like_date
 from scrubline.functions.numbers import as_written
 from scrubline.functions.text import strip
+from scrubline.jobs import together
 from scrubline.operators.columns import data_columns, family, quoted, row_order, small_frame
 from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.ordering import first_rows
@@ -125,10 +126,15 @@ def infer_roles(
     rows, nulls = counted or null_counts(df, open_cols)
     filled = {c: rows - nulls[c] for c in open_cols}
     sampled = [c for c in open_cols if kinds[c] in ("text", "numeric") and filled[c]]
-    shares = {}
-    if sampled:
+
+    def sample() -> dict:
+        if not sampled:
+            return {}
         values = first_values(df, sampled, row_order(df, order_by), config.sample_values, rows, filled)
-        shares = {r["column"]: r for r in sample_shares(values, config).collect()}  # one row per column
+        return {r["column"]: r for r in sample_shares(values, config).collect()}  # one row per column
+
+    texts = [c for c in open_cols if kinds[c] == "text"]
+    shares, distinct = together(sample, lambda: distinct_counts(df, texts, config.max_categories))
 
     def by_value(c: str) -> str | None:
         s = shares.get(c)
@@ -148,9 +154,7 @@ def infer_roles(
         return None
 
     found = by_name | {c: r for c in open_cols if (r := by_value(c))}
-    undecided = [c for c in open_cols if c not in found]
-    distinct = distinct_counts(df, undecided, config.max_categories) if undecided else {}
-    for c in undecided:
+    for c in [c for c in open_cols if c not in found]:
         few = distinct[c] <= config.max_categories and distinct[c] < config.max_category_ratio * rows
         found[c] = "categorical" if few else "text"
     return [Role(c, found.get(c, "other"), kinds[c]) for c in cols]

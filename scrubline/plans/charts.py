@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scrubline.jobs import together
 from scrubline.operators.columns import date_columns, numeric_columns, small_frame, text_columns
 from scrubline.operators.correlation import correlation_pairs
 from scrubline.operators.distribution import automatic_bins, box_stats, density_curve, histogram
@@ -56,12 +57,12 @@ def chart_columns(df: DataFrame, roles: Sequence[Role] = ()) -> ChartColumns:
     )
 
 
-def histogram_chart(df: DataFrame, col: str, m: Moments, iqr: float) -> Chart:
+def histogram_chart(df: DataFrame, col: str, m: Moments, quartiles: dict[float, float]) -> Chart:
     """Bins, density curve and the marked figures of one column."""
-    bins = automatic_bins(m, iqr)
-    median = exact_quantiles(df, [col], [0.5], {col: m.n})[col][0.5]
+    bins = automatic_bins(m, quartiles[0.75] - quartiles[0.25])
     marks = small_frame(
-        df, [(m.n, m.mean, median, m.std, m.skew)], "n bigint, mean double, median double, std double, skew double"
+        df, [(m.n, m.mean, quartiles[0.5], m.std, m.skew)],
+        "n bigint, mean double, median double, std double, skew double",
     )
     curve = density_curve(df, col, scale=m.n * bins.width, m=m)
     return Chart("histogram", col, f"Distribution of {label(col)}", histogram(df, col, bins),
@@ -78,29 +79,40 @@ def line_chart(df: DataFrame, date: str, value: str) -> Chart:
     return Chart("line", f"{date}_{value}", f"{label(value)} over time", data)
 
 
-def heatmap_chart(df: DataFrame, cols: Sequence[str]) -> Chart:
-    return Chart("heatmap", "correlation", "Correlation matrix", correlation_pairs(df, cols[:HEATMAP_COLUMNS]))
+def heatmap_chart(df: DataFrame, cols: Sequence[str], m: dict[str, Moments] | None = None,
+                  rows: int | None = None) -> Chart:
+    data = correlation_pairs(df, cols[:HEATMAP_COLUMNS], m, rows)
+    return Chart("heatmap", "correlation", "Correlation matrix", data)
 
 
 def chart_datasets(df: DataFrame, roles: Sequence[Role] = ()) -> list[Chart]:
-    """Every chart that applies to the table, in display order."""
+    """Every chart that applies to the table, in display order.
+
+    One profile of the leading numeric columns serves histograms, heat map and boxes.
+    """
     cols = chart_columns(df, roles)
+    texts = cols.texts[:BAR_COLUMNS]
+    m, rows, distinct = together(
+        lambda: moments(df, cols.numbers[:HEATMAP_COLUMNS]),
+        df.count,
+        lambda: distinct_counts(df, texts, MIN_BAR_VALUES),
+    )
+    boxed = cols.numbers[:BOX_COLUMNS]
+    q = exact_quantiles(df, boxed, [0.25, 0.5, 0.75], {c: m[c].n for c in boxed}) if boxed else {}
     charts = []
     if cols.numbers:
         charts.append(Chart("kpi", "kpi_summary", "Key figures", key_figures(df, cols.numbers[:KPI_COLUMNS])))
-    some = cols.numbers[:HISTOGRAM_COLUMNS]
-    m = moments(df, some)
-    some = [c for c in some if m[c].n >= MIN_HISTOGRAM_ROWS]
-    q = exact_quantiles(df, some, [0.25, 0.75], {c: m[c].n for c in some}) if some else {}
-    charts += [histogram_chart(df, c, m[c], q[c][0.75] - q[c][0.25]) for c in some]
-    texts = cols.texts[:BAR_COLUMNS]
-    distinct = distinct_counts(df, texts, MIN_BAR_VALUES) if texts else {}
+    charts += [
+        histogram_chart(df, c, m[c], q[c]) for c in cols.numbers[:HISTOGRAM_COLUMNS] if m[c].n >= MIN_HISTOGRAM_ROWS
+    ]
     charts += [bar_chart(df, c) for c in texts if distinct[c] >= MIN_BAR_VALUES]
     for date in cols.dates[:1]:
         charts += [line_chart(df, date, v) for v in cols.numbers[:LINE_COLUMNS]]
     if len(cols.numbers) >= 2:
-        charts.append(heatmap_chart(df, cols.numbers))
-        charts.append(Chart("box", "boxplot", "Distributions compared", box_stats(df, cols.numbers[:BOX_COLUMNS])))
+        charts.append(heatmap_chart(df, cols.numbers, m, rows))
+        charts.append(
+            Chart("box", "boxplot", "Distributions compared", box_stats(df, boxed, stats=m, quartiles=q))
+        )
     if cols.texts and cols.numbers:
         text, num = cols.texts[0], cols.numbers[0]
         charts.append(

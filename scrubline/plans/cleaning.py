@@ -18,6 +18,7 @@ from scrubline.functions import dates as D
 from scrubline.functions import numbers as N
 from scrubline.functions import text as X
 from scrubline.functions.names import normalise_names
+from scrubline.jobs import together
 from scrubline.operators.columns import (
     ROW_ID, batches, data_columns, family, fold_nan, numeric_columns, quoted, row_order, small_frame, text_columns,
 )
@@ -28,7 +29,7 @@ from scrubline.operators.missing import (
 )
 from scrubline.operators.ordering import first_rows
 from scrubline.operators.outliers import Fence, cap, count_outside, outlier_report, tukey_fences
-from scrubline.operators.profile import moments, null_counts
+from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quality import consistency, score
 from scrubline.operators.roles import Role, first_values, infer_roles
 from scrubline.staging import stage
@@ -115,22 +116,21 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
         return clean_legacy(df, order_by, config)
     report = Report()
     df = fold_nan(df)
-    rows, nulls = null_counts(df)
+    raw, (rows, nulls) = df, null_counts(df)
     report.rows_before, report.nulls_before = rows, nulls
-    report.duplicates_before = duplicate_count(df).first()["duplicates"]
 
     df, order = name_pass(df, order_by, report)
-    roles = infer_roles(df, order, config, (rows, dict(zip(data_columns(df), nulls.values()))))
+    counted = rows, dict(zip(data_columns(df), nulls.values()))
+    roles, report.duplicates_before = together(
+        lambda: infer_roles(df, order, config, counted), lambda: duplicate_count(raw).first()["duplicates"]
+    )
     report.roles = roles
     report.detail("Roles: " + ", ".join(f"{r.column}={r.role}" for r in roles))
 
-    report.section("Values")
     df = value_pass(df, roles, report, config)
     df = missing_pass(df, roles, order, report, config)
     df = duplicate_pass(df, roles, order, report, config)
-    df = date_pass(df, roles, order, report, config)
-    df = outlier_pass(df, roles, report, config)
-    quality_pass(df, report, config)
+    df = late_passes(df, roles, order, report, config)
     return Cleaned(df.select(*[quoted(c) for c in data_columns(df)]), report)
 
 
@@ -177,6 +177,7 @@ def apply_values(df: DataFrame, roles: Sequence[Role]) -> DataFrame:
 
 
 def value_pass(df: DataFrame, roles: Sequence[Role], report: Report, config: CleanConfig) -> DataFrame:
+    report.section("Values")
     by_role = lambda *names: [r.column for r in roles if r.role in names]
     report.currency, report.percent = by_role("currency"), by_role("pct")
     report.texts = by_role("categorical", "text")
@@ -213,11 +214,13 @@ def missing_pass(df: DataFrame, roles, order, report: Report, config: CleanConfi
     report.section("Missing values")
     rows, nulls = null_counts(df)
     report.dropped = sparse_columns(roles, rows, nulls, config)
-    df = df.drop(*report.dropped)
+    df = df.drop(*report.dropped) if report.dropped else df
     kept = [r for r in roles if r.column not in report.dropped]
-    report.fills = decide_fills(df, kept, rows, nulls, config)
+    gaps = [r.column for r in kept if r.role == "date" and nulls[r.column]]
+    report.fills, df = together(
+        lambda: decide_fills(df, kept, rows, nulls, config), lambda: fill_in_order(df, gaps, order)
+    )
     df = apply_fills(df, report.fills)
-    df = fill_in_order(df, [f.column for f in report.fills if f.strategy == IN_ORDER], order)
     for c in report.dropped:
         report.detail(f"{c}: dropped, {nulls[c] / rows:.0%} missing")
     for f in report.fills:
@@ -256,13 +259,18 @@ def duplicate_pass(df: DataFrame, roles, order, report: Report, config: CleanCon
     return df
 
 
-def guess_format(df: DataFrame, col: str, order: Sequence[str] | None) -> str | None:
+def guess_format(df: DataFrame, col: str, order: Sequence[str] | None, rows: int | None = None) -> str | None:
     """Date layout of the first value of a text column, month first when both fit."""
-    first = first_values(df, [col], row_order(df, order), 1)
-    fits = first.select(
-        *[D.parse_date(F.col("value"), f).isNotNull().alias(f"f{i}") for i, f in enumerate(D.GUESS_FORMATS)]
+    keep = row_order(df, order)
+    some = df.where(quoted(col).isNotNull()).select(*[quoted(c) for c in dict.fromkeys([*keep, col])])
+    first = first_rows(some, keep, 1, rows).select(quoted(col)).first()
+    if first is None:
+        return None
+    value = F.lit(first[0])
+    fits = small_frame(df, [(0,)], "one int").select(
+        *[D.parse_date(value, f).isNotNull().alias(f"f{i}") for i, f in enumerate(D.GUESS_FORMATS)]
     ).first()
-    return next((f for i, f in enumerate(D.GUESS_FORMATS) if fits and fits[f"f{i}"]), None)
+    return next((f for i, f in enumerate(D.GUESS_FORMATS) if fits[f"f{i}"]), None)
 
 
 def parsed_date(col: str, fmt: str):
@@ -274,7 +282,8 @@ def date_pass(df: DataFrame, roles, order, report: Report, config: CleanConfig)
     report.section("Dates")
     cols = [r.column for r in roles if r.role == "date" and r.column in df.columns]
     texts = [c for c in cols if family(df.schema[c].dataType) == "text"]
-    formats = {c: "mixed" if config.date_mode == "mixed" else guess_format(df, c, order) for c in texts}
+    rows = report.rows_after
+    formats = {c: "mixed" if config.date_mode == "mixed" else guess_format(df, c, order, rows) for c in texts}
     known = {c: f for c, f in formats.items() if f}
     if known:
         rates = df.agg(
@@ -307,11 +316,32 @@ def date_pass(df: DataFrame, roles, order, report: Report, config: CleanConfig)
     return df
 
 
-def outlier_pass(df: DataFrame, roles, report: Report, config: CleanConfig) -> DataFrame:
-    report.section("Outliers")
+def late_passes(df: DataFrame, roles, order, report: Report, config: CleanConfig) -> DataFrame:
+    """Dates, outliers and score. The numbers at hand do not wait for the dates to be parsed."""
     guarded = {r.column for r in roles if r.protected}
-    cols = [c for c in numeric_columns(df) if c not in guarded]
-    report.fences = count_outside(df, tukey_fences(df, cols, config), config)
+    numbers = numeric_columns(df)
+    stats: dict[str, Moments] = {}
+
+    def fences(table: DataFrame, cols: Sequence[str]) -> list[Fence]:
+        found = tukey_fences(table, [c for c in cols if c not in guarded], config, stats)
+        return count_outside(table, found, config)
+
+    staged = df
+    df, early, ids = together(
+        lambda: date_pass(staged, roles, order, report, config),
+        lambda: fences(staged, numbers),
+        lambda: moments(staged, [c for c in numbers if c in guarded]),
+    )
+    stats.update(ids)
+    late = fences(df, [c for c in numeric_columns(df) if c not in numbers])
+    df = outlier_pass(df, early + late, report)
+    quality_pass(df, report, config, stats)
+    return df
+
+
+def outlier_pass(df: DataFrame, fences: Sequence[Fence], report: Report) -> DataFrame:
+    report.section("Outliers")
+    report.fences = list(fences)
     for f in report.fences:
         report.detail(f"{f.column}: {f.outside} value(s) capped to [{f.lower:.2f}, {f.upper:.2f}]")
     if report.fences:
@@ -320,13 +350,21 @@ def outlier_pass(df: DataFrame, roles, report: Report, config: CleanConfig) -> D
     return cap(df, report.fences) if report.fences else df
 
 
-def quality_pass(df: DataFrame, report: Report, config: CleanConfig) -> None:
-    """Score before and after; both use the consistency of the cleaned table."""
+def quality_pass(df: DataFrame, report: Report, config: CleanConfig, stats: dict[str, Moments]) -> None:
+    """Score before and after; both use the consistency of the cleaned table.
+
+    ``stats`` holds the moments before capping, which stand for every column not capped.
+    """
     report.section("Quality")
-    rows, report.nulls_after = null_counts(df)
-    if not key_settles_rows(report):
-        report.duplicates_after = duplicate_count(df).first()["duplicates"]
-    consistent = consistency((m.skew for m in moments(df, numeric_columns(df)).values()), config)
+    changed = [f.column for f in report.fences]
+    repeats = 0 if key_settles_rows(report) else None
+    (rows, report.nulls_after), after, report.duplicates_after = together(
+        lambda: null_counts(df),
+        lambda: moments(df, changed),
+        lambda: duplicate_count(df).first()["duplicates"] if repeats is None else repeats,
+    )
+    final = {**stats, **after}
+    consistent = consistency((final[c].skew for c in numeric_columns(df)), config)
     report.quality_before = score(
         report.rows_before, len(report.nulls_before), sum(report.nulls_before.values()),
         report.duplicates_before, consistent,
@@ -356,7 +394,7 @@ def clean_legacy(df: DataFrame, order_by: Sequence[str] | None = None, config: C
     df = duplicate_pass(df, [], order_by, report, config)
     df = legacy_text_pass(df, order_by, report, config)
     df = legacy_date_pass(df, order_by, report, config)
-    df = outlier_pass(df, [], report, config)
+    df = outlier_pass(df, count_outside(df, tukey_fences(df, None, config), config), report)
     report.rows_after, report.nulls_after = null_counts(df)
     return Cleaned(df.select(*[quoted(c) for c in data_columns(df)]), report)
 

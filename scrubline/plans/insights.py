@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 
 from scrubline.config import INSIGHTS, LEGACY_INSIGHTS, InsightConfig
 from scrubline.functions.dates import day_label, span_days
-from scrubline.functions.numbers import compact
+from scrubline.functions.numbers import compact, round_even
 from scrubline.functions.text import humanise
+from scrubline.jobs import together
 from scrubline.operators.columns import (
     data_columns, date_columns, numeric_columns, quoted, small_frame, text_columns,
 )
 from scrubline.operators.correlation import correlation_pairs
 from scrubline.operators.frequencies import all_value_counts
 from scrubline.operators.normality import jarque_bera, shapiro_sample
-from scrubline.operators.profile import moments, null_counts
+from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quantiles import medians
 from scrubline.plans.cleaning import Report
 
@@ -93,9 +94,8 @@ def listed(c: str, k: int) -> Column:
 # ── profile frames ──
 
 
-def table_frame(df: DataFrame, report: Report) -> DataFrame:
+def table_frame(df: DataFrame, report: Report, rows: int, nulls: dict[str, int]) -> DataFrame:
     """One row: the size of the table and what cleaning did to it."""
-    rows, nulls = null_counts(df)
     cells = rows * len(nulls)
     worst = max(report.fences, key=lambda f: f.outside, default=None)
     row = (
@@ -117,14 +117,13 @@ def table_frame(df: DataFrame, report: Report) -> DataFrame:
     return small_frame(df, [row], schema)
 
 
-def numeric_frame(df: DataFrame, config: InsightConfig, normality: str) -> DataFrame:
+def numeric_frame(df: DataFrame, config: InsightConfig, normality: str, m: dict[str, Moments]) -> DataFrame:
     """One row per leading numeric column: moments, median and normality."""
     cols = numeric_columns(df)[: max(config.stat_columns, config.normality_columns)]
     schema = (
         "ord int, column string, n bigint, mean double, median double, std double, min double, "
         "max double, skew double"
     )
-    m = moments(df, cols)
     med = medians(df, cols, {c: m[c].n for c in cols}) if cols else {}
     rows = [(i, c, m[c].n, m[c].mean, med[c], m[c].std, m[c].min, m[c].max, m[c].skew) for i, c in enumerate(cols)]
     variation = F.when(F.col("mean") == 0, 0.0).otherwise(F.try_divide("std", "mean") * 100)
@@ -164,7 +163,7 @@ def date_frame(df: DataFrame, config: InsightConfig) -> DataFrame:
     """One row per leading date column: first and last day."""
     cols = date_columns(df)[: config.date_columns]
     if not cols:
-        return df.sparkSession.createDataFrame([], "ord int, column string, first timestamp_ntz, last timestamp_ntz")
+        return small_frame(df, [], "ord int, column string, first timestamp_ntz, last timestamp_ntz")
     wide = df.agg(
         *[
             F.struct(
@@ -178,9 +177,9 @@ def date_frame(df: DataFrame, config: InsightConfig) -> DataFrame:
     return wide.select(F.inline(F.array(*[f"d{i}" for i in range(len(cols))])))
 
 
-def pair_frame(df: DataFrame, config: InsightConfig, complete: Sequence[str]) -> DataFrame:
+def pair_frame(df: DataFrame, config: InsightConfig, m: dict[str, Moments], rows: int) -> DataFrame:
     """One row: how many pairs are strongly or moderately correlated, and which come first."""
-    pairs = correlation_pairs(df, complete=complete)
+    pairs = correlation_pairs(df, None, m, rows)
     size = F.abs("r")
     strong = size >= config.strong_r
     moderate = (size >= config.moderate_r) & ~strong
@@ -218,7 +217,7 @@ def quality_rules(config: InsightConfig) -> list[Rule]:
     removed = c("exact_removed") + c("key_removed")
     return [
         Rule(
-            "I2", QUALITY, delta > 0, F.bround(delta, 1),
+            "I2", QUALITY, delta > 0, round_even(delta, 1),
             say("Quality score up by %.1f points", delta),
             say("From %s to %s out of 100.", c("quality_before"), c("quality_after")),
             "success",
@@ -268,13 +267,13 @@ def statistic_rules(config: InsightConfig, category: str = STATISTICS) -> list[R
     label = humanise(c("column"))
     return [
         Rule(
-            "I9", category, measured & (F.abs("skew") > config.skew_limit), F.bround("skew", 2),
+            "I9", category, measured & (F.abs("skew") > config.skew_limit), round_even(F.col("skew"), 2),
             say("%s is skewed to the %s", label, F.when(c("skew") > 0, "right").otherwise("left")),
             say("Skewness %.2f, mean %s, median %s.", c("skew"), compact(c("mean")), compact(c("median"))),
             subject=c("column"),
         ),
         Rule(
-            "I10", category, measured & (c("variation") > config.variation_limit), F.bround("variation", 2),
+            "I10", category, measured & (c("variation") > config.variation_limit), round_even(F.col("variation"), 2),
             say("%s varies widely", label),
             say("Variation %.0f%%, from %s to %s.", c("variation"), compact(c("min")), compact(c("max"))),
             subject=c("column"),
@@ -289,7 +288,7 @@ def normality_rules(config: InsightConfig) -> list[Rule]:
         Rule(
             "I11", DISTRIBUTION,
             (c("ord") < config.normality_columns) & (c("n") >= config.min_normality_rows) & c("p").isNotNull(),
-            F.bround("p", 4),
+            round_even(F.col("p"), 4),
             say("%s looks %s", humanise(c("column")), F.when(normal, "normally distributed").otherwise("not normal")),
             say("p = %.4f; prefer the %s.", c("p"), F.when(normal, "mean").otherwise("median")),
             subject=c("column"),
@@ -308,7 +307,7 @@ def correlation_rules(config: InsightConfig) -> list[Rule]:
     first = F.get("strong_pairs", F.lit(0))
     return [
         Rule(
-            "I12", CORRELATION, c("strong") > 0, F.bround(first["r"], 2),
+            "I12", CORRELATION, c("strong") > 0, round_even(first["r"], 2),
             say("%s and %s are strongly correlated", humanise(first["a"]), humanise(first["b"])),
             say("r = %.2f; %s more strong pair(s).", first["r"], c("strong") - 1),
             F.when(F.abs(first["r"]) > config.very_strong_r, "warning").otherwise("info"),
@@ -339,12 +338,12 @@ def field_rules(config: InsightConfig) -> list[Rule]:
             subject=c("column"),
         ),
         Rule(
-            "I16", FIELDS, binary, F.bround(share * 100, 2),
+            "I16", FIELDS, binary, round_even(share * 100, 2),
             say("%s is mostly %s", label, top["value"]), say("%.0f%% of records share one value.", share * 100),
             F.when(share > config.binary_share, "warning").otherwise("info"), c("column"),
         ),
         Rule(
-            "I17", FIELDS, ~unique & ~binary & (share > config.dominant_share), F.bround(share * 100, 2),
+            "I17", FIELDS, ~unique & ~binary & (share > config.dominant_share), round_even(share * 100, 2),
             say("%s has a dominant value: %s", label, top["value"]), say("Most frequent: %s.", tops),
             subject=c("column"),
         ),
@@ -398,17 +397,16 @@ def insights(
     """All findings about a cleaned table, in order of ``chapter, ord, place``."""
     report = report or Report()
     df = df.select(*[quoted(c) for c in data_columns(df)])
-    rows, nulls = null_counts(df)
-    complete = [c for c, n in nulls.items() if n == 0]
-    table = table_frame(df, report)
-    numbers = numeric_frame(df, config, normality)
+    (rows, nulls), m = together(lambda: null_counts(df), lambda: moments(df, numeric_columns(df)))
+    table = table_frame(df, report, rows, nulls)
+    numbers = numeric_frame(df, config, normality, m)
     return chapters(
         [
             fire(table, 0, overview_rules()),
             fire(table, 1, quality_rules(config)),
             fire(numbers, 2, statistic_rules(config)),
             fire(numbers, 3, normality_rules(config)),
-            fire(pair_frame(df, config, complete), 4, correlation_rules(config)),
+            fire(pair_frame(df, config, m, rows), 4, correlation_rules(config)),
             fire(text_frame(df, config, rows), 5, field_rules(config)),
             fire(date_frame(df, config), 6, time_rules()),
             fire(table, 7, advice_rules(config)),
@@ -492,13 +490,13 @@ def legacy_insights(
 ) -> DataFrame:
     """Findings by the older variant's rules."""
     report = report or Report()
-    rows, nulls = null_counts(df)
-    table = table_frame(df, report)
+    (rows, nulls), m = together(lambda: null_counts(df), lambda: moments(df, numeric_columns(df)))
+    table = table_frame(df, report, rows, nulls)
     return chapters(
         [
             fire(table, 0, legacy_quality_rules()),
-            fire(numeric_frame(df, config, "none"), 1, statistic_rules(config, LEGACY_STATISTICS)),
-            fire(pair_frame(df, config, [c for c, n in nulls.items() if n == 0]), 2, legacy_correlation_rules()),
+            fire(numeric_frame(df, config, "none", m), 1, statistic_rules(config, LEGACY_STATISTICS)),
+            fire(pair_frame(df, config, m, rows), 2, legacy_correlation_rules()),
             fire(text_frame(df, config, rows), 3, legacy_field_rules(config)),
             fire(date_frame(df, config), 4, time_rules(LEGACY_PATTERNS)),
             fire(table, 5, legacy_advice_rules(config)),

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubline.functions.numbers import round_even
+
 from scrubline.functions.text import truncate
 from scrubline.operators.columns import data_columns, numeric_columns, quoted, row_order, small_frame
 from scrubline.operators.frequencies import distinct_counts
@@ -34,7 +36,7 @@ def key_facts(df: DataFrame) -> DataFrame:
     """One row: rows, columns, numeric columns, completeness."""
     return table_shape(df).select(
         "rows", "columns", F.lit(len(numeric_columns(df))).alias("numeric_fields"),
-        F.bround("completeness_pct", 1).alias("completeness_pct"),
+        round_even(F.col("completeness_pct"), 1).alias("completeness_pct"),
     )
 
 
@@ -73,7 +75,7 @@ def comparison(cleaned: Cleaned) -> DataFrame:
     gain = F.when(F.col("metric") == "Quality Score", F.col("after") - F.col("before")).otherwise(
         F.col("before") - F.col("after")
     )
-    return table.withColumn("improvement", F.bround(gain, 1))
+    return table.withColumn("improvement", round_even(gain, 1))
 
 
 def fill_detail(cleaned: Cleaned, first: int = FILL_ROWS) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from scrubline.functions.numbers import round_even
 from pyspark.sql import types as T
 
 from scrubline.functions.dates import iso_day
@@ -19,7 +21,7 @@ def export_layout(df: DataFrame) -> DataFrame:
         if name in dates:
             c = iso_day(c)
         elif isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-            c = F.bround(c.cast("double"), 4)
+            c = round_even(c.cast("double"), 4)
         out.append(c.alias(name))
     return df.select(*out)
 
