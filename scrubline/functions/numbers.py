@@ -12,23 +12,28 @@ CURRENCY_SYMBOLS = "$€£¥₹₩₪₺,"
 
 
 def to_number(c: Column) -> Column:
-    """Text to double, NULL when it is no number.
+    """Text to double, NULL when it is no number."""
+    return _number(strip(c))
 
-    A number text ends in a digit or a point; that keeps out the ``1d``/``1f``
+
+def _number(t: Column) -> Column:
+    """Trimmed text to double.
+
+    The added exponent changes no number, but keeps out the ``1d``/``1f``
     spellings and the ``inf``/``nan`` words the cast alone would accept.
     """
-    t = strip(c)
-    return F.when(F.right(t, F.lit(1)).isin(*"0123456789."), t.try_cast("double"))
+    plain = F.concat(t, F.lit("e0")).try_cast("double")
+    return F.coalesce(plain, F.when(t.rlike(r"^[+-]?[\d.]+[eE][+-]?\d+$"), t.try_cast("double")))
 
 
 def parse_currency(c: Column) -> Column:
     """Remove money symbols, thousands separators and white space, then read the number."""
-    return to_number(F.translate(c, CURRENCY_SYMBOLS + WHITESPACE, ""))
+    return _number(F.translate(c, CURRENCY_SYMBOLS + WHITESPACE, ""))
 
 
 def parse_percent(c: Column) -> Column:
     """Drop trailing percent signs, read the number, divide by 100."""
-    return to_number(F.rtrim(strip(c), F.lit("%"))) / 100
+    return _number(F.rtrim(strip(c), F.lit("%"))) / 100
 
 
 def finite(c: Column) -> Column:

@@ -48,12 +48,14 @@ def sparse_columns(
 
 
 def decide_fills(
-    df: DataFrame, roles: Sequence[Role], rows: int, nulls: dict[str, int], config: CleanConfig = CURRENT
+    df: DataFrame, roles: Sequence[Role], rows: int, nulls: dict[str, int], config: CleanConfig = CURRENT,
+    known: dict[str, Moments] | None = None,
 ) -> list[Fill]:
     """Strategy and value for every unprotected column with missing values.
 
     Moments, medians and modes of all columns concerned are each found in one
-    go; the median only where the spread asks for it.
+    go; the median only where the spread asks for it. ``known`` moments are
+    not computed again.
     """
     todo = [r for r in roles if nulls[r.column] and not r.protected and r.role != "other"]
     numeric = [r.column for r in todo if r.role in NUMERIC_ROLES]
@@ -65,7 +67,8 @@ def decide_fills(
         return limit is None or m.skew is None or abs(m.skew) >= limit
 
     def centres() -> tuple[dict[str, Moments], dict[str, float]]:
-        stats = moments(df, numeric)
+        stats = dict(known or {})
+        stats.update(moments(df, [c for c in numeric if c not in stats]))
         skewed = [c for c in numeric if wants_median(stats[c])]
         return stats, medians(df, skewed, {c: stats[c].n for c in skewed})
 

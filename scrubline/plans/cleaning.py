@@ -31,7 +31,7 @@ from scrubline.operators.ordering import first_rows
 from scrubline.operators.outliers import Fence, cap, count_outside, outlier_report, tukey_fences
 from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quality import consistency, score
-from scrubline.operators.roles import Role, first_values, infer_roles
+from scrubline.operators.roles import NUMERIC_ROLES, Role, first_values, infer_roles
 from scrubline.staging import stage
 
 
@@ -187,7 +187,7 @@ def value_pass(df: DataFrame, roles: Sequence[Role], report: Report, config: Cle
         df, coerced = coerce_numbers(df, by_role("text", "categorical"), config.coerce_share)
         report.coercions = dict.fromkeys(coerced, "text to number")
         for r in [r for r in roles if r.column in coerced]:
-            roles[roles.index(r)] = Role(r.column, "numeric", "numeric")
+            roles[roles.index(r)] = Role(r.column, "numeric", "text")
         report.texts = [c for c in report.texts if c not in coerced]
     if report.currency:
         report.step(f"Money symbols removed from {len(report.currency)} column(s): {', '.join(report.currency[:3])}")
@@ -212,13 +212,13 @@ def coerce_numbers(df: DataFrame, cols: Sequence[str], share: float = 0.5) -> tu
 
 def missing_pass(df: DataFrame, roles, order, report: Report, config: CleanConfig) -> DataFrame:
     report.section("Missing values")
-    rows, nulls = null_counts(df)
+    rows, nulls, stats = value_nulls(df, roles, report)
     report.dropped = sparse_columns(roles, rows, nulls, config)
     df = df.drop(*report.dropped) if report.dropped else df
     kept = [r for r in roles if r.column not in report.dropped]
     gaps = [r.column for r in kept if r.role == "date" and nulls[r.column]]
     report.fills, df = together(
-        lambda: decide_fills(df, kept, rows, nulls, config), lambda: fill_in_order(df, gaps, order)
+        lambda: decide_fills(df, kept, rows, nulls, config, stats), lambda: fill_in_order(df, gaps, order)
     )
     df = apply_fills(df, report.fills)
     for c in report.dropped:
@@ -236,6 +236,26 @@ def missing_pass(df: DataFrame, roles, order, report: Report, config: CleanConfi
     return df
 
 
+def value_nulls(df: DataFrame, roles, report: Report) -> tuple[int, dict[str, int], dict[str, Moments]]:
+    """Rows and missing values after the value pass, and the moments found on the way.
+
+    Only cleaned texts can have lost values; those read as numbers are counted
+    by their moments, so no column is cleaned twice. The rest keeps its raw count.
+    """
+    rows = report.rows_before
+    nulls = dict(zip((r.column for r in roles), report.nulls_before.values()))
+    cleaned = [r for r in roles if r.family == "text" and not r.protected]
+    numbers = [r.column for r in cleaned if r.role in NUMERIC_ROLES]
+    gaps = [r.column for r in roles if r.family == "numeric" and r.role in NUMERIC_ROLES and nulls[r.column]]
+    texts = [r.column for r in cleaned if r.column not in numbers]
+    stats, (_, fresh) = together(
+        lambda: moments(df, numbers + [c for c in gaps if c not in numbers]), lambda: null_counts(df, texts)
+    )
+    nulls.update(fresh)
+    nulls.update({c: rows - stats[c].n for c in numbers})
+    return rows, nulls, stats
+
+
 def duplicate_pass(df: DataFrame, roles, order, report: Report, config: CleanConfig) -> DataFrame:
     """Both kinds of duplicates go in one staged write, which also carries their counts."""
     report.section("Duplicates")
