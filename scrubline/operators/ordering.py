@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.operators.columns import ROW_ID, quoted
+from scrubline.operators.sketches import SLACK, sketch_quantiles
 
-ACCURACY = 10_000
 DIRECT = 5_000_000  # rows one top-k pass takes without narrowing first
 
-_MEASURABLE = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+def _measure(c: Column, dtype: T.DataType) -> Column | None:
+    """Numbers and dates as a number in the same order; nothing else can be sketched."""
+    if isinstance(dtype, T.NumericType):
+        return c
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(c)
+    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(c.cast("timestamp"))
+    return None
 
 
 def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None = None) -> DataFrame:
@@ -31,13 +40,12 @@ def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None
         head = df.where(F.col(f"{ROW_ID}.file_path") == first)
         if head.limit(k).count() == k:
             df = head
-    while rows > DIRECT and isinstance(dtype, _MEASURABLE):
-        c = quoted(lead)
-        share = min(1.0, k / rows + 2 / ACCURACY)
-        cut = df.agg(F.percentile_approx(c, share, ACCURACY)).first()[0]
+    place = _measure(quoted(lead), dtype)
+    while rows > DIRECT and place is not None:
+        (cut,), _ = sketch_quantiles(df, [(place, [min(1.0, k / rows + SLACK)])])
         if cut is None:
             break
-        head = df.where(c.isNull() | (c <= F.lit(cut)))
+        head = df.where(place.isNull() | (place <= F.lit(cut[0])))
         kept = head.count()
         if kept < k or kept > rows / 2:
             break

@@ -3,9 +3,9 @@
 ``percentile`` keeps every distinct value of a column in one task. Here a
 mergeable sketch first brackets each wanted rank; one grouped count then gives
 the number of rows in each stretch between the bracket ends and, inside a
-bracket, the few values themselves. A bracket holds about one row in five
-thousand whatever the distribution, so two or three rounds do for any size,
-and a value that repeats is settled by its count alone.
+bracket, the few values themselves. A bracket holds about one row in three
+hundred whatever the distribution, so a few rounds do for any size, and a
+value that repeats is settled by its count alone.
 """
 
 from __future__ import annotations
@@ -14,13 +14,13 @@ from bisect import bisect_left
 from collections.abc import Sequence
 from math import floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrubline.operators import sketches
 from scrubline.operators.columns import batches, number
 
-ACCURACY = 10_000  # rank error of the sketch: one row in this many
-MAX_LISTED = 10_000  # most rows in a stretch whose values are listed
+MAX_LISTED = 10_000  # most rows expected in a stretch whose values are listed
 
 
 class _Search:
@@ -28,30 +28,26 @@ class _Search:
 
     ``edges`` cut the column into stretches. Stretch ``2 i`` holds the values
     strictly between edges ``i - 1`` and ``i``, stretch ``2 i + 1`` those equal
-    to edge ``i``.
+    to edge ``i``. ``open`` holds the stretches with ranks still wanted, each
+    with its size and the shares of its rows at which they lie.
     """
 
     def __init__(self, name: str, probs: Sequence[float], n: int | None):
-        self.name, self.probs = name, list(probs)
+        self.name, self.probs, self.n = name, list(probs), n
         self.edges: list[float] = []
         self.listed: set[int] = set()
         self.found: dict[int, float] = {}
-        self.n = None
-        self.open: dict[int, list[float]] = {0: [float(p) for p in probs]}  # stretch -> shares
+        self.open = {0: (n, [float(p) for p in probs])}
         if n is not None:
-            self.set_count(n)
+            self.start(n)
 
-    def set_count(self, n: int) -> None:
+    def start(self, n: int) -> None:
         self.n = n
-        self.sizes = {0: n}
-        wanted = {k for p in self.probs if n for k in self._around(p)}
-        self.ranks = sorted(wanted)
-        if not wanted:
-            self.open = {}
-        if n <= MAX_LISTED:
-            self.listed = {0}
-
-    def _around(self, p: float) -> tuple[int, int]:
+        self.ranks = sorted({k for p in self.probs if n for k in self.around(p)})
+        self.open = {0: (n, self.open[0][1])} if n else {}
+        self.listed = {0} if n <= MAX_LISTED else set()
+
+    def around(self, p: float) -> tuple[int, int]:
         k = floor(p * (self.n - 1))
         return k, min(k + 1, self.n - 1)
 
@@ -64,17 +60,14 @@ class _Search:
             c = F.when(c < self.edges[i], c)
         return c
 
-    def to_sketch(self) -> list[tuple[int, list[float]]]:
-        """Stretches too long to list, with the shares to bracket in each."""
-        return [(s, shares) for s, shares in self.open.items() if s not in self.listed]
-
-    def add_brackets(self, stretch: int, ends: list[float]) -> None:
-        size = self.sizes[stretch]
-        pairs = list(zip(ends[::2], ends[1::2]))
-        self.edges = sorted(set(self.edges) | set(ends))
-        if 6 * size / ACCURACY <= MAX_LISTED:  # twice the sketch's error on either side
-            for lo, hi in pairs:
-                a, b = bisect_left(self.edges, lo), bisect_left(self.edges, hi)
+    def add_brackets(self, ends: dict[int, list[float]]) -> None:
+        """New edges around the open ranks of each sketched stretch."""
+        self.edges = sorted(set(self.edges).union(*ends.values()))
+        for stretch, points in ends.items():
+            if 4 * sketches.SLACK * self.open[stretch][0] > MAX_LISTED:
+                continue
+            for low, high in zip(points[::2], points[1::2]):
+                a, b = bisect_left(self.edges, low), bisect_left(self.edges, high)
                 self.listed |= {2 * i for i in range(a + 1, b + 1)}
 
     def code(self, c: Column) -> Column:
@@ -84,62 +77,62 @@ class _Search:
             out = out + F.when(c > e, 2).when(c == e, 1).otherwise(0)
         return out
 
-    def settle(self, cells: list[tuple[int, float | None, int]]) -> None:
-        """Walk the counted stretches in order and read off each wanted rank."""
-        self.sizes, self.open, below = {}, {}, 0
-        values = {k: v for k, v in self.found.items()}
-        cells.sort(key=lambda x: (x[0], x[1] if x[1] is not None else 0.0))
-        for stretch, value, count in cells:
-            hits = [k for k in self.ranks if k not in values and below <= k < below + count]
+    def settle(self, cells: list) -> None:
+        """Take the values found; keep the stretches still to be cut."""
+        self.open = {}
+        for stretch, value, n, below in cells:
+            hits = [k for k in self.ranks if k not in self.found and below <= k < below + n]
             if stretch % 2:
                 value = self.edges[stretch // 2]
             if value is not None:
-                values.update(dict.fromkeys(hits, value))
+                self.found.update(dict.fromkeys(hits, value))
             elif hits:
-                self.sizes[stretch] = count
-                self.open[stretch] = [(k - below) / max(count - 1, 1) for k in hits]
-            below += count
-        self.found = values
-        self.listed = {s for s in self.open if self.sizes[s] <= MAX_LISTED}
+                self.open[stretch] = (n, [(k - below) / max(n - 1, 1) for k in hits])
+        self.listed = {s for s, (n, _) in self.open.items() if n <= MAX_LISTED}
 
     def quantile(self, p: float) -> float | None:
         if not self.n:
             return None
         at = p * (self.n - 1)
-        low, high = (self.found[k] for k in self._around(p))
+        low, high = (self.found[k] for k in self.around(p))
         return low + (high - low) * (at - floor(at))
 
 
-def _sketch(df: DataFrame, searches: list[_Search]) -> None:
-    """Bracket the open ranks; the first round also counts the values."""
-    slack, aggs, targets = 2 / ACCURACY, [], []
-    for i, s in enumerate(searches):
-        if s.n is None:
-            aggs.append(F.count(number(s.name)).alias(f"n{i}"))
-        for stretch, shares in s.to_sketch():
-            points = [q for p in shares for q in (max(0.0, p - slack), min(1.0, p + slack))]
-            aggs.append(F.percentile_approx(s.inside(stretch), points, ACCURACY).alias(f"q{len(targets)}"))
-            targets.append((s, stretch))
-    if not aggs:
+def _bracket(df: DataFrame, searches: list[_Search]) -> None:
+    """Sketch the stretches too long to list; the first round also counts the values."""
+    uncounted = [s for s in searches if s.n is None]
+    wanted, owners = [], []
+    for s in searches:
+        for stretch, (_, shares) in s.open.items():
+            if stretch not in s.listed:
+                points = [q for p in shares for q in (max(0.0, p - sketches.SLACK), min(1.0, p + sketches.SLACK))]
+                wanted.append((s.inside(stretch), points))
+                owners.append((s, stretch))
+    if not wanted:
         return
-    row = df.agg(*aggs).first()
-    for i, s in enumerate(searches):
-        if s.n is None:
-            s.set_count(row[f"n{i}"])
-    for j, (s, stretch) in enumerate(targets):
-        if s.open and s.listed != {0}:
-            s.add_brackets(stretch, list(row[f"q{j}"]))
+    values, counts = sketches.sketch_quantiles(df, wanted, [number(s.name) for s in uncounted])
+    for s, n in zip(uncounted, counts):
+        s.start(n)
+    for s in searches:
+        ends = {stretch: v for (o, stretch), v in zip(owners, values) if o is s and stretch in s.open}
+        if ends and 0 not in s.listed:
+            s.add_brackets(ends)
 
 
 def _count_stretches(df: DataFrame, searches: list[_Search]) -> DataFrame:
-    """Rows per stretch of each column, and per value where a stretch is listed."""
+    """The stretches and listed values in which a wanted rank lies.
+
+    The running count is over stretches and listed values only, per column.
+    """
     cells = [F.struct(F.lit(i).alias("tag"), number(s.name).alias("value")) for i, s in enumerate(searches)]
     tag, value = F.col("tag"), F.col("value")
-    stretch, listed = F.when(tag < 0, 0), F.lit(False)
+    stretch, listed, ranks = F.when(tag < 0, 0), F.lit(False), F.when(tag < 0, F.array(F.lit(0).cast("bigint")))
     for i, s in enumerate(searches):
         stretch = stretch.when(tag == i, s.code(value))
+        ranks = ranks.when(tag == i, F.array(*[F.lit(k).cast("bigint") for k in s.ranks]))
         if s.listed:
             listed = listed | ((tag == i) & F.col("stretch").isin(*sorted(s.listed)))
+    in_order = Window.partitionBy("tag").orderBy("stretch", "value")
     return (
         df.select(F.inline(F.array(*cells)))
         .where(value.isNotNull())
@@ -147,6 +140,8 @@ def _count_stretches(df: DataFrame, searches: list[_Search]) -> DataFrame:
         .withColumn("value", F.when(listed, value))
         .groupBy("tag", "stretch", "value")
         .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("below", F.sum("n").over(in_order) - F.col("n"))
+        .where(F.exists(ranks, lambda k: (k >= F.col("below")) & (k < F.col("below") + F.col("n"))))
     )
 
 
@@ -165,13 +160,13 @@ def exact_quantiles(
     for some in batches(list(cols), batch):
         searches = [_Search(c, probs, counts[c] if counts else None) for c in some]
         while todo := [s for s in searches if s.open]:
-            _sketch(df, todo)
+            _bracket(df, todo)
             todo = [s for s in todo if s.open]
             if not todo:
                 break
-            cells = _count_stretches(df, todo).collect()  # stretches and listed values only
+            cells = _count_stretches(df, todo).collect()  # one or two rows per wanted rank
             for i, s in enumerate(todo):
-                s.settle([(r.stretch, r.value, r.n) for r in cells if r.tag == i])
+                s.settle([(r.stretch, r.value, r.n, r.below) for r in cells if r.tag == i])
         result.update({s.name: {p: s.quantile(p) for p in probs} for s in searches})
     return result
 

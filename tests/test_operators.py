@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from scrubline.config import CleanConfig
 from scrubline.operators import correlation, distribution, duplicates, frequencies, missing, normality, ordering
-from scrubline.operators import outliers, profile, quality, quantiles, roles, summaries
+from scrubline.operators import outliers, profile, quality, quantiles, roles, sketches, summaries
 
 RNG = np.random.default_rng(7)
 HEAVY = np.concatenate([RNG.normal(size=900), np.full(700, 3.0), RNG.exponential(size=500) * 1e9])
@@ -16,10 +16,12 @@ def heavy(spark):
     return spark.createDataFrame([(float(x),) for x in HEAVY], "x double").repartition(7).cache()
 
 
-@pytest.mark.parametrize("accuracy,listed", [(10_000, 10_000), (20, 5), (50, 1)])
-def test_exact_quantiles(heavy, monkeypatch, accuracy, listed):
-    """A third of the rows share one value and the rest spans nine magnitudes."""
-    monkeypatch.setattr(quantiles, "ACCURACY", accuracy)
+@pytest.mark.parametrize("size,slack,listed", [(8000, 0.0012, 10_000), (50, 0.02, 40), (20, 0.001, 1)])
+def test_exact_quantiles(heavy, monkeypatch, size, slack, listed):
+    """A third of the rows share one value, the rest spans nine magnitudes, and a poor sketch may miss."""
+    monkeypatch.setattr(sketches, "SIZE", size)
+    monkeypatch.setattr(sketches, "SLACK", slack)
+    monkeypatch.setattr(sketches, "GROUPS", 2)
     monkeypatch.setattr(quantiles, "MAX_LISTED", listed)
     probs = [0.0, 0.01, 0.25, 0.4321, 0.5, 0.75, 0.999, 1.0]
     got = quantiles.exact_quantiles(heavy, ["x"], probs)["x"]
@@ -302,7 +304,6 @@ def test_distinct_counts(spark):
 @pytest.mark.parametrize("direct", [5_000_000, 200])
 def test_first_rows(spark, monkeypatch, direct):
     monkeypatch.setattr(ordering, "DIRECT", direct)
-    monkeypatch.setattr(ordering, "ACCURACY", 100)
     df = spark.range(0, 5000, 1, 9).select((4999 - F.col("id")).alias("i"), F.col("id").alias("v")).repartition(5)
     assert [r["i"] for r in ordering.first_rows(df, ["i"], 30).collect()] == list(range(30))
     hot = df.withColumn("k", F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i")))
