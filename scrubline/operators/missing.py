@@ -26,6 +26,8 @@ IN_ORDER = "forward-fill / backward-fill"
 UNKNOWN = "constant (Unknown)"
 MODE = "mode"
 
+MAX_RANGES = 50_000  # ranges a large table is cut into; more shuffle partitions make more
+
 
 @dataclass(frozen=True)
 class Fill:
@@ -124,12 +126,14 @@ def fill_in_order(
     One window over the whole table would be one task. The rows are cut into
     ranges of the order instead and staged, which pins every row to its range;
     inside a range a window fills forward, and the last and first known value
-    of the neighbouring ranges come from a table with one row per range.
+    of the neighbouring ranges come from a table with one row per range, at
+    most ``MAX_RANGES``, which is why it may be broadcast.
     """
     if not cols:
         return df
     order = [quoted(c) for c in row_order(df, order_by)]
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, min(df.rdd.getNumPartitions(), MAX_RANGES))
     ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
     staged = stage(ranged, "ranged")
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.operators.columns import data_columns, number, numeric_columns, quoted
+from scrubline.operators.columns import number, numeric_columns, quoted
 
 SAMPLE = 50
 SEED = 42
@@ -35,8 +35,8 @@ def jarque_bera(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, col: str, k: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``k`` values drawn by the hash of their row: the same ones on every run and layout."""
-    draw = F.xxhash64(F.lit(seed), *[quoted(c) for c in data_columns(df)])
+    """``k`` values drawn by the hash of their row, row id included: the same ones on every layout."""
+    draw = F.xxhash64(F.lit(seed), *[quoted(c) for c in df.columns])
     value = number(col)
     return (
         df.select(F.lit(col).alias("column"), value.alias("value"), draw.alias("_draw"))

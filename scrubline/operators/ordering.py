@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scrubline.operators.columns import ROW_ID, quoted
-from scrubline.operators.sketches import SLACK, sketch_quantiles
+from scrubline.operators.sketches import GROUPS, SLACK, sketch_quantiles
 
 DIRECT = 5_000_000  # rows one top-k pass takes without narrowing first
 
@@ -25,22 +25,9 @@ def _measure(c: Column, dtype: T.DataType) -> Column | None:
     return None
 
 
-def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None = None) -> DataFrame:
-    """The first ``k`` rows in the order of ``order_by``.
-
-    A plain sort-and-limit keeps ``k`` rows per task and merges them in one.
-    For a large table the leading column is first cut at a sketched quantile,
-    or the row id at its first file, so that the merge sees few rows.
-    """
-    lead = order_by[0]
-    dtype = df.schema[lead].dataType
-    rows = df.count() if rows is None else rows
-    if lead == ROW_ID and isinstance(dtype, T.StructType) and rows > DIRECT:
-        first = df.agg(F.min(f"{ROW_ID}.file_path")).first()[0]
-        head = df.where(F.col(f"{ROW_ID}.file_path") == first)
-        if head.limit(k).count() == k:
-            df = head
-    place = _measure(quoted(lead), dtype)
+def _cut_by_sketch(df: DataFrame, lead: str, k: int, rows: int) -> tuple[DataFrame, int]:
+    """Keep the rows up to a sketched quantile of the leading column that is sure to hold ``k``."""
+    place = _measure(quoted(lead), df.schema[lead].dataType)
     while rows > DIRECT and place is not None:
         (cut,), _ = sketch_quantiles(df, [(place, [min(1.0, k / rows + SLACK)])])
         if cut is None:
@@ -50,4 +37,43 @@ def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None
         if kept < k or kept > rows / 2:
             break
         df, rows = head, kept
-    return df.orderBy(*[quoted(c) for c in order_by]).limit(k)
+    return df, rows
+
+
+def _cut_by_file(df: DataFrame, k: int, rows: int) -> tuple[DataFrame, int]:
+    """Keep the first file when it holds ``k`` rows; the files are read by path."""
+    path = F.col(f"{ROW_ID}.file_path")
+    head = df.where(path == df.agg(F.min(path)).first()[0])
+    kept = head.count()
+    return (head, kept) if kept >= k else (df, rows)
+
+
+def _cut_in_groups(df: DataFrame, order: list[Column], k: int) -> DataFrame:
+    """Keep ``k`` rows per group of tasks, so that the last merge is of a fixed size."""
+    w = Window.partitionBy("_group").orderBy(*order)
+    return (
+        df.withColumn("_group", F.spark_partition_id() % GROUPS)
+        .withColumn("_place", F.row_number().over(w))
+        .where(F.col("_place") <= k)
+        .drop("_group", "_place")
+    )
+
+
+def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None = None) -> DataFrame:
+    """The first ``k`` rows in the order of ``order_by``.
+
+    A plain sort-and-limit keeps ``k`` rows per task and merges them in one.
+    For a large table the leading column is first cut at a sketched quantile,
+    or the row id at its first file; where neither helps, the tasks are merged
+    in groups before the last step.
+    """
+    order = [quoted(c) for c in order_by]
+    lead = order_by[0]
+    rows = df.count() if rows is None else rows
+    if rows > DIRECT and lead == ROW_ID:
+        df, rows = _cut_by_file(df, k, rows)
+    elif rows > DIRECT:
+        df, rows = _cut_by_sketch(df, lead, k, rows)
+    if rows > DIRECT:
+        df = _cut_in_groups(df, order, k)
+    return df.orderBy(*order).limit(k)

@@ -30,7 +30,7 @@ CURRENCY_VALUE = r"[$€£¥₹]|^\d[\d,]+\.\d{2}$"
 PROTECTED = ("id", "email", "phone")
 NUMERIC_ROLES = ("numeric", "currency", "pct")
 
-PREFIX = 4096  # rows searched for the first values before going column by column
+PREFIX = 1024  # rows searched for the first values before going column by column
 
 
 @dataclass(frozen=True)
@@ -73,10 +73,10 @@ def first_values(
     if rows is None:
         rows = df.count()
     sparse: list[str] = []
-    if rows > PREFIX:
-        found = prefix.agg(*[F.count(quoted(c)) for c in cols]).first()
-        have = dict(zip(cols, found))
-        sparse = [c for c in cols if have[c] < min(k, (filled or {}).get(c, k))]
+    gappy = [c for c in cols if filled is None or filled.get(c) != rows]
+    if rows > PREFIX and gappy:
+        found = prefix.agg(*[F.count(quoted(c)) for c in gappy]).first()
+        sparse = [c for c, n in zip(gappy, found) if n < min(k, (filled or {}).get(c, k))]
     out = [ranked(prefix, [c for c in cols if c not in sparse])] if len(sparse) < len(cols) else []
     for c in sparse:
         keep = list(dict.fromkeys([*order_by, c]))

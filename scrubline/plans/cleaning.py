@@ -32,7 +32,7 @@ from scrubline.operators.outliers import Fence, cap, count_outside, outlier_repo
 from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quality import consistency, score
 from scrubline.operators.roles import NUMERIC_ROLES, Role, first_values, infer_roles
-from scrubline.staging import stage
+from scrubline.staging import spread, stage
 
 
 @dataclass
@@ -115,7 +115,7 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
     if not config.use_roles:
         return clean_legacy(df, order_by, config)
     report = Report()
-    df = fold_nan(df)
+    df = spread(fold_nan(df))
     raw, (rows, nulls) = df, null_counts(df)
     report.rows_before, report.nulls_before = rows, nulls
 
@@ -404,7 +404,7 @@ def key_settles_rows(report: Report) -> bool:
 def clean_legacy(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanConfig = LEGACY) -> Cleaned:
     """The older variant: missing values, duplicates, text, dates, outliers, by type alone."""
     report = Report()
-    df = fold_nan(df)
+    df = spread(fold_nan(df))
     rows, nulls = null_counts(df)
     report.rows_before, report.nulls_before = rows, nulls
     roles = infer_roles(df, order_by, config)

@@ -11,6 +11,7 @@ from scrubline.functions.numbers import to_number
 from scrubline.operators.columns import ROW_ID, batches, data_columns, fold_nan, quoted, row_order
 from scrubline.operators.ordering import first_rows
 from scrubline.operators.profile import null_profile
+from scrubline.staging import stage
 
 FORMATS = ("csv", "parquet", "orc", "json")
 
@@ -29,13 +30,17 @@ class EmptyTable(ValueError):
 
 def read_table(
     spark: SparkSession, path: str | Sequence[str], format: str | None = None, row_id: bool = False,
-    multi_line: bool = False,
+    multi_line: bool = False, land: bool = False,
 ) -> DataFrame:
     """Read files of one format, NaN folded to NULL.
 
     ``row_id`` adds ``_rid``, which orders the rows as they lie in the files:
     by file, then by place in the file. CSV columns get the narrowest type all
     their values fit: whole number, number, boolean, else text.
+
+    ``land`` writes the table once as Parquet stage table. Profiling reads a
+    table many times, a few columns each; a large CSV or JSON input would be
+    parsed in full every time.
     """
     paths = [path] if isinstance(path, str) else list(path)
     format = format or paths[0].rstrip("/").rsplit(".", 1)[-1].lower()
@@ -50,7 +55,8 @@ def read_table(
         at = [F.col("_metadata.file_path").alias("file_path"), F.col(f"_metadata.{place}").alias("place")]
         # within one split the id grows with the row; splits are told apart by their start
         df = df.withColumn(ROW_ID, F.struct(*at, F.monotonically_increasing_id().alias("row")))
-    return typed_csv(df) if format == "csv" else fold_nan(df)
+    df = typed_csv(df) if format == "csv" else fold_nan(df)
+    return stage(df, "landed") if land else df
 
 
 def typed_csv(df: DataFrame) -> DataFrame:
@@ -58,7 +64,7 @@ def typed_csv(df: DataFrame) -> DataFrame:
     names = data_columns(df)
     texts = df.withColumns({c: F.when(~quoted(c).isin(*CSV_NULLS), quoted(c)) for c in names})
     kinds: dict[str, str] = {}
-    for some in batches(names, 16):
+    for some in batches(names, 64):  # few scans: a CSV is parsed in full each time
         aggs = []
         for i, c in enumerate(some):
             v = quoted(c)

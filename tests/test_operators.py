@@ -306,6 +306,8 @@ def test_first_rows(spark, monkeypatch, direct):
     monkeypatch.setattr(ordering, "DIRECT", direct)
     df = spark.range(0, 5000, 1, 9).select((4999 - F.col("id")).alias("i"), F.col("id").alias("v")).repartition(5)
     assert [r["i"] for r in ordering.first_rows(df, ["i"], 30).collect()] == list(range(30))
+    named = df.withColumn("s", F.lpad(F.col("i").cast("string"), 5, "0"))
+    assert [r["i"] for r in ordering.first_rows(named, ["s", "i"], 30).collect()] == list(range(30))
     hot = df.withColumn("k", F.when(F.col("i") % 3 == 0, 0).otherwise(F.col("i")))
     assert [r["i"] for r in ordering.first_rows(hot, ["k", "i"], 30).collect()] == list(range(0, 90, 3))
 
