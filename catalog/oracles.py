@@ -439,6 +439,20 @@ select o_orderkey, o_custkey, o_orderpriority, {r('o_totalprice')} as o_totalpri
   year(o_orderdate_txt)::int as o_ordertxt_year, month(o_orderdate_txt)::int as o_ordertxt_month,
   quarter(o_orderdate_txt)::int as o_ordertxt_quarter from c"""
 
+ORACLES["frozen_rules"] = _CLEAN_ORDERS + f""",
+w as (select o_orderkey, o_custkey, coalesce(o_orderpriority, p.fill) as o_orderpriority,
+  greatest(lo, least(coalesce(o_totalprice, t.fill), hi)) as o_totalprice, try_strptime(o_orderdate_txt, '%Y-%m-%d') as day
+  from v, ({label_fill('v', 'o_orderpriority')}) p, ({number_fill('v', 'o_totalprice')}) t, b)
+select o_orderkey, o_custkey, o_orderpriority, {r('o_totalprice')} as o_totalprice, day as o_orderdate_txt,
+  year(day)::int as o_ordertxt_year, month(day)::int as o_ordertxt_month, quarter(day)::int as o_ordertxt_quarter from w"""
+
+ORACLES["legacy_stats"] = union(
+    f"""select {i} as ord, '{c}' as "column", count(*) - count({c}) as missing, {r(f'avg({c})', 2)} as mean,
+    {r(f'median({c})', 2)} as median, {r(f'stddev_samp({c})', 2)} as std, {r(f'min({c})', 2)} as min,
+    {r(f'max({c})', 2)} as max from lineitem"""
+    for i, c in enumerate(LINEITEM)
+)
+
 
 def first_mode(table: str, col: str) -> str:
     return f"(select {col} from {table} where {col} is not null group by {col} order by count(*) desc, {col} limit 1)"

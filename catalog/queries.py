@@ -18,6 +18,7 @@ from scrubline.operators import outliers, profile, quality, roles, summaries
 from scrubline.operators.columns import row_order
 from scrubline.plans import charts, cleaning, insights, report
 from scrubline.sources import runs, sinks, tables
+from scrubline.streaming.frozen import apply_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -469,6 +470,25 @@ def clean_lineitem(spark, sf):
     return rounded(out, 4, "price_txt", "disc_txt", "l_quantity")
 
 
+@query
+def frozen_rules(spark, sf):
+    """Decisions taken on the table, then applied row by row as a stream would."""
+    df = table(spark, sf, "dirty_orders")
+    done = cleaning.clean(df, ["o_orderkey"])
+    return rounded(apply_report(df, done.report), 4, "o_totalprice")
+
+
+@query
+def legacy_stats(spark, sf):
+    return report.legacy_stats(table(spark, sf, "lineitem"))
+
+
+@query
+def cleaning_log(spark, sf):
+    """How many lines of each kind the cleaning log holds."""
+    return _cleaned_orders(spark, sf).log().groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fill_detail(spark, sf):
     return report.fill_detail(_cleaned_orders(spark, sf)).drop("fill_value")

@@ -30,7 +30,12 @@ def plan_names(names: Iterable[str]) -> list[str]:
     return out
 
 
-def normalise_names(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """Rename all columns; the map holds only those that changed."""
-    new = plan_names(df.columns)
-    return df.toDF(*new), {a: b for a, b in zip(df.columns, new) if a != b}
+def normalise_names(df: DataFrame, keep: Iterable[str] = ()) -> tuple[DataFrame, dict[str, str]]:
+    """Rename all columns but those in ``keep``; the map holds only those that changed.
+
+    Columns are renamed by place, so names equal but for their case are no trouble.
+    """
+    keep = set(keep)
+    new = iter(plan_names(c for c in df.columns if c not in keep))
+    names = [c if c in keep else next(new) for c in df.columns]
+    return df.toDF(*names), {a: b for a, b in zip(df.columns, names) if a != b}

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import z_score
 from scrubline.operators.columns import batches, number, numeric_columns, small_frame
+from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.profile import Moments, moments
 from scrubline.operators.quantiles import exact_quantiles
 
 GRID = 300  # points of a density curve
+REPEATS = 20  # rows per value from which counting by value pays
 REACH = 9.0  # bandwidths beyond which a kernel is zero in double precision
 
 
@@ -75,11 +77,12 @@ def density_curve(
 ) -> DataFrame:
     """``point, x, density`` of a Gaussian kernel estimate with Scott's bandwidth.
 
-    Equal values are counted first. Each distinct value then adds to the grid
-    points within ``REACH`` bandwidths of it; beyond that its share is below
-    double precision. The bandwidth shrinks as the table grows, so on a large
-    table a value touches a handful of points. ``scale`` (rows times bin
-    width) lays the curve over a histogram.
+    Each value adds to the grid points within ``REACH`` bandwidths of it;
+    beyond that its share is below double precision. The bandwidth shrinks as
+    the table grows, so on a large table a value touches a handful of points.
+    The sums form in each task, so only grid points are shuffled; a column
+    with much fewer values than rows is counted by value first. ``scale``
+    (rows times bin width) lays the curve over a histogram.
     """
     spark = df.sparkSession
     m = m or moments(df, [col])[col]
@@ -92,11 +95,11 @@ def density_curve(
     first = F.greatest(F.lit(0), F.ceil((v - REACH * h - m.min) / step).cast("int"))
     last = F.least(F.lit(grid - 1), F.floor((v + REACH * h - m.min) / step).cast("int"))
     u = (v - (point * step + m.min)) / h
+    values = df.select(number(col).alias("v"), F.lit(1).alias("n")).where(v.isNotNull())
+    if distinct_counts(df, [col], 0)[col] * REPEATS < m.n:
+        values = values.groupBy("v").agg(F.count("n").alias("n"))
     sums = (
-        df.where(number(col).isNotNull())
-        .groupBy(number(col).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select("v", "n", first.alias("first"), last.alias("last"))
+        values.select("v", "n", first.alias("first"), last.alias("last"))
         .where("first <= last")
         .select("v", "n", F.explode(F.sequence("first", "last")).alias("point"))
         .groupBy("point")

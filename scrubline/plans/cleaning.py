@@ -115,14 +115,17 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
     if not config.use_roles:
         return clean_legacy(df, order_by, config)
     report = Report()
-    df = spread(fold_nan(df))
-    raw, (rows, nulls) = df, null_counts(df)
-    report.rows_before, report.nulls_before = rows, nulls
-
-    df, order = name_pass(df, order_by, report)
-    counted = rows, dict(zip(data_columns(df), nulls.values()))
+    raw_names = data_columns(df)
+    named, order = name_pass(df, order_by, report)
+    df = spread(fold_nan(named))
+    rows, nulls = counted = null_counts(df)
+    report.rows_before = rows
+    report.nulls_before = {
+        (a if raw_names.count(a) == 1 else b): n for a, (b, n) in zip(raw_names, nulls.items())
+    }
+    raw = df
     roles, report.duplicates_before = together(
-        lambda: infer_roles(df, order, config, counted), lambda: duplicate_count(raw).first()["duplicates"]
+        lambda: infer_roles(raw, order, config, counted), lambda: duplicate_count(raw).first()["duplicates"]
     )
     report.roles = roles
     report.detail("Roles: " + ", ".join(f"{r.column}={r.role}" for r in roles))
@@ -136,10 +139,7 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
 
 def name_pass(df: DataFrame, order_by, report: Report) -> tuple[DataFrame, list[str] | None]:
     report.section("Column names and roles")
-    rid = ROW_ID in df.columns
-    named, renames = normalise_names(df.drop(ROW_ID) if rid else df)
-    if rid:
-        named = df.withColumnsRenamed(renames)
+    named, renames = normalise_names(df, [ROW_ID])
     report.renames = renames
     if renames:
         report.detail("Renamed: " + ", ".join(f"{a} -> {b}" for a, b in list(renames.items())[:5]))

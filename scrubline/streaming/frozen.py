@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from scrubline.functions import dates as D
 from scrubline.functions.names import normalise_names
-from scrubline.operators.columns import quoted
+from scrubline.operators.columns import ROW_ID, fold_nan, quoted
 from scrubline.operators.missing import apply_fills
 from scrubline.operators.outliers import cap
 from scrubline.plans.cleaning import Report, apply_values, parsed_date
@@ -18,7 +18,8 @@ from scrubline.plans.cleaning import Report, apply_values, parsed_date
 
 def apply_report(df: DataFrame, report: Report) -> DataFrame:
     """Names, values, constant fills, dates, time features and caps as decided in ``report``."""
-    df, _ = normalise_names(df)
+    df, _ = normalise_names(df, [ROW_ID])
+    df = fold_nan(df)
     df = apply_values(df, report.roles).drop(*report.dropped)
     df = apply_fills(df, report.fills)
     if report.date_formats:

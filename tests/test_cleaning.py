@@ -116,6 +116,13 @@ def test_properties_on_orders(spark):
     assert 10 <= done.report.quality_after <= 100
 
 
+def test_names_that_differ_in_case_only(spark):
+    df = spark.createDataFrame([(i, i % 3, f"n{i}") for i in range(30)], "a int, b int, c string").toDF("Key", "KEY", "key")
+    done = cleaning.clean(df)
+    assert done.table.columns == ["key", "key_2", "key_3"] and done.report.rows_after == 30
+    assert len(done.report.nulls_before) == 3
+
+
 def test_date_only_key(spark):
     rows = [(f"2024-01-{i % 20 + 1:02}", float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "day string, v double")
