@@ -113,6 +113,8 @@ def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
         c = quoted(f.column)
         if isinstance(f.value, float):
             new[f.column] = F.coalesce(c.cast("double"), F.lit(f.value))
+        elif types[f.column] == "boolean" and f.strategy == UNKNOWN:
+            new[f.column] = F.coalesce(c.cast("string"), F.lit(f.value))
         else:
             new[f.column] = F.coalesce(c, F.lit(f.value).cast(types[f.column]))
     return df.withColumns(new) if new else df

@@ -61,10 +61,6 @@ def moments(df: DataFrame, cols: Sequence[str]) -> dict[str, Moments]:
     return out
 
 
-def row_count(df: DataFrame) -> int:
-    return df.count()
-
-
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> tuple[int, dict[str, int]]:
     """Rows, and missing values per column, in one scan."""
     cols = list(cols if cols is not None else data_columns(df))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.functions.dates import month_end
 from scrubline.functions.numbers import compact_axis
 from scrubline.operators.columns import number, numeric_columns, quoted
+from scrubline.operators.frequencies import most_frequent
 
 BIG_TOTAL = 9999  # a sum above this is shown as total, else the mean is
 
@@ -89,11 +90,5 @@ def category_summary(df: DataFrame, category: str, value: str, k: int = 8) -> Da
 
 def members_of_top(df: DataFrame, category: str, k: int = 8) -> DataFrame:
     """The rows whose category is among the ``k`` most frequent."""
-    top = (
-        df.where(quoted(category).isNotNull())
-        .groupBy(quoted(category).alias("_top"))
-        .count()
-        .orderBy(F.desc("count"), "_top")
-        .limit(k)
-    )
+    top = most_frequent(df, category, k).select(F.col("value").alias("_top"))
     return df.join(F.broadcast(top), quoted(category) == F.col("_top"), "left_semi")

@@ -25,7 +25,7 @@ from scrubline.operators.columns import (
 from scrubline.operators.duplicates import business_key, drop_exact, duplicate_count, key_groups
 from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.missing import (
-    IN_ORDER, Fill, apply_fills, decide_fills, fill_in_order, fill_log, sparse_columns,
+    Fill, apply_fills, decide_fills, fill_in_order, fill_log, sparse_columns,
 )
 from scrubline.operators.ordering import first_rows
 from scrubline.operators.outliers import Fence, cap, count_outside, outlier_report, tukey_fences

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scrubline.functions.numbers import round_even
 
 from scrubline.functions.text import truncate
-from scrubline.operators.columns import data_columns, numeric_columns, quoted, row_order, small_frame
+from scrubline.operators.columns import data_columns, numeric_columns, row_order, small_frame
 from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.missing import fill_log
 from scrubline.operators.profile import null_counts, numeric_stats, table_shape
@@ -41,13 +41,18 @@ def key_facts(df: DataFrame) -> DataFrame:
 
 
 def schema_table(
-    df: DataFrame, roles: Sequence[Role], order_by: Sequence[str] | None = None, first: int = SCHEMA_COLUMNS
+    df: DataFrame, roles: Sequence[Role], order_by: Sequence[str] | None = None, first: int = SCHEMA_COLUMNS,
+    approx: bool = False,
 ) -> DataFrame:
-    """Field, type, role, filled and distinct values and the first value of the leading columns."""
+    """Field, type, role, filled and distinct values and the first value of the leading columns.
+
+    An exact distinct count shuffles every value of a long column; ``approx``
+    keeps it exact for few values and estimates the rest.
+    """
     cols = data_columns(df)[:first]
     rows, nulls = null_counts(df, cols)
     simple = [f.name for f in df.schema.fields if f.name in cols and f.dataType.simpleString().find("<") < 0]
-    distinct = distinct_counts(df, cols)
+    distinct = distinct_counts(df, cols, 1000 if approx else None)
     filled = {c: rows - nulls[c] for c in cols}
     by_role = {r.column: r.role for r in roles}
     types = dict(df.dtypes)
@@ -124,8 +129,3 @@ def report_row(df: DataFrame, report: Report) -> DataFrame:
 
     parts = report.as_dict()
     return small_frame(df, [tuple(json.dumps(v) for v in parts.values())], ", ".join(f"{k} string" for k in parts))
-
-
-def written_columns(df: DataFrame) -> DataFrame:
-    """Data columns only."""
-    return df.select(*[quoted(c) for c in data_columns(df)])

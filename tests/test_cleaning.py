@@ -1,5 +1,6 @@
 import json
-from datetime import datetime
+from datetime import date, datetime
+from decimal import Decimal
 
 import pandas as pd
 import pytest
@@ -123,6 +124,26 @@ def test_names_that_differ_in_case_only(spark):
     assert len(done.report.nulls_before) == 3
 
 
+@pytest.mark.parametrize("rows", [
+    [],
+    [(1, None, None, None, None, None, None)],
+    [(i, None, i % 2 == 0 if i < 3 else None, None, None, None, [i]) for i in range(8)],
+    [(i, Decimal(i) / 4, i % 2 == 0, date(2024, 1, 1 + i % 20) if i % 3 else None, float("nan"), "  ", None) for i in range(40)],
+])
+def test_unusual_tables(spark, rows):
+    """Empty, single-row, all-missing, NaN, decimal, boolean, date and array columns."""
+    schema = "id int, amount decimal(10,2), flag boolean, day date, ratio double, note string, list array<int>"
+    df = spark.createDataFrame(rows, schema)
+    for config in (CleanConfig(), LEGACY):
+        done = cleaning.clean(df, ["id"], config)
+        assert done.table.count() == len(rows)
+        assert insights.insights(done.table, done.report).count() > 0
+        assert insights.legacy_insights(done.table, done.report).count() > 0
+        for c in charts.chart_datasets(done.table, done.report.roles):
+            c.data.collect()
+    assert sorted(map(str, sinks.export_layout(df).columns)) == sorted(df.columns)
+
+
 def test_date_only_key(spark):
     rows = [(f"2024-01-{i % 20 + 1:02}", float(i)) for i in range(60)]
     df = spark.createDataFrame(rows, "day string, v double")
