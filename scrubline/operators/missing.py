@@ -18,7 +18,7 @@ from scrubline.operators.quantiles import medians
 from scrubline.operators.roles import NUMERIC_ROLES, Role
 from scrubline.staging import stage
 
-# Names of the fill strategies.
+# Names of the fill strategies.
 ZERO = "constant (0)"
 MEAN = "mean (near-normal dist.)"
 MEDIAN = "median (skewed dist.)"
