@@ -27,9 +27,14 @@ def stage_dir(spark: SparkSession) -> str:
     return _local_dirs[sc.applicationId]
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A folder of its own on shared storage that nothing has been written to yet."""
+    return f"{stage_dir(spark).rstrip('/')}/scrubline/{label}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet stage table and read it back."""
-    path = f"{stage_dir(df.sparkSession).rstrip('/')}/scrubline/{label}-{uuid.uuid4().hex}"
+    path = new_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
