@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,7 +67,17 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
 # ── tokenizers ──
 
 MAX_VOCABULARY_BYTES = 64 << 20
-_GAPS = re.compile(rb"^ | $| [ \t-\r]|[\t-\r] |[\xc2\xe1\xe2\xe3][\x80\x81\x85\x9a\x9f\xa0]")
+_RARE = [bytes([c]) for c in b"\0\t\x0b\x0c\r"]
+_LEADS = [bytes([c]) for c in b"\xc2\xe1\xe2\xe3"]
+_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
+
+
+def _plain(text: bytes) -> bool:
+    """Whether all white space of a text is single blanks and line feeds between other characters."""
+    return bool(text) and text[0] not in b" \n" and text[-1] not in b" \n" and not (
+        b"  " in text or b" \n" in text or b"\n " in text or b"\n\n" in text
+        or any(c in text for c in _RARE) or (any(c in text for c in _LEADS) and _SPACE.search(text))
+    )
 
 
 def vocabulary(path: str) -> dict:
@@ -78,68 +89,81 @@ def vocabulary(path: str) -> dict:
     return {"vocabulary": text}
 
 
+class _Places(dict):
+    """Numbers keys as they come; ``new`` holds those not yet encoded."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = place = len(self)
+        self.new.append(key)
+        return place
+
+
 class PieceEncoder:
-    """Encodes texts piece by piece, keeping the ids of pieces seen before.
+    """Encodes texts piece by piece, keeping the ids of up to ``limit`` pieces seen before.
 
-    A text is cut before each single blank between two other characters. Both
-    kinds of tokenizer used here cut there as well, so the ids of the pieces in
-    a row are the ids of the text. Texts with other white space beside a blank
-    are encoded in one call.
+    A text is cut before each blank or line feed between two other characters.
+    Both kinds of tokenizer used here cut there as well, so the ids of the
+    pieces in a row are the ids of the text. Texts with other white space, or
+    more of it in one place, are encoded whole.
     """
 
-    def __init__(self, vocabulary_text: str, limit: int = 400_000):
+    def __init__(self, vocabulary_text: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary_text)
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.int32)
-        self.used = 0
-        self.first: list[int] = []
-        self.size: list[int] = []
-        self.tables = None
-
-    def whole(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
-
-    def learn(self, pieces: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch([p.decode("utf-8", "replace") for p in pieces], add_special_tokens=False)
-        for piece, e in zip(pieces, found):
-            ids = e.ids
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.place[piece] = len(self.first)
-            self.first.append(self.used)
-            self.size.append(len(ids))
-            self.used += len(ids)
-        self.tables = None
+        # pieces after a blank, and those at a text's start or after a line feed
+        self.places = _Places()
+        self.flat = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int64)
+
+    def _learn(self) -> None:
+        """Encode the new pieces; their ids go behind those known."""
+        new = self.places.new
+        texts = [p[1:] if p[:1] == b"\0" else p if p[:1] == b"\n" else b" " + p for p in new]
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        ids = [e.ids for e in found]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        self.places.new = []
+
+    def _forget(self) -> None:
+        """Drop the pieces beyond the limit; the earliest, which recur most, stay."""
+        while len(self.places) > self.limit:
+            self.places.popitem()
+        self.sizes = self.sizes[: self.limit]
+        self.flat = self.flat[: int(self.sizes.sum())]
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [None if _GAPS.search(t) else t.split(b" ") for t in texts]
-        cut = [p if p is None else [p[0], *[b" " + x for x in p[1:]]] for p in cut]
-        new = {x for p in cut if p for x in p} - self.place.keys()
-        if len(self.place) + len(new) > self.limit and self.place:
-            self.clear()
-            new = {x for p in cut if p for x in p}
-        if new:
-            self.learn(sorted(new))
-        if self.tables is None:
-            self.tables = np.array(self.first, np.int64), np.array(self.size, np.int64)
-        first, size = self.tables
-        out = []
-        for text, pieces in zip(texts, cut):
-            if pieces is None:
-                out.append(self.whole(text))
+        out: list[np.ndarray | None] = [None] * len(texts)
+        pieces: list[bytes] = []
+        counts, at = [], []
+        for k, text in enumerate(texts):
+            if not _plain(text):
+                out[k] = np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
                 continue
-            at = np.fromiter(map(self.place.__getitem__, pieces), np.int64, len(pieces))
-            n = size[at]
-            ends = np.cumsum(n)
-            out.append(self.flat[np.repeat(first[at] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)])
+            cut = (b"\0" + text).replace(b"\n", b" \n").split(b" ")
+            pieces += cut
+            counts.append(len(cut))
+            at.append(k)
+        if not pieces:
+            return out
+        place = np.fromiter(map(self.places.__getitem__, pieces), np.int64, len(pieces))
+        if self.places.new:
+            self._learn()
+        n = self.sizes[place]
+        ends = np.cumsum(n)
+        first = (np.cumsum(self.sizes) - self.sizes)[place]
+        ids = self.flat[np.repeat(first - ends + n, n) + np.arange(ends[-1])]
+        for k, found in zip(at, np.split(ids, ends[np.cumsum(counts)[:-1] - 1])):
+            out[k] = found
+        if len(self.places) > self.limit:
+            self._forget()
         return out
 
 
