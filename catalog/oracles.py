@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from scrubline.operators.normality import weights
 from catalog.views import with_views
 from scrubline.functions.text import FAKE_NULLS, LEGACY_NULLS
 
@@ -421,11 +422,12 @@ select *, {r('least((1 - nulls / (rows * 6)) * 40 + (1 - duplicates / rows) * 20
 
 # ── whole runs ──
 
-_CLEAN_ORDERS = with_views("dirty_orders") + f""",
-v as (select o_orderkey, o_custkey, {title(normal(real('o_orderpriority')))} as o_orderpriority, o_totalprice,
+def _clean_orders(order: str) -> str:
+    return with_views("dirty_orders") + f""",
+v as (select sparse_status, o_orderkey, o_custkey, {title(normal(real('o_orderpriority')))} as o_orderpriority, o_totalprice,
   {real('o_orderdate_txt')} as o_orderdate_txt from dirty_orders),
 f as (select o_orderkey, o_custkey, coalesce(o_orderpriority, p.fill) as o_orderpriority,
-  coalesce(o_totalprice, t.fill) as o_totalprice, {in_order('o_orderdate_txt', 'o_orderkey')} as day
+  coalesce(o_totalprice, t.fill) as o_totalprice, {in_order('o_orderdate_txt', order)} as day
   from v, ({label_fill('v', 'o_orderpriority')}) p, ({number_fill('v', 'o_totalprice')}) t),
 u as (select distinct * from f),
 k as (select * from u qualify row_number() over (
@@ -434,11 +436,15 @@ b as ({fences('k', 'o_totalprice')}),
 c as (select o_orderkey, o_custkey, o_orderpriority, greatest(lo, least(o_totalprice, hi)) as o_totalprice,
   try_strptime(day, '%Y-%m-%d') as o_orderdate_txt from k, b)"""
 
+
+_CLEAN_ORDERS = _clean_orders("o_orderkey")
 ORACLES["clean_orders"] = _CLEAN_ORDERS + f"""
 select o_orderkey, o_custkey, o_orderpriority, {r('o_totalprice')} as o_totalprice, o_orderdate_txt,
   year(o_orderdate_txt)::int as o_ordertxt_year, month(o_orderdate_txt)::int as o_ordertxt_month,
   quarter(o_orderdate_txt)::int as o_ordertxt_quarter from c"""
 
+ORACLES["clean_by_dropped_order"] = ORACLES["clean_orders"].replace(_CLEAN_ORDERS, _clean_orders("sparse_status nulls first, o_orderkey"))
+
 ORACLES["frozen_rules"] = _CLEAN_ORDERS + f""",
 w as (select o_orderkey, o_custkey, coalesce(o_orderpriority, p.fill) as o_orderpriority,
   greatest(lo, least(coalesce(o_totalprice, t.fill), hi)) as o_totalprice, try_strptime(o_orderdate_txt, '%Y-%m-%d') as day
@@ -477,13 +483,14 @@ def capped(col: str) -> str:
 
 _CAPPED = ("l_linenumber", "price_txt", "disc_txt", "l_quantity")
 ORACLES["clean_lineitem"] = with_views("dirty_lineitem") + f""",
-v as (select l_orderkey, l_linenumber, {_PRICE} as price_txt, {_DISC} as disc_txt, {normal(real('qty_txt'))} as qty_txt, l_quantity
-  from dirty_lineitem),
-f as (select distinct l_orderkey, l_linenumber, price_txt, coalesce(disc_txt, d.fill) as disc_txt, qty_txt,
+v as (select l_orderkey, l_linenumber, {_PRICE} as price_txt, {_DISC} as disc_txt, {normal(real('qty_txt'))} as qty_txt, l_quantity,
+  row_number() over (partition by l_orderkey order by l_linenumber, t.price_txt nulls first, t.disc_txt nulls first,
+    t.qty_txt nulls first, t.l_quantity nulls first) as nth
+  from dirty_lineitem t),
+f as (select nth, l_orderkey, l_linenumber, price_txt, coalesce(disc_txt, d.fill) as disc_txt, qty_txt,
   coalesce(l_quantity, q.fill) as l_quantity
   from v, ({number_fill('v', 'disc_txt')}) d, ({number_fill('v', 'l_quantity')}) q),
-k as (select * from f qualify row_number() over (
-  partition by l_orderkey order by l_orderkey, l_linenumber, price_txt, disc_txt, qty_txt, l_quantity) = 1),
+k as (select * from f where nth = 1),
 {', '.join(f"b_{c} as ({fences('k', c)})" for c in _CAPPED)}
 select l_orderkey, {capped('l_linenumber')} as l_linenumber, {r(capped('price_txt'))} as price_txt,
   {r(capped('disc_txt'))} as disc_txt, qty_txt, {r(capped('l_quantity'))} as l_quantity from k"""
@@ -659,3 +666,28 @@ select * from (values (1, 'histogram', 'o_totalprice'), (2, 'bar', 'o_orderstatu
   (4, 'line', 'o_orderdate_o_totalprice'), (5, 'grouped', 'o_orderstatus_o_totalprice'), (0, 'kpi', 'kpi_summary')) v(ord, type, "column")"""
 
 ORACLES["chart_columns"] = f"select ord, a, b, {r('r')} as r from ({pairs('lineitem', LINEITEM[3:])})"
+
+
+# ── later additions ──
+
+ORACLES["csv_round_trip"] = with_views("long_ids") + "select cast(id_19 as bigint) as id_19, id_22, label from long_ids"
+ORACLES["csv_round_trip_cleaned"] = with_views("long_ids") + "select cast(id_19 as bigint) as id_19, id_22 from long_ids"
+ORACLES["run_append"] = with_views("event_runs") + """
+select id, user_id, original_rows::bigint + 3000000000 as original_rows, cleaned_rows::bigint as cleaned_rows from event_runs"""
+ORACLES["owner_history"] = with_views("event_runs") + """
+select id, user_id, original_rows - cleaned_rows as removed_rows from event_runs
+where user_id = (select min(user_id) from event_runs) order by created_at desc, id desc limit 15"""
+ORACLES["fetch_run"] = with_views("event_runs") + """
+select id, user_id, filename from event_runs where id = (select min(id) from event_runs)"""
+ORACLES["histogram_far_tail"] = """
+select least(floor(v / 100), 9999999999999)::bigint as bin, count(*) as n
+from (select case when event_id = 0 then 1e15 else value end as v from events) where v is not null group by 1"""
+
+_DRAWN = """
+select '{c}' as "column", count(*) as n, {w} as w from (
+  select v, row_number() over (order by v) as i, avg(v) over () as mean from (
+    select v from (select v, unnest(range(1, n + 1)) as copy from (
+      select {c} as v, count(*) as n from lineitem where {c} is not null group by 1))
+    order by md5(concat_ws(':', '42', v, copy)), v limit 50))"""
+_W = r(f"pow(sum(([{', '.join(map(repr, weights(50).tolist()))}])[i] * v), 2) / sum((v - mean) * (v - mean))", 6)
+ORACLES["shapiro_sample"] = union(_DRAWN.format(c=c, w=_W) for c in ("l_quantity", "l_extendedprice"))

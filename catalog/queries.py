@@ -18,6 +18,7 @@ from scrubline.operators import outliers, profile, quality, roles, summaries
 from scrubline.operators.columns import row_order
 from scrubline.plans import charts, cleaning, insights, report
 from scrubline.sources import runs, sinks, tables
+from scrubline.staging import new_path
 from scrubline.streaming.frozen import apply_report
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,6 +55,47 @@ def capped_value_stats(spark, sf):
 # ── sources and sinks ──
 
 
+@query
+def csv_round_trip(spark, sf):
+    """Written as CSV and read back: whole numbers of 19 and 22 digits keep every digit."""
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, sf, "long_ids"), path)
+    return tables.read_table(spark, path, "csv")
+
+
+@query
+def csv_round_trip_cleaned(spark, sf):
+    path = new_path(spark, "csv")
+    sinks.write_csv(table(spark, sf, "long_ids"), path)
+    return cleaning.clean(tables.read_table(spark, path, "csv", row_id=True)).table.select("id_19", "id_22")
+
+
+@query
+def run_append(spark, sf):
+    """Runs appended to the history in two writes, with more rows than 32 bits count."""
+    path = new_path(spark, "runs")
+    rows = table(spark, sf, "event_runs").withColumn("original_rows", F.col("original_rows") + F.lit(3_000_000_000))
+    blank = {c: F.lit(None).cast("string") for c in ("columns", "insights_json", "charts_json", "cleaning_json")}
+    full = rows.withColumns(blank).withColumn("cleaned_rows", F.col("cleaned_rows").cast("bigint"))
+    for part in (0, 1):
+        runs.append_runs(full.where(F.col("id") % 2 == part), path)
+    return runs.read_runs(spark, path).select("id", "user_id", "original_rows", "cleaned_rows")
+
+
+@query
+def owner_history(spark, sf):
+    df = table(spark, sf, "event_runs")
+    return runs.history(df, owner=df.agg(F.min("user_id")).first()[0]).select("id", "user_id", "removed_rows")
+
+
+@query
+def fetch_run(spark, sf):
+    """A run asked for by its owner, and the same run asked for by another."""
+    df = table(spark, sf, "event_runs")
+    run, owner = df.select("id", "user_id").orderBy("id").first()
+    return runs.fetch_run(df, run, owner).union(runs.fetch_run(df, run, owner + 1)).select("id", "user_id", "filename")
+
+
 @query
 def load_summary(spark, sf):
     return rounded(tables.load_summary(table(spark, sf, "dirty_events")), 4, "null_pct")
@@ -388,7 +430,15 @@ def normality_jb(spark, sf):
 
 @query
 def shapiro_sample(spark, sf):
-    return normality.shapiro_sample(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    found = normality.shapiro_sample(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
+    return rounded(found.drop("p"), 6, "w")
+
+
+@query
+def histogram_far_tail(spark, sf):
+    """One value far away from the others: most bins are empty."""
+    df = table(spark, sf, "events").select(F.when(F.col("event_id") == 0, 1e15).otherwise(F.col("value")).alias("value"))
+    return distribution.histogram(df, "value", distribution.Bins(0.0, 1e15, 10**13)).select("bin", "n")
 
 
 @query
@@ -458,6 +508,13 @@ def clean_orders(spark, sf):
     return rounded(_cleaned_orders(spark, sf).table, 4, "o_totalprice")
 
 
+@query
+def clean_by_dropped_order(spark, sf):
+    """Rows ordered by a column that the cleaning drops."""
+    out = cleaning.clean(table(spark, sf, "dirty_orders"), ["sparse_status"]).table
+    return rounded(out, 4, "o_totalprice")
+
+
 @query
 def clean_orders_legacy(spark, sf):
     return rounded(_cleaned_orders(spark, sf, LEGACY).table, 4, "o_totalprice")

@@ -44,6 +44,12 @@ select o_orderkey,
     else 'soon' end as day_txt
 from (select o_orderkey, substring(iso, 1, 4) as yyyy, substring(iso, 6, 2) as mm, substring(iso, 9, 2) as dd
       from (select o_orderkey, cast(cast(o_orderdate as date) as varchar(10)) as iso from {orders}) a) b""",
+    # whole numbers too long for a double, and for 64 bits
+    "long_ids": """
+select concat('1234567890123', substring(cast(1000000 + o_orderkey as varchar(9)), 2, 6)) as id_19,
+  concat('1234567890123456', substring(cast(1000000 + o_orderkey as varchar(9)), 2, 6)) as id_22,
+  case when o_orderkey % 9 = 0 then null else o_orderpriority end as label
+from {orders}""",
     # one analysis run per event
     "event_runs": """
 select event_id as id, user_id, concat(event_type, '.csv') as filename,
@@ -55,7 +61,7 @@ from {events}""",
 
 SOURCE = {
     "dirty_orders": "orders", "dirty_lineitem": "lineitem", "dirty_events": "events",
-    "dup_orders": "orders", "mixed_dates": "orders", "event_runs": "events",
+    "dup_orders": "orders", "mixed_dates": "orders", "event_runs": "events", "long_ids": "orders",
 }
 
 

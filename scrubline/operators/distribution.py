@@ -49,10 +49,14 @@ def plan_bins(df: DataFrame, col: str) -> tuple[Moments, Bins]:
 
 
 def histogram(df: DataFrame, col: str, bins: Bins | None = None) -> DataFrame:
-    """``bin, low, high, n`` of the bins that hold values; the last bin is closed."""
+    """``bin, low, high, n`` of the bins that hold values; the last bin is closed.
+
+    A far tail asks for many more bins than there are values. Empty bins are
+    never made, so their number costs nothing.
+    """
     bins = bins or plan_bins(df, col)[1]
     x, last = F.col("x"), bins.count - 1
-    guess = F.least(F.floor((x - bins.low) / (bins.high - bins.low) * bins.count), F.lit(last)).cast("int")
+    guess = F.least(F.floor((x - bins.low) / (bins.high - bins.low) * bins.count), F.lit(last)).cast("bigint")
     # the division may land one bin off the edge; the edges decide
     place = F.when(x < F.col("bin") * bins.width + bins.low, F.col("bin") - 1).when(
         (F.col("bin") < last) & (x >= (F.col("bin") + 1) * bins.width + bins.low), F.col("bin") + 1

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scrubline.config import CURRENT, CleanConfig
 from scrubline.operators.columns import ROW_ID, data_columns, orderable, quoted, row_order
+from scrubline.operators.ordering import is_numbered
 from scrubline.operators.roles import Role
 
 
@@ -23,9 +24,17 @@ def copy_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"), *keep)
 
 
+def with_digest(df: DataFrame) -> DataFrame:
+    """``df`` with a 128-bit digest ``_d1, _d2`` of its data columns; equal digests are taken for equal rows."""
+    cols = [quoted(c) for c in data_columns(df)]
+    marked = [*cols, *[c.isNull() for c in cols]]  # a NULL leaves a digest as it is
+    return df.withColumns({f"_d{i}": F.xxhash64(F.lit(i), *marked) for i in (1, 2)})
+
+
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows, and how many of them repeat another row."""
-    return copy_counts(df).agg(
+    """Rows, and how many of them repeat another row; digests travel, not the rows."""
+    copies = with_digest(df).groupBy("_d1", "_d2").agg(F.count(F.lit(1)).alias("_copies"))
+    return copies.agg(
         F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).alias("duplicates"),
     )
@@ -53,8 +62,14 @@ def key_groups(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None
     """First row of each key in the row order, with the key's row count as ``_repeats``.
 
     A first row is a minimum, found by partial aggregation: a key holding a
-    third of the table sends one row per task, and no group is ever sorted.
+    third of the table sends one row per task. A numbered table has its
+    minimum by hash aggregation; otherwise whole rows are compared, sorted by key.
     """
+    if is_numbered(df) and not order_by:
+        first = df.groupBy(*[quoted(c).alias(f"_key{i}") for i, c in enumerate(key)]).agg(
+            F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("_repeats")
+        )
+        return df.join(first.select(ROW_ID, "_repeats"), ROW_ID).select(*[quoted(c) for c in df.columns], "_repeats")
     order = row_order(df, order_by)
     rest = [c for c in df.columns if c not in order]
     row = F.struct(*[quoted(c) for c in order + rest])
@@ -69,6 +84,23 @@ def key_groups(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None
     )
 
 
+def first_of_each(df: DataFrame, key: Sequence[str] = ()) -> DataFrame:
+    """Rows of a numbered table without exact copies, then without repeats of ``key``.
+
+    The first of each group stays, with the number of different rows of its key
+    as ``_repeats``. Both steps find the smallest row number by hash
+    aggregation of digests and keys; the rows themselves move once.
+    """
+    narrow = with_digest(df).select("_d1", "_d2", ROW_ID, *[quoted(c).alias(f"_key{i}") for i, c in enumerate(key)])
+    keys = [f"_key{i}" for i in range(len(key))]
+    rows = narrow.groupBy("_d1", "_d2", *keys).agg(F.min(ROW_ID).alias(ROW_ID))
+    if key:
+        rows = rows.groupBy(*keys).agg(F.min(ROW_ID).alias(ROW_ID), F.count(F.lit(1)).alias("_repeats"))
+    else:
+        rows = rows.select(ROW_ID, F.lit(1).cast("long").alias("_repeats"))
+    return df.join(rows.select(ROW_ID, "_repeats"), ROW_ID).select(*[quoted(c) for c in df.columns], "_repeats")
+
+
 def drop_key_repeats(df: DataFrame, key: Sequence[str], order_by: Sequence[str] | None = None) -> DataFrame:
     """Keep the first row of each key; NULL keys are equal to each other."""
     return key_groups(df, key, order_by).drop("_repeats")

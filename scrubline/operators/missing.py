@@ -5,18 +5,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from scrubline.config import CURRENT, CleanConfig
+from scrubline.functions import numbers as N
 from scrubline.jobs import together
-from scrubline.operators.columns import quoted, row_order, small_frame
+from scrubline.operators.columns import ROW_ID, quoted, small_frame
 from scrubline.operators.frequencies import modes
+from scrubline.operators.ordering import RANGE_BITS, numbered
 from scrubline.operators.profile import Moments, moments
 from scrubline.operators.quantiles import medians
 from scrubline.operators.roles import NUMERIC_ROLES, Role
-from scrubline.staging import stage
 
 # Names of the fill strategies.
 ZERO = "constant (0)"
@@ -26,8 +26,6 @@ IN_ORDER = "forward-fill / backward-fill"
 UNKNOWN = "constant (Unknown)"
 MODE = "mode"
 
-MAX_RANGES = 50_000  # ranges a large table is cut into; more shuffle partitions make more
-
 
 @dataclass(frozen=True)
 class Fill:
@@ -104,7 +102,11 @@ def decide_fills(
 
 
 def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
-    """Put in the constant fills; numbers become double."""
+    """Put in the constant fills.
+
+    Numbers become double, but for 64-bit whole numbers and decimals: they keep
+    every digit, the former as they are or as decimals where the fill has a fraction.
+    """
     types = dict(df.dtypes)
     new = {}
     for f in fills:
@@ -112,7 +114,7 @@ def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
             continue
         c = quoted(f.column)
         if isinstance(f.value, float):
-            new[f.column] = F.coalesce(c.cast("double"), F.lit(f.value))
+            new[f.column] = _with_number(c, types[f.column], f.value)
         elif types[f.column] == "boolean" and f.strategy == UNKNOWN:
             new[f.column] = F.coalesce(c.cast("string"), F.lit(f.value))
         else:
@@ -120,28 +122,30 @@ def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
     return df.withColumns(new) if new else df
 
 
+def _with_number(c: Column, kind: str, value: float) -> Column:
+    if kind == "bigint" and value == int(value):
+        return F.coalesce(c, F.lit(int(value)))
+    if kind == "bigint" or kind.startswith("decimal"):
+        wide = "decimal(24,4)" if kind == "bigint" else "decimal(38,10)"
+        return F.coalesce(c.cast(wide), F.lit(value).cast(wide))
+    return F.coalesce(N.to_number(c) if kind == "string" else c.cast("double"), F.lit(value))
+
+
 def fill_in_order(
     df: DataFrame, cols: Sequence[str], order_by: Sequence[str] | None = None
 ) -> DataFrame:
     """Forward then backward fill along the row order.
 
-    One window over the whole table would be one task. The rows are cut into
-    ranges of the order instead and staged, which pins every row to its range;
-    inside a range a window fills forward, and the last and first known value
-    of the neighbouring ranges come from a table with one row per range, at
-    most ``MAX_RANGES``, which is why it may be broadcast.
+    One window over the whole table would be one task. The rows are numbered
+    in ranges of their order instead; inside a range a window fills forward,
+    and the last and first known value of the neighbouring ranges come from a
+    table with one row per range. A numbered table is shuffled once, for the window.
     """
     if not cols:
         return df
-    order = [quoted(c) for c in row_order(df, order_by)]
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(parts, min(df.rdd.getNumPartitions(), MAX_RANGES))
-    ranged = df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
-    staged = stage(ranged, "ranged")
-
-    position = F.struct(*order)
-    known = {c: F.when(quoted(c).isNotNull(), position) for c in cols}
-    ends = staged.groupBy("_range").agg(
+    rows = numbered(df, order_by).withColumn("_range", F.shiftright(ROW_ID, RANGE_BITS))
+    known = {c: F.when(quoted(c).isNotNull(), F.col(ROW_ID)) for c in cols}
+    ends = rows.groupBy("_range").agg(
         *[F.max_by(quoted(c), known[c]).alias(f"_last{i}") for i, c in enumerate(cols)],
         *[F.min_by(quoted(c), known[c]).alias(f"_first{i}") for i, c in enumerate(cols)],
     )
@@ -156,8 +160,8 @@ def fill_in_order(
             for i in range(len(cols))
         ],
     )
-    so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = staged.join(F.broadcast(carry), "_range").withColumns(
+    so_far = Window.partitionBy("_range").orderBy(ROW_ID).rowsBetween(Window.unboundedPreceding, 0)
+    filled = rows.join(carry, "_range").withColumns(
         {
             c: F.coalesce(F.last(quoted(c), True).over(so_far), F.col(f"_before{i}"), F.col(f"_after{i}"))
             for i, c in enumerate(cols)

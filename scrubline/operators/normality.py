@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.operators.columns import number, numeric_columns, quoted
+from scrubline.operators.columns import number, numeric_columns, small_frame
 
 SAMPLE = 50
+_TESTED = "column string, n bigint, w double, p double"
 SEED = 42
+CHUNK = 1_000_000  # copies of a value numbered in one row of the plan
 
 
 def jarque_bera(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -35,16 +37,18 @@ def jarque_bera(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def hashed_sample(df: DataFrame, col: str, k: int = SAMPLE, seed: int = SEED) -> DataFrame:
-    """``k`` values drawn by the hash of their row, row id included: the same ones on every layout."""
-    draw = F.xxhash64(F.lit(seed), *[quoted(c) for c in df.columns])
-    value = number(col)
-    return (
-        df.select(F.lit(col).alias("column"), value.alias("value"), draw.alias("_draw"))
-        .where(F.col("value").isNotNull())
-        .orderBy("_draw", "value")
-        .limit(k)
-        .select("column", "value")
-    )
+    """``k`` values drawn by a digest of the value and the number of its copy: the same ones on every layout.
+
+    Copies of a value draw apart from each other, so the sample has each value
+    as often as the column has it, by chance. Copies are numbered in chunks,
+    which are dealt out anew: a value with a third of all rows fills no single task.
+    """
+    counts = df.select(number(col).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    chunks = counts.select("value", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {CHUNK}"))).alias("chunk"))
+    first, last = F.col("chunk") * CHUNK + 1, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK)
+    copies = chunks.repartition("value", "chunk").select("value", F.explode(F.sequence(first, last)).alias("copy"))
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("value").cast("string"), F.col("copy").cast("string")))
+    return copies.withColumn("_draw", draw).orderBy("_draw", "value").limit(k).select(F.lit(col).alias("column"), "value")
 
 
 def _normal_quantile(p: np.ndarray) -> np.ndarray:
@@ -63,24 +67,14 @@ _LARGE_LOG_STD = (-0.4803, -0.082676, 0.0030302)
 _SMALL_SHIFT = (-2.273, 0.459)
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
-    """W and p of a sample of 4 to 50 values."""
-    from statistics import NormalDist
-
-    x = np.sort(np.asarray(values, dtype=float))
-    n = len(x)
-    if n < 4 or x[0] == x[-1]:
-        return 1.0, 1.0
-
-    def poly(coefficients, at):
-        return float(np.polynomial.polynomial.polyval(at, coefficients))
-
+def weights(n: int) -> np.ndarray:
+    """Weights of the ordered values of a sample of 4 to 50."""
     m = _normal_quantile((np.arange(1, n + 1) - 0.375) / (n + 0.25))
     size, u = float(m @ m), 1 / np.sqrt(n)
     a = m / np.sqrt(size)
-    last = a[-1] + poly(_WEIGHT_LAST, u)
+    last = a[-1] + _poly(_WEIGHT_LAST, u)
     if n > 5:
-        nxt = a[-2] + poly(_WEIGHT_NEXT, u)
+        nxt = a[-2] + _poly(_WEIGHT_NEXT, u)
         phi = (size - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * nxt**2)
         a = m / np.sqrt(phi)
         a[[0, 1, -2, -1]] = -last, -nxt, nxt, last
@@ -88,32 +82,44 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float, float]:
         phi = (size - 2 * m[-1] ** 2) / (1 - 2 * last**2)
         a = m / np.sqrt(phi)
         a[[0, -1]] = -last, last
+    return a
+
+
+def _poly(coefficients, at) -> float:
+    return float(np.polynomial.polynomial.polyval(at, coefficients))
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
+    """W and p of a sample of 4 to 50 values; neither for fewer or for a constant sample."""
+    x = np.sort(np.asarray(values, dtype=float))
+    n = len(x)
+    if n < 4 or x[0] == x[-1]:
+        return None, None
+    a = weights(n)
     centred = x - x.mean()
     w = min(float((a @ x) ** 2 / (centred @ centred)), 1.0)
 
+    from statistics import NormalDist
+
     if w >= 1.0:
         return 1.0, 1.0
     y = np.log(1 - w)
     if n <= 11:
-        limit = poly(_SMALL_SHIFT, n)
+        limit = _poly(_SMALL_SHIFT, n)
         if y >= limit:
             return w, 0.0
-        y, mean, std = -np.log(limit - y), poly(_SMALL_MEAN, n), np.exp(poly(_SMALL_LOG_STD, n))
+        y, mean, std = -np.log(limit - y), _poly(_SMALL_MEAN, n), np.exp(_poly(_SMALL_LOG_STD, n))
     else:
-        mean, std = poly(_LARGE_MEAN, np.log(n)), np.exp(poly(_LARGE_LOG_STD, np.log(n)))
+        mean, std = _poly(_LARGE_MEAN, np.log(n)), np.exp(_poly(_LARGE_LOG_STD, np.log(n)))
     return w, 1 - NormalDist(mean, float(std)).cdf(float(y))
 
 
 def shapiro_sample(df: DataFrame, cols: Sequence[str] | None = None, k: int = SAMPLE) -> DataFrame:
-    """``column, n, w, p`` of the Shapiro-Wilk test on ``k`` sampled values per column."""
+    """``column, n, w, p`` of the Shapiro-Wilk test on ``k`` sampled values per column; no column without values."""
     cols = list(cols if cols is not None else numeric_columns(df))
-    sample = None
-    for c in cols:
-        part = hashed_sample(df, c, k)
-        sample = part if sample is None else sample.unionByName(part)
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["value"].to_numpy())
-        return pd.DataFrame({"column": [pdf["column"].iloc[0]], "n": [len(pdf)], "w": [w], "p": [p]})
-
-    return sample.groupBy("column").applyInPandas(test, "column string, n bigint, w double, p double")
+    if not cols:
+        return small_frame(df, [], _TESTED)
+    sample = reduce(DataFrame.unionByName, [hashed_sample(df, c, k) for c in cols])
+    drawn = {r["column"]: r["values"] for r in sample.groupBy("column").agg(F.collect_list("value").alias("values")).collect()}
+    rows = [(c, len(drawn[c]), *shapiro_wilk(np.array(drawn[c]))) for c in cols if c in drawn]
+    return small_frame(df, rows, _TESTED)

@@ -1,79 +1,51 @@
-"""First rows of a table in its order, without sending many rows to one task."""
+"""The row order of a table: its first rows, and a number for each row."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scrubline.operators.columns import ROW_ID, quoted
-from scrubline.operators.sketches import GROUPS, SLACK, sketch_quantiles
+from scrubline.operators.columns import ROW_ID, quoted, row_order
+from scrubline.operators.sketches import GROUPS
+from scrubline.staging import stage
 
-DIRECT = 5_000_000  # rows one top-k pass takes without narrowing first
+LIMITED = 1000  # up to here Spark keeps a group's first rows within each task, before the shuffle
+RANGE_BITS = 33  # a row's number: the range of the order that it lies in, then its place there
 
 
-def _measure(c: Column, dtype: T.DataType) -> Column | None:
-    """Numbers and dates as a number in the same order; nothing else can be sketched."""
-    if isinstance(dtype, T.NumericType):
-        return c
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c)
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp"))
-    return None
-
-
-def _cut_by_sketch(df: DataFrame, lead: str, k: int, rows: int) -> tuple[DataFrame, int]:
-    """Keep the rows up to a sketched quantile of the leading column that is sure to hold ``k``."""
-    place = _measure(quoted(lead), df.schema[lead].dataType)
-    while rows > DIRECT and place is not None:
-        (cut,), _ = sketch_quantiles(df, [(place, [min(1.0, k / rows + SLACK)])])
-        if cut is None:
-            break
-        head = df.where(place.isNull() | (place <= F.lit(cut[0])))
-        kept = head.count()
-        if kept < k or kept > rows / 2:
-            break
-        df, rows = head, kept
-    return df, rows
-
+def first_rows(df: DataFrame, order_by: Sequence[str], k: int) -> DataFrame:
+    """The first ``k`` rows in the order of ``order_by``.
 
-def _cut_by_file(df: DataFrame, k: int, rows: int) -> tuple[DataFrame, int]:
-    """Keep the first file when it holds ``k`` rows; the files are read by path."""
-    path = F.col(f"{ROW_ID}.file_path")
-    head = df.where(path == df.agg(F.min(path)).first()[0])
-    kept = head.count()
-    return (head, kept) if kept >= k else (df, rows)
+    Every task keeps its first ``k`` rows, groups of tasks merge theirs, and
+    the last step merges a fixed number of groups. Beyond ``LIMITED`` rows,
+    which is more than any pass asks for, the tasks' first rows are merged at once.
+    """
+    order = [quoted(c) for c in order_by]
+    if k <= LIMITED:
+        w = Window.partitionBy("_group").orderBy(*order)
+        grouped = df.withColumn("_group", F.spark_partition_id() % GROUPS).withColumn("_place", F.row_number().over(w))
+        df = grouped.where(F.col("_place") <= k).drop("_group", "_place")
+    return df.orderBy(*order).limit(k)
 
 
-def _cut_in_groups(df: DataFrame, order: list[Column], k: int) -> DataFrame:
-    """Keep ``k`` rows per group of tasks, so that the last merge is of a fixed size."""
-    w = Window.partitionBy("_group").orderBy(*order)
-    return (
-        df.withColumn("_group", F.spark_partition_id() % GROUPS)
-        .withColumn("_place", F.row_number().over(w))
-        .where(F.col("_place") <= k)
-        .drop("_group", "_place")
-    )
+def is_numbered(df: DataFrame) -> bool:
+    return ROW_ID in df.columns and isinstance(df.schema[ROW_ID].dataType, T.LongType)
 
 
-def first_rows(df: DataFrame, order_by: Sequence[str], k: int, rows: int | None = None) -> DataFrame:
-    """The first ``k`` rows in the order of ``order_by``.
+def numbered(df: DataFrame, order_by: Sequence[str] | None = None) -> DataFrame:
+    """``df`` with its rows numbered in their order by a whole number ``_rid``, written once.
 
-    A plain sort-and-limit keeps ``k`` rows per task and merges them in one.
-    For a large table the leading column is first cut at a sketched quantile,
-    or the row id at its first file; where neither helps, the tasks are merged
-    in groups before the last step.
+    The order is settled here for all later passes, which may rename, retype or
+    drop the columns it came from. Rows that are equal in every column are told
+    apart by where they were read, so that any number of them can be split.
     """
-    order = [quoted(c) for c in order_by]
-    lead = order_by[0]
-    rows = df.count() if rows is None else rows
-    if rows > DIRECT and lead == ROW_ID:
-        df, rows = _cut_by_file(df, k, rows)
-    elif rows > DIRECT:
-        df, rows = _cut_by_sketch(df, lead, k, rows)
-    if rows > DIRECT:
-        df = _cut_in_groups(df, order, k)
-    return df.orderBy(*order).limit(k)
+    if is_numbered(df) and not order_by:
+        return df
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [quoted(c) for c in row_order(df, order_by)]
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = tie.repartitionByRange(parts, *order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie", ROW_ID)
+    return stage(ranged.withColumn(ROW_ID, F.monotonically_increasing_id()), "numbered")

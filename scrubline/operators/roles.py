@@ -30,7 +30,7 @@ CURRENCY_VALUE = r"[$€£¥₹]|^\d[\d,]+\.\d{2}$"
 PROTECTED = ("id", "email", "phone")
 NUMERIC_ROLES = ("numeric", "currency", "pct")
 
-PREFIX = 1024  # rows searched for the first values before going column by column
+SEARCH = 4  # times k: rows searched for the first k values before going column by column
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,8 @@ def first_values(
     non-null values each column has at all.
     """
     kinds = dict(df.dtypes)
-    prefix = first_rows(df, order_by, PREFIX, rows)
+    depth = SEARCH * k
+    prefix = first_rows(df, order_by, depth)
     order = F.struct(*[quoted(c) for c in order_by])
     text = {c: as_written(quoted(c), kinds[c]) for c in cols}
 
@@ -74,14 +75,14 @@ def first_values(
         rows = df.count()
     sparse: list[str] = []
     gappy = [c for c in cols if filled is None or filled.get(c) != rows]
-    if rows > PREFIX and gappy:
+    if rows > depth and gappy:
         found = prefix.agg(*[F.count(quoted(c)) for c in gappy]).first()
         sparse = [c for c, n in zip(gappy, found) if n < min(k, (filled or {}).get(c, k))]
     out = [ranked(prefix, [c for c in cols if c not in sparse])] if len(sparse) < len(cols) else []
     for c in sparse:
         keep = list(dict.fromkeys([*order_by, c]))
         some = df.where(quoted(c).isNotNull()).select(*[quoted(x) for x in keep])
-        out.append(ranked(first_rows(some, order_by, k, (filled or {}).get(c)), [c]))
+        out.append(ranked(first_rows(some, order_by, k), [c]))
     result = out[0]
     for more in out[1:]:
         result = result.unionByName(more)

@@ -22,23 +22,24 @@ from scrubline.jobs import together
 from scrubline.operators.columns import (
     ROW_ID, batches, data_columns, family, fold_nan, numeric_columns, quoted, row_order, small_frame, text_columns,
 )
-from scrubline.operators.duplicates import business_key, drop_exact, duplicate_count, key_groups
+from scrubline.operators.duplicates import business_key, duplicate_count, first_of_each
 from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.missing import (
     Fill, apply_fills, decide_fills, fill_in_order, fill_log, sparse_columns,
 )
-from scrubline.operators.ordering import first_rows
+from scrubline.operators.ordering import first_rows, numbered
 from scrubline.operators.outliers import Fence, cap, count_outside, outlier_report, tukey_fences
 from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quality import consistency, score
 from scrubline.operators.roles import NUMERIC_ROLES, Role, first_values, infer_roles
-from scrubline.staging import spread, stage
+from scrubline.staging import stage
 
 
 @dataclass
 class Report:
     """Everything decided and counted along the way; its size grows with the columns only."""
 
+    variant: str = "current"
     rows_before: int = 0
     rows_after: int = 0
     roles: list[Role] = field(default_factory=list)
@@ -115,14 +116,11 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
     if not config.use_roles:
         return clean_legacy(df, order_by, config)
     report = Report()
-    raw_names = data_columns(df)
     named, order = name_pass(df, order_by, report)
-    df = spread(fold_nan(named))
+    df, order = numbered(fold_nan(named), order), None  # from here on the rows' numbers are their order
     rows, nulls = counted = null_counts(df)
     report.rows_before = rows
-    report.nulls_before = {
-        (a if raw_names.count(a) == 1 else b): n for a, (b, n) in zip(raw_names, nulls.items())
-    }
+    report.nulls_before = nulls
     raw = df
     roles, report.duplicates_before = together(
         lambda: infer_roles(raw, order, config, counted), lambda: duplicate_count(raw).first()["duplicates"]
@@ -130,7 +128,7 @@ def clean(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanCon
     report.roles = roles
     report.detail("Roles: " + ", ".join(f"{r.column}={r.role}" for r in roles))
 
-    df = value_pass(df, roles, report, config)
+    df = stage(value_pass(df, roles, report, config), "values")
     df = missing_pass(df, roles, order, report, config)
     df = duplicate_pass(df, roles, order, report, config)
     df = late_passes(df, roles, order, report, config)
@@ -260,15 +258,9 @@ def duplicate_pass(df: DataFrame, roles, order, report: Report, config: CleanCon
     """Both kinds of duplicates go in one staged write, which also carries their counts."""
     report.section("Duplicates")
     report.key = [c for c in business_key(roles, config) if c in df.columns]
-    unique = drop_exact(df)
-    if report.key:
-        staged = stage(key_groups(unique, report.key, order), "unique")
-        counts = staged.agg(F.count(F.lit(1)), F.coalesce(F.sum("_repeats"), F.lit(0))).first()
-        rows, exact = counts[0], counts[1]
-        df = staged.drop("_repeats")
-    else:
-        df = stage(unique, "unique")
-        rows = exact = df.count()
+    staged = stage(first_of_each(df, report.key), "unique")
+    rows, exact = staged.agg(F.count(F.lit(1)), F.coalesce(F.sum("_repeats"), F.lit(0))).first()
+    df = staged.drop("_repeats")
     report.exact_removed = report.rows_before - exact
     report.key_removed = exact - rows
     report.rows_after = rows
@@ -279,11 +271,11 @@ def duplicate_pass(df: DataFrame, roles, order, report: Report, config: CleanCon
     return df
 
 
-def guess_format(df: DataFrame, col: str, order: Sequence[str] | None, rows: int | None = None) -> str | None:
+def guess_format(df: DataFrame, col: str, order: Sequence[str] | None) -> str | None:
     """Date layout of the first value of a text column, month first when both fit."""
     keep = row_order(df, order)
     some = df.where(quoted(col).isNotNull()).select(*[quoted(c) for c in dict.fromkeys([*keep, col])])
-    first = first_rows(some, keep, 1, rows).select(quoted(col)).first()
+    first = first_rows(some, keep, 1).select(quoted(col)).first()
     if first is None:
         return None
     value = F.lit(first[0])
@@ -302,8 +294,7 @@ def date_pass(df: DataFrame, roles, order, report: Report, config: CleanConfig)
     report.section("Dates")
     cols = [r.column for r in roles if r.role == "date" and r.column in df.columns]
     texts = [c for c in cols if family(df.schema[c].dataType) == "text"]
-    rows = report.rows_after
-    formats = {c: "mixed" if config.date_mode == "mixed" else guess_format(df, c, order, rows) for c in texts}
+    formats = {c: "mixed" if config.date_mode == "mixed" else guess_format(df, c, order) for c in texts}
     known = {c: f for c, f in formats.items() if f}
     if known:
         rates = df.agg(
@@ -403,8 +394,8 @@ def key_settles_rows(report: Report) -> bool:
 
 def clean_legacy(df: DataFrame, order_by: Sequence[str] | None = None, config: CleanConfig = LEGACY) -> Cleaned:
     """The older variant: missing values, duplicates, text, dates, outliers, by type alone."""
-    report = Report()
-    df = spread(fold_nan(df))
+    report = Report(variant="legacy")
+    df, order_by = numbered(fold_nan(df), order_by), None
     rows, nulls = null_counts(df)
     report.rows_before, report.nulls_before = rows, nulls
     roles = infer_roles(df, order_by, config)

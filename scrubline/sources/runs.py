@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrubline.functions.numbers import quality_band
 
 RUN_SCHEMA = (
-    "id bigint, user_id bigint, filename string, original_rows int, cleaned_rows int, columns string, "
+    "id bigint, user_id bigint, filename string, original_rows bigint, cleaned_rows bigint, columns string, "
     "insights_json string, charts_json string, cleaning_json string, quality_before double, "
     "quality_after double, created_at timestamp"
 )

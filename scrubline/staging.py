@@ -38,12 +38,3 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """An input in fewer splits than there are cores, staged once in as many as there are cores.
-
-    A large input has more splits and is left as it is. Rows are dealt out in
-    turn, so no value gathers them in one split.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else stage(df.repartition(cores), "spread")

@@ -311,3 +311,32 @@ def test_role_frame(spark):
     df = spark.createDataFrame([(1, "a")], "id int, t string")
     frame = roles.role_frame(df, roles.infer_roles(df))
     assert [tuple(r) for r in frame.orderBy("ord").collect()] == [(0, "id", "id", True), (1, "t", "text", False)]
+
+
+def test_order_column_that_is_dropped_or_retyped(spark):
+    """The rows' order is settled on the raw table, whatever becomes of its columns."""
+    n = 60
+    rows = [(str(n - i), None if i else "rare", f"k{i // 2}", float(i), f"2024-01-{i % 28 + 1:02}" if i % 3 else None) for i in range(n)]
+    df = spark.createDataFrame(rows, "turn string, rare string, label string, amount double, day string")
+    results = []
+    for parts in (1, 7, 40):
+        for order in (["rare"], ["turn"]):
+            table = cleaning.clean(df.repartition(parts), order, CleanConfig(coerce_numeric=True)).table
+            results.append((order[0], sorted(map(str, table.collect()))))
+    assert len({(o, tuple(r)) for o, r in results}) == 2
+
+
+def test_frozen_rules_of_coerced_and_legacy_reports(spark):
+    df = spark.createDataFrame([(i, str(i) if i % 9 else "bad", "x") for i in range(40)], "n int, amount string, tag string")
+    done = cleaning.clean(df, ["n"], CleanConfig(coerce_numeric=True))
+    assert done.report.coercions
+    frozen = apply_report(df, done.report)
+    assert dict(frozen.dtypes) == dict(done.table.dtypes)
+    assert sorted(map(str, frozen.collect())) == sorted(map(str, done.table.collect()))
+    with pytest.raises(ValueError):
+        apply_report(df, cleaning.clean(df, ["n"], LEGACY).report)
+
+
+def test_colliding_names(spark):
+    done = cleaning.clean(spark.createDataFrame([(1, 2, 3), (4, 5, 6)], "a int, b int, a_2 int").toDF("a", "A ", "a_2"), None)
+    assert len(done.report.nulls_before) == 3
