@@ -93,7 +93,14 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        known: dict[bytes, int] = {}
+        class Keys(dict):
+            """Keys of the words seen so far."""
+
+            def __missing__(self, word: bytes) -> int:
+                self[word] = key = xxh64_intdigest(word)
+                return key
+
+        known = Keys()
         part, number, row = TaskContext.get().partitionId(), 0, TaskContext.get().partitionId() << 32
         keys: list[int] = []
         rows, ids, held, sizes, firsts = [], [], [], [], []
@@ -113,12 +120,8 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
             id_texts = batch.column("id_text").to_pylist()
             for at, text in enumerate(utf8(batch.column("text"))):
                 words = text.lower().split()
-                new = set(words) - known.keys()
-                if new:
-                    if len(known) > 1_000_000:
-                        known.clear()
-                        new = set(words)
-                    known.update((w, xxh64_intdigest(w)) for w in new)
+                if len(known) > 1_000_000:
+                    known.clear()
                 all_keys = [*map(known.__getitem__, words), int(END)]
                 out, start, row = held_out(id_texts[at]), 0, row + 1
                 while start < len(all_keys):
