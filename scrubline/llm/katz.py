@@ -32,6 +32,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,27 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, the place of each key among them, and where one of each lies."""
+    order = np.argsort(keys)
+    sorted_keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    places = np.empty(len(keys), np.int64)
+    places[order] = np.cumsum(new) - 1
+    return sorted_keys[new], places, order[new]
+
+
+def ranked(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys at ``chosen`` places, distinct and in order, and the place of each among them."""
+    there = np.bincount(chosen, minlength=len(keys)) > 0
+    used = np.flatnonzero(there)
+    distinct, places, _ = grouped(keys[used])
+    rank = np.zeros(len(keys), np.int64)
+    rank[used] = places
+    return distinct, rank[chosen]
+
+
 # ── blocks ──
 
 BLOCK = "block long, rows array<long>, doc_ids array<{kind}>, held array<boolean>, sizes array<long>, firsts array<boolean>, words binary, tokens binary, n_tokens long"
@@ -93,21 +115,24 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        class Keys(dict):
-            """Keys of the words seen so far."""
+        class Numbers(dict):
+            """Numbers of the words seen so far, and their keys."""
 
             def __missing__(self, word: bytes) -> int:
-                self[word] = key = xxh64_intdigest(word)
-                return key
+                self[word] = number = len(hashes)
+                hashes.append(xxh64_intdigest(word))
+                return number
 
-        known = Keys()
+        hashes = [int(END)]
+        known = Numbers()
         part, number, row = TaskContext.get().partitionId(), 0, TaskContext.get().partitionId() << 32
-        keys: list[int] = []
+        keys: list[np.ndarray] = []
+        length = 0
         rows, ids, held, sizes, firsts = [], [], [], [], []
 
         def flush() -> pa.RecordBatch:
-            flat = np.array(keys, np.uint64)
-            vocabulary, tokens = np.unique(flat, return_inverse=True)
+            flat = np.concatenate(keys)
+            vocabulary, tokens = ranked(np.array(hashes, np.uint64), flat)
             blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([(tokens >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes())
             cells = [(part << 32) + number, rows, None, held, sizes, firsts, vocabulary.astype("<u8").tobytes(), blob, len(flat)]
             kinds = [pa.int64(), pa.list_(pa.int64()), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64()]
@@ -120,22 +145,25 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
             id_texts = batch.column("id_text").to_pylist()
             for at, text in enumerate(utf8(batch.column("text"))):
                 words = text.lower().split()
-                if len(known) > 1_000_000:
-                    known.clear()
-                all_keys = [*map(known.__getitem__, words), int(END)]
+                all_keys = np.fromiter(chain(map(known.__getitem__, words), (0,)), np.int64, len(words) + 1)
                 out, start, row = held_out(id_texts[at]), 0, row + 1
                 while start < len(all_keys):
                     before = min(start, order - 1)
-                    stop = min(len(all_keys), start + max(1, block_tokens - len(keys)))
-                    keys.extend(all_keys[start - before : stop])
+                    stop = min(len(all_keys), start + max(1, block_tokens - length))
+                    keys.append(all_keys[start - before : stop])
+                    length += stop - start + before
                     rows.append(row)
                     ids.append(batch.column("doc_id").slice(at, 1))
                     held.append(out)
                     sizes.append(stop - start + before)
                     firsts.append(start == 0)
                     start = stop
-                    if len(keys) >= block_tokens:
+                    if length >= block_tokens:
                         yield flush()
+                        length = 0
+                        if len(hashes) > 1_000_000:
+                            known.clear()
+                            del hashes[1:]
                         keys, rows, ids, held, sizes, firsts, number = [], [], [], [], [], [], number + 1
         if ids:
             yield flush()
@@ -161,22 +189,33 @@ class Block:
         place = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.scored = np.repeat(first, sizes) | (place >= order - 1)
         self.train = self.scored & ~np.repeat(np.array(row["held"], bool), sizes)
-        self.keys, self.contexts, self.valid = [self.words[token]], [np.zeros(0, np.uint64)], [np.ones(n, bool)]
+        # per order: which places have an n-gram, the distinct ones' keys, each place's among them, one place of each
+        begin = (place == 0) & np.repeat(first, sizes)
+        one = np.zeros(len(self.words), np.int64)
+        one[token] = np.arange(n)
+        self.at, self.keys, self.gram, self.one = [np.arange(n)], [self.words], [token], [one]
+        # the number of each place's context among the n-grams of the order below; one more for the start
+        self.context = [np.zeros(0, np.int64)]
         for _ in range(2, order + 1):
-            context, valid = np.empty(n, np.uint64), np.zeros(n, bool)
-            context[1:], valid[1:] = self.keys[-1][:-1], self.valid[-1][:-1] & (place[1:] > 0)
+            below, known = np.full(n, -1), len(self.keys[-1])
+            below[1:][place[1:] > 0] = self.gram[-1][:-1][place[1:] > 0]
             if len(self.keys) == 1:
-                begin = (place == 0) & np.repeat(first, sizes)
-                context[begin], valid[begin] = START, True
-            self.contexts.append(context)
-            self.valid.append(valid & self.valid[-1])
-            self.keys.append(mix(context, self.keys[0]))
-
-    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys in order; the place of each token's key among them; training counts."""
-        at = np.flatnonzero(self.valid[level])
-        keys, inverse = np.unique(self.keys[level][at], return_inverse=True)
-        return keys, inverse, np.bincount(inverse, self.train[at], len(keys)).astype(np.int64)
+                below[begin] = known
+            context_keys = np.append(self.keys[-1], START)
+            at = np.flatnonzero(below >= 0)
+            keys, places, one = grouped(mix(context_keys[below[at]], self.words[token[at]]))
+            gram = np.full(n, -1)
+            gram[at] = places
+            self.at.append(at)
+            self.keys.append(keys)
+            self.gram.append(gram)
+            self.one.append(at[one])
+            self.context.append(below)
+
+    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys in order, and their training counts."""
+        at = self.at[level]
+        return self.keys[level], np.bincount(self.gram[level][at], self.train[at], len(self.keys[level])).astype(np.int64)
 
 
 def cut(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -205,7 +244,7 @@ def ask_counts(blocks: DataFrame, order: int, bits: int) -> DataFrame:
             for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
                 block = Block(row, order)
                 for level in range(order):
-                    keys, _, counts = block.distinct(level)
+                    keys, counts = block.distinct(level)
                     yield messages([(level, part, row["block"], s.stop - s.start, keys[s].tobytes(), pack(counts[s]), b"", b"") for part, s in cut(keys, bits)])
 
     return blocks.mapInArrow(run, MESSAGE)
@@ -221,12 +260,14 @@ def count(asked: DataFrame) -> DataFrame:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
         keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
         own = np.concatenate([unpack(r["a"], r["n"]) for r in rows])
-        known, inverse = np.unique(keys, return_inverse=True)
-        total = np.zeros(len(known), np.int64)
-        np.add.at(total, inverse, own)
+        known, inverse, _ = grouped(keys)
+        total = np.bincount(inverse, own, len(known)).astype(np.int64)
+        # the last block that has an n-gram in training sums it
+        held = np.flatnonzero(own > 0)
+        last = np.full(len(known), -1)
+        last[inverse[held]] = held
         owner = np.zeros(len(keys), bool)
-        _, first = np.unique(inverse[own > 0], return_index=True)
-        owner[np.flatnonzero(own > 0)[first]] = True
+        owner[last[last >= 0]] = True
         answer, out, at = total[inverse], [], 0
         blank = (0,) * (TOP + 3)
         for r in rows:
@@ -316,29 +357,28 @@ class Scores:
 
     def __init__(self, block: Block, counts: list[dict], stats: Statistics):
         self.block, self.stats = block, stats
-        n, none = len(block.piece), np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
         got = by_level(counts)
-        self.counts, self.own = [], []
-        for level in range(len(block.keys)):
-            at = np.flatnonzero(block.valid[level])
-            keys, first, inverse = np.unique(block.keys[level][at], return_index=True, return_inverse=True)
-            found = np.concatenate([none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]])
+        self.known, self.own = [], []  # training counts of the distinct n-grams; one place of each that this block sums
+        for level, one in enumerate(block.one):
+            self.known.append(np.concatenate([none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]]))
             owned = np.concatenate([none, *[np.unpackbits(np.frombuffer(a["b"], np.uint8), count=a["n"]) for a in got.get(level, [])]])
-            full = np.zeros(n, np.int64)
-            full[at] = found[inverse]
-            self.counts.append(full)
-            self.own.append(at[first[owned > 0]])  # one place of each n-gram that this block sums
-        self.log = stats.word(self.counts[0])
+            self.own.append(one[owned > 0])
+        self.counts = self.known[0][block.gram[0]]
+        self.log = stats.word(self.known[0])[block.gram[0]]
 
     def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Places with a context that the training documents hold; their contexts' keys in order, places among these, counts."""
         block = self.block
-        counts = np.zeros(len(block.piece), np.int64)
-        counts[1:] = self.counts[level - 1][:-1]
-        counts[block.contexts[level] == START] = self.stats.documents
-        at = np.flatnonzero(block.valid[level] & (counts > 0))
-        keys, first, inverse = np.unique(block.contexts[level][at], return_index=True, return_inverse=True)
-        return at, keys, inverse, counts[at[first]]
+        counts = np.append(self.known[level - 1], self.stats.documents if level == 1 else 0)
+        below = block.context[level]
+        at = block.at[level]
+        at = at[counts[below[at]] > 0]
+        all_keys = np.append(block.keys[level - 1], START)
+        keys, places = ranked(all_keys, below[at])
+        of_each = np.zeros(len(keys), np.int64)
+        of_each[places] = counts[below[at]]
+        return at, keys, places, of_each
 
     def sums(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each context: discounted counts, and lower-order probability, of the n-grams that this block sums."""
@@ -346,7 +386,7 @@ class Scores:
         place = np.full(len(self.block.piece), -1)
         place[at] = inverse
         own = self.own[level]
-        mass = np.bincount(place[own], self.stats.discounted(level, self.counts[level][own]), len(keys))
+        mass = np.bincount(place[own], self.stats.discounted(level, self.known[level][self.block.gram[level][own]]), len(keys))
         lower = np.bincount(place[own], 10 ** self.log[own], len(keys))
         return keys, counts, mass, lower
 
@@ -356,7 +396,7 @@ class Scores:
         none = np.zeros(0)
         alpha = np.concatenate([none, *[np.frombuffer(a["a"], "<f8") for a in answers]])
         more = np.concatenate([none, *[np.unpackbits(np.frombuffer(a["b"], np.uint8), count=a["n"]) for a in answers]])
-        seen = self.counts[level][at]
+        seen = self.known[level][self.block.gram[level][at]]
         mass = self.stats.discounted(level, np.maximum(seen, 1))
         self.log[at] = np.where(seen > 0, np.log10(mass / (counts + more)[inverse]), alpha[inverse] + self.log[at])
 
@@ -407,7 +447,7 @@ def weigh(asked: DataFrame) -> DataFrame:
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys, inverse = np.unique(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]), return_inverse=True)
+        keys, inverse, _ = grouped(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]))
         counts, mass, lower, at = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys)), 0
         for r in rows:
             places = inverse[at : at + r["n"]]
@@ -449,7 +489,7 @@ def score(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS, par
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row = batch.drop_columns(["doc_ids"]).to_pylist()[0]
         scores = _scores(row, order, stats, order - 1)
-        block, counts = scores.block, scores.counts[0]
+        block, counts = scores.block, scores.counts
         total = lambda x: np.bincount(block.piece, np.where(block.scored, x, 0), block.pieces)
         columns = [total(np.ones(len(counts))).astype(np.int64), total(counts > 0).astype(np.int64), total(stats.base(counts)), total(scores.log)]
         return pa.RecordBatch.from_arrays(
