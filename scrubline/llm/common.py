@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrubline.staging import stage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 SALTS = 16
@@ -64,6 +66,20 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage_and_free(df: DataFrame, label: str) -> DataFrame:
+    """Stage ``df``; its shuffle files go as soon as it is written, not when the driver next collects garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEAN_UP, None)
+    conf.set(CLEAN_UP, "true")
+    try:
+        return stage(df, label)
+    finally:
+        conf.unset(CLEAN_UP) if before is None else conf.set(CLEAN_UP, before)
+
+
 # ── tokenizers ──
 
 MAX_VOCABULARY_BYTES = 64 << 20

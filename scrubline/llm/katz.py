@@ -36,15 +36,17 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import in_groups, utf8
+from scrubline.llm.common import in_groups, stage_and_free, utf8
 from scrubline.staging import stage
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 PART_KEYS = 1 << 20
+MOST_WORDS = 400_000  # after a block, a task forgets its words beyond this
 TOP = 5  # counts above are not discounted
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -54,6 +56,18 @@ def held_out(id_text: str | None) -> bool:
     return zlib.crc32((id_text or "").encode()) % 7 == 2
 
 
+class Numbers(dict):
+    """Numbers of the words that a task has seen, from 1 on, and their keys; 0 is the end."""
+
+    def __init__(self):
+        self.keys_of = [int(END)]
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self.keys_of)
+        self.keys_of.append(xxhash.xxh64_intdigest(word))
+        return number
+
+
 def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     """64-bit key of a context's key and the word after it."""
     x = context * np.uint64(0xBF58476D1CE4E5B9) + word
@@ -113,17 +127,6 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
-
-        class Numbers(dict):
-            """Numbers of the words seen so far, and their keys."""
-
-            def __missing__(self, word: bytes) -> int:
-                self[word] = number = len(hashes)
-                hashes.append(xxh64_intdigest(word))
-                return number
-
-        hashes = [int(END)]
         known = Numbers()
         part, number, row = TaskContext.get().partitionId(), 0, TaskContext.get().partitionId() << 32
         keys: list[np.ndarray] = []
@@ -132,7 +135,7 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(keys)
-            vocabulary, tokens = ranked(np.array(hashes, np.uint64), flat)
+            vocabulary, tokens = ranked(np.array(known.keys_of, np.uint64), flat)
             blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([(tokens >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes())
             cells = [(part << 32) + number, rows, None, held, sizes, firsts, vocabulary.astype("<u8").tobytes(), blob, len(flat)]
             kinds = [pa.int64(), pa.list_(pa.int64()), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64()]
@@ -161,9 +164,8 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
                     if length >= block_tokens:
                         yield flush()
                         length = 0
-                        if len(hashes) > 1_000_000:
-                            known.clear()
-                            del hashes[1:]
+                        if len(known) > MOST_WORDS:
+                            known = Numbers()
                         keys, rows, ids, held, sizes, firsts, number = [], [], [], [], [], [], number + 1
         if ids:
             yield flush()
@@ -479,11 +481,11 @@ def score(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS, par
     blocks = stage(encode(docs, block_tokens, order), "blocks")
     tokens = int(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
     bits = max(0, (tokens // part_keys).bit_length())
-    counts = stage(count(ask_counts(blocks, order, bits)), "counts")
+    counts = stage_and_free(count(ask_counts(blocks, order, bits)), "counts")
     stats = statistics(blocks, counts, order)
     answers = [counts]
     for level in range(1, order):
-        answers.append(stage(weigh(ask_weights(blocks, answers, level, order, bits, stats)), "weights"))
+        answers.append(stage_and_free(weigh(ask_weights(blocks, answers, level, order, bits, stats)), "weights"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
