@@ -83,7 +83,8 @@ def stage_and_free(df: DataFrame, label: str) -> DataFrame:
 # ── tokenizers ──
 
 MAX_VOCABULARY_BYTES = 64 << 20
-_RARE = [bytes([c]) for c in b"\0\t\x0b\x0c\r"]
+MARKS = (b" \x01 ", b"\x01")
+_RARE = [bytes([c]) for c in b"\0\x01\t\x0b\x0c\r"]
 _LEADS = [bytes([c]) for c in b"\xc2\xe1\xe2\xe3"]
 _SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2(?:\x80[\x80-\x8a\xa8\xa9\xaf]|\x81\x9f)|\xe3\x80\x80")
 
@@ -130,21 +131,33 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary_text)
+        # where blanks are dropped the mark stands apart as a word, else blanks of its own would be tokens
+        self.between = next(m for m in MARKS if len(self._ids([m.decode()])[0]) == 1)
+        self.mark = self._ids([self.between.decode()])[0][0]
         self.limit = limit
         # pieces after a blank, and those at a text's start or after a line feed
         self.places = _Places()
         self.flat = np.zeros(0, np.int32)
         self.sizes = np.zeros(0, np.int64)
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _learn(self) -> None:
-        """Encode the new pieces; their ids go behind those known."""
+        """Encode the new pieces; their ids go behind those known.
+
+        Pieces are encoded many to a text, with a control character between
+        them that is a token of its own and in none of them.
+        """
         new = self.places.new
         texts = [p[1:] if p[:1] == b"\0" else p if p[:1] == b"\n" else b" " + p for p in new]
-        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
-        ids = [e.ids for e in found]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-        self.flat, self.sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        bulk = [self.between.join(texts[i : i + 1000]).decode("utf-8", "replace") for i in range(0, len(texts), 1000)]
+        ids = [np.array(x, np.int32) for x in self._ids(bulk)]
+        # one mark closes each text of a bulk but the last, which a mark of ours closes
+        flat = np.concatenate([part for x in ids for part in (x, [self.mark])]).astype(np.int32)
+        ends = np.flatnonzero(flat == self.mark)
+        sizes = np.diff(ends, prepend=-1) - 1
+        self.flat, self.sizes = np.concatenate([self.flat, flat[flat != self.mark]]), np.concatenate([self.sizes, sizes])
         self.places.new = []
 
     def _forget(self) -> None:
