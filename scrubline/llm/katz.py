@@ -164,8 +164,9 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
                     if length >= block_tokens:
                         yield flush()
                         length = 0
-                        if len(known) > MOST_WORDS:
+                        if len(known) > MOST_WORDS:  # nothing is held now; the rest of the document is numbered anew
                             known = Numbers()
+                            all_keys = np.fromiter(chain(map(known.__getitem__, words), (0,)), np.int64, len(words) + 1)
                         keys, rows, ids, held, sizes, firsts, number = [], [], [], [], [], [], number + 1
         if ids:
             yield flush()

@@ -223,8 +223,9 @@ def test_pieces_encode_like_whole_texts(name):
 # ── language model ──
 
 
-@pytest.mark.parametrize("order, block", [(1, 1 << 20), (2, 1 << 20), (2, 64), (3, 200)])
-def test_katz(spark, order, block):
+@pytest.mark.parametrize("order, block, most", [(1, 1 << 20, 9), (2, 1 << 20, 10**6), (2, 64, 30), (3, 200, 50)])
+def test_katz(spark, monkeypatch, order, block, most):
+    monkeypatch.setattr(katz, "MOST_WORDS", most)
     data = [*rows()[:12], *rows()[-12:-2], (None, "one two", None)]
     data = [(d, " ".join((t or "").split()[:90]) if t is not None else None, s) for d, t, s in data]
     model = brute.Katz([(None if d is None else str(d), t) for d, t, _ in data], order, katz.discounts)
