@@ -291,23 +291,50 @@ def count(asked: DataFrame) -> DataFrame:
 # ── model ──
 
 
+def turing(n: np.ndarray) -> np.ndarray:
+    """Katz's factors of the counts 1 to ``TOP``, unknown where a number is zero."""
+    r = np.arange(1, TOP + 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        beyond = (TOP + 1) * n[TOP] / n[0]
+        return ((r + 1) * n[1:] / n[:-1] / r - beyond) / (1 - beyond)
+
+
 def discounts(ranks: list[int]) -> np.ndarray:
     """Factor for each count up to ``TOP`` (one above) from the numbers of n-grams that occur 1, 2, ... times.
 
-    Good-Turing's factors where they lie between 0 and 1 for every count;
-    else, in small or odd corpora, absolute discounting by n1 / (n1 + 2 n2).
+    Good-Turing's factors. Copies of documents raise the numbers of some
+    counts, and factors that these enter may fall outside (0, 1). Then the
+    number farthest from the line through all of them, in logarithms, among
+    those that enter such a factor, is put on the line, until every factor is
+    valid; the other numbers stay as counted. Numbers on a line steeper than
+    -1 are always valid. Only where no such line exists, in corpora of a few
+    documents, absolute discounting by n1 / (n1 + 2 n2) takes its place.
     """
     n = np.array(ranks, float)
     out = np.ones(TOP + 2)
-    r = np.arange(1, TOP + 1)
-    if (n > 0).all():
-        beyond = (TOP + 1) * n[TOP] / n[0]
-        factor = ((r + 1) * n[1:] / n[:-1] / r - beyond) / (1 - beyond) if beyond != 1 else np.full(TOP, np.nan)
-        if ((factor > 0) & (factor < 1)).all():
+    r = np.arange(1, TOP + 2)
+    some = n > 0
+    slope, height = np.polyfit(np.log(r[some]), np.log(n[some]), 1) if some.sum() > 1 else (0.0, 0.0)
+    if slope < -1:
+        line = np.exp(height + slope * np.log(r))
+        moved = ~some
+        n[moved] = line[moved]
+        while True:
+            factor = turing(n)
+            wrong = ~((factor > 0) & (factor < 1))
+            if not wrong.any():
+                break
+            entered = np.append(wrong, False) | np.append(False, wrong)
+            left = entered & ~moved if (entered & ~moved).any() else ~moved
+            if not left.any():
+                break
+            k = int(np.argmax(np.where(left, np.abs(np.log(n / line)), -1)))
+            n[k], moved[k] = line[k], True
+        if not wrong.any():
             out[1 : TOP + 1] = factor
             return out
-    less = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
-    out[1 : TOP + 1] = (r - less) / r
+    less = ranks[0] / (ranks[0] + 2 * ranks[1]) if ranks[0] and ranks[1] else 0.5
+    out[1 : TOP + 1] = (r[:TOP] - less) / r[:TOP]
     return out
 
 
