@@ -93,7 +93,7 @@ from documents d left join left_lines l on l.doc_id = d.doc_id
 @query
 def op7_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under a backoff model of the training documents."""
-    return katz.score(load(spark, sf_dir, "documents"))
+    return katz.score(load(spark, sf_dir, "documents"), order=3)
 
 
 @query
