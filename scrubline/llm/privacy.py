@@ -1,8 +1,7 @@
 """Personal data, and the terms that give it away.
 
 E-mail addresses, IP addresses, card and phone numbers are found by pattern.
-Around them, co-occurrence in the corpus tells how strongly a term reveals an
-entity: the pointwise mutual information of the two over documents, as a share
+Co-occurrence in whole documents tells how strongly a term reveals an entity: the pointwise mutual information of the two over documents, as a share
 of the entity's own information content. Terms at or above ``threshold`` are
 generalised, those that occur with the entity alone are removed.
 
@@ -86,8 +85,8 @@ def _named(kind: str, rank: int) -> Column:
     return F.transform(F.filter(f"s_{kind}", lambda s: valid(kind, s["value"])), name)
 
 
-def base_spans(docs: DataFrame, context: int) -> DataFrame:
-    """``doc_id, k1, k2, spans``: spans with their kind, and the terms within ``context`` code points of each."""
+def base_spans(docs: DataFrame) -> DataFrame:
+    """``doc_id, k1, k2, spans``: spans with their kind and value."""
     rows = keyed(docs.select("doc_id", "text"), docs["doc_id"], docs["text"])
     df = rows.select("row.doc_id", "k1", "k2", F.coalesce("row.text", F.lit("")).alias("text"))
     none = F.array().cast("array<string>")
@@ -95,60 +94,97 @@ def base_spans(docs: DataFrame, context: int) -> DataFrame:
     df = df.withColumns({f"m_{k}": F.when(hit[k], F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none) for k, p in PATTERNS.items()})
     df = df.withColumns({f"s_{k}": located(F.col("text"), F.col(f"m_{k}"), p) for k, p in PATTERNS.items()})
     named = [_named(k, r) for r, k in enumerate(PATTERNS)]
-    df = df.select("doc_id", "k1", "k2", "text", F.array_sort(F.concat(*named)).alias("spans"))
-    size = F.length("text")
-    sides = F.transform("spans", lambda s: F.struct(
-        s.alias("span"),
-        F.array(
-            F.struct(F.greatest(s["start"] - context, F.lit(0)).alias("from"), s["start"].alias("to")),
-            F.struct(s["stop"].alias("from"), F.least(s["stop"] + context, size).alias("to")),
-        ).alias("sides"),
-    ))
-    cut = F.transform(sides, lambda x: F.struct(x["span"].alias("span"), F.transform(x["sides"], lambda c: F.struct(c["from"].alias("from"), F.substr(F.col("text"), c["from"] + 1, c["to"] - c["from"]).alias("part"))).alias("sides")))
-
-    def terms(side: Column) -> Column:
-        part, start = side["part"], side["from"]
-        found = located(part, F.regexp_extract_all(part, F.lit(TERM), F.lit(0)), TERM)
-        whole = F.filter(found, lambda t: ((t["start"] > 0) | (start == 0)) & ((t["stop"] < F.length(part)) | (start + t["stop"] == size)))
-        return F.transform(whole, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + start).alias("start"), (t["stop"] + start).alias("stop")))
-
-    df = df.withColumn("cut", cut)
-    full = F.transform("cut", lambda x: F.struct(*[x["span"][c].alias(c) for c in ("start", "rank", "stop", "kind", "value")], F.flatten(F.transform(x["sides"], terms)).alias("terms")))
-    return df.select("doc_id", "k1", "k2", full.alias("spans"))
-
-
-def document_counts(docs: DataFrame) -> DataFrame:
-    """``term, n_term``: documents that hold each term."""
-    seen = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-    return docs.select(F.explode(seen).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    return df.select("doc_id", "k1", "k2", F.array_sort(F.concat(*named)).alias("spans"))
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """``k1, k2, text, terms``: a row per document, with its distinct terms."""
+    rows = keyed(docs.select("doc_id", "text"), docs["doc_id"], docs["text"]).select("k1", "k2", F.coalesce("row.text", F.lit("")).alias("text"))
+    found = F.regexp_extract_all("text", F.lit(TERM), F.lit(0))
+    return rows.withColumn("terms", F.array_distinct(F.transform(found, F.lower)))
+
+
+def mentions(spans: DataFrame) -> DataFrame:
+    """``entity, k1, k2, kind``: the documents that hold each entity."""
+    flat = spans.select("k1", "k2", F.explode("spans").alias("s"))
+    return flat.select(entity(F.col("s.kind"), F.col("s.value")).alias("entity"), "k1", "k2", "s.kind").distinct()
+
+
+def entity_counts(held: DataFrame, least_docs: int) -> DataFrame:
+    """``entity, n_entity``: entities that are judged."""
+    return held.groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least_docs)
+
+
+def assessed(docs: DataFrame, least_docs: int = 3) -> DataFrame:
+    """``kind, n_entities, n_assessed``: distinct entities, and those judged for terms that reveal them."""
+    held = mentions(base_spans(docs))
+    each = held.groupBy("kind", "entity").agg(F.count("*").alias("n"))
+    return each.groupBy("kind").agg(F.count("*").alias("n_entities"), F.count_if(F.col("n") >= least_docs).alias("n_assessed"))
 
 
 def revealing(docs: DataFrame, spans: DataFrame, threshold: float, least_docs: int) -> DataFrame:
-    """``entity, term, share``: terms that reveal an entity; ``share`` is 1 where a term occurs with it alone."""
-    total = spans.count()
-    flat = spans.select("k1", "k2", F.explode("spans").alias("s")).select("k1", "k2", entity(F.col("s.kind"), F.col("s.value")).alias("entity"), "s.terms")
-    entities = flat.select("entity", "k1", "k2").distinct().groupBy("entity").agg(F.count("*").alias("n_entity")).where(F.col("n_entity") >= least_docs)
-    pairs = flat.select("entity", "k1", "k2", F.explode("terms.term").alias("term")).distinct()
-    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_docs)
-    known = stage(salted_join(both, entities, ["entity"], ["term"]), "pairs")
-    counts = document_counts(docs).join(known.select("term").distinct(), "term", "left_semi")
-    information = F.log2(F.lit(float(max(total, 1))) / F.col("n_entity"))
-    mutual = F.log2(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_entity") * F.col("n_term")))
-    share = F.when(information > 0, mutual / information)
-    return salted_join(known, counts, ["term"], ["entity"]).select("entity", "term", share.alias("share")).where(F.col("share") >= threshold)
-
-
-def find(docs: DataFrame, context: int = 80, threshold: float = 0.9, least_docs: int = 3) -> DataFrame:
-    """``doc_id, k1, k2, base, terms``: spans of personal data, and of terms around it that reveal it.
-
-    ``share`` of a term is the largest over the entities that it reveals there.
+    """``k1, k2, term, share``: terms that reveal an entity of their document, wherever they stand in it.
+
+    Documents are counted whole. As no pair is seen in more documents than its
+    entity, only a term in at most ``total ** (1 - threshold) * n_entity **
+    threshold`` documents can reach ``threshold``; others are dropped before
+    pairs are made. ``share`` is 1 where a term occurs with an entity alone.
+    """
+    total = float(max(spans.select("k1", "k2").distinct().count(), 1))
+    held = stage(mentions(spans), "mentions")
+    entities = stage(entity_counts(held, least_docs), "entities")
+    judged = stage(salted_join(held.select("entity", "k1", "k2"), entities, ["entity"], ["k1", "k2"]), "judged")
+    most = judged.groupBy("k1", "k2").agg(F.max("n_entity").alias("most"))
+    bound = lambda n: (1 + 1e-9) * total ** (1 - threshold) * F.pow(n, F.lit(threshold))
+    widest = entities.agg(F.max(bound(F.col("n_entity")))).first()[0] or 0.0
+    # repeated rows are one document; their number beside each term costs less than telling rows apart
+    once = spans.groupBy("k1", "k2").agg(F.count("*").alias("rows")).where(F.col("rows") > 1)
+    rows = document_terms(docs)
+    terms = rows.select("k1", "k2", F.explode("terms").alias("term"))
+    more = rows.join(once, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select(F.explode("terms").alias("term"), (1 - F.col("rows")).alias("n"))
+    counts = terms.select("term", F.lit(1).cast("long").alias("n")).union(more).groupBy("term").agg(F.sum("n").alias("n_term"))
+    rare = counts.where(F.col("n_term") <= widest)
+    near = rows.join(most, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", "most", F.explode("terms").alias("term"))
+    near = near.join(rare, "term").where(F.col("n_term") <= bound(F.col("most"))).select("k1", "k2", "term", "n_term")
+    pairs = stage(near.join(judged, ["k1", "k2"]).where(F.col("n_term") <= bound(F.col("n_entity"))), "pairs")
+    both = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+    information = F.log2(F.lit(total) / F.col("n_entity"))
+    mutual = F.log2(F.col("n_both") * F.lit(total) / (F.col("n_entity") * F.col("n_term")))
+    # with an entity alone: exactly 1, whatever the logarithms are rounded to
+    share = F.when(information > 0, F.when(F.col("n_both") == F.col("n_term"), F.lit(1.0)).otherwise(mutual / information))
+    enough = F.col("n_both") >= F.least(F.lit(least_docs), "n_entity")
+    known = stage(both.where(enough).select("entity", "term", share.alias("share")).where(F.col("share") >= threshold), "revealing")
+    told = pairs.select("k1", "k2", "entity", "term").join(known, ["entity", "term"])
+    return told.groupBy("k1", "k2", "term").agg(F.max("share").alias("share"))
+
+
+def _marked(text: Column, shares: Column) -> Column:
+    """Spans of the words of ``text`` that ``shares`` has, in code points, with their share."""
+    found = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split(text, TERM), F.length)
+    kind = "array<struct<start:int,rank:int,stop:int,kind:string,share:double>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + pair["gap"]
+        stop = start + F.length(pair["value"])
+        new = F.struct(start.alias("start"), F.lit(len(PATTERNS)).alias("rank"), stop.alias("stop"), F.lit("term").alias("kind"), pair["share"].alias("share"))
+        return F.struct(stop.alias("at"), F.when(pair["share"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(new))).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"), F.try_element_at(shares, F.lower(v)).alias("share")))
+    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+
+
+def find(docs: DataFrame, threshold: float = 0.9, least_docs: int = 3) -> DataFrame:
+    """``doc_id, k1, k2, base, terms``: spans of personal data, and of all terms in the document that reveal it.
+
+    Entities in fewer than ``least_docs`` documents are not judged; 1 judges
+    all. ``share`` of a term is the largest over the entities that it reveals there.
     """
-    spans = stage(base_spans(docs, context), "spans")
-    known = stage(revealing(docs, spans, threshold, least_docs), "revealing")
-    flat = spans.select("k1", "k2", F.explode("spans").alias("s")).select("k1", "k2", entity(F.col("s.kind"), F.col("s.value")).alias("entity"), F.explode("s.terms").alias("t"))
-    told = salted_join(flat.select("k1", "k2", "entity", "t.*"), known, ["entity", "term"], ["k1", "start"])
-    best = told.groupBy("k1", "k2", "start", "stop").agg(F.max("share").alias("share"))
-    per_doc = best.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("rank"), "stop", F.lit("term").alias("kind"), "share")).alias("terms"))
+    spans = stage(base_spans(docs), "spans")
+    told = revealing(docs, spans, threshold, least_docs).groupBy("k1", "k2").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("shares"))
+    texts = keyed(docs.select("doc_id", "text"), docs["doc_id"], docs["text"]).select("k1", "k2", "row.text")
+    per_doc = texts.join(told, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("k1", "k2", _marked(F.col("text"), F.col("shares")).alias("terms"))
     base = F.transform("spans", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "stop", "kind")]))
     out = spans.select("doc_id", "k1", "k2", base.alias("base")).join(per_doc, ["k1", "k2"], "left")
     apart = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["stop"]) & (t["start"] < b["stop"])))
