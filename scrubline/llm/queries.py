@@ -40,7 +40,7 @@ def _is_kind(kind: str):
 @query
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data and of the terms that reveal it."""
-    out = privacy.find(load(spark, sf_dir, "documents"))
+    out = privacy.find(load(spark, sf_dir, "documents"), least_docs=1)
     kinds = [F.size(F.filter("base", _is_kind(k))).cast("long").alias(f"n_{k}") for k in privacy.PATTERNS]
     plain = lambda c: F.transform(c, lambda s: F.struct(*[s[x].alias(x) for x in ("start", "rank", "stop", "kind")]))
     spans = F.array_sort(F.concat(F.col("base"), plain("terms")))

@@ -4,7 +4,7 @@ import math
 import re
 from collections import defaultdict
 
-from scrubline.llm import privacy
+from scrubline.llm import privacy, queries
 from tests.llm import brute
 from tests.llm.data import frame, prose, rows
 
@@ -63,3 +63,18 @@ def test_terms_anywhere_in_the_document(spark):
         found = [text[d][a:b] for a, b in out[d]]
         assert "Ferdinand" in found and "ferdinand" in found
     assert not out[300]
+
+
+def test_query_judges_every_entity(spark, tmp_path):
+    """Entities of one document are judged as well, and counted."""
+    data = corpus()
+    frame(spark, data).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    want = terms([(d, t) for d, t, _ in data], least=1)
+    text = {d: t for d, t, _ in data}
+    for r in queries.op3_personal_data(spark, str(tmp_path)).collect():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")]
+        assert spans == want[r.doc_id, text[r.doc_id]], r.doc_id
+        if r.doc_id == 300:
+            assert [text[300][a:b] for a, b in spans].count("Gisela") == 2
+    found = {r.kind: (r.n_entities, r.n_assessed) for r in privacy.assessed(frame(spark, data), 1).collect()}
+    assert found == {"email": (2, 2), "phone": (1, 1)}
