@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import decontam, katz, linededup, packing, privacy, quality, repair, simhash, urls, warc
-from scrubline.llm.common import load
+from scrubline.llm import decontam, katz, licenses, linededup, manifest, packing, privacy, quality, repair, simhash, urls, warc
+from scrubline.llm.common import ascii_lower, load
 from scrubline.staging import new_path
 
 QUERIES = {}
@@ -148,6 +148,110 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices in every document."""
+    out = licenses.scan(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    starts = F.transform("base", lambda p: p["start"])
+    return out.select(
+        "row.doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        licenses.labels(F.col("base")).alias("base_labels"), licenses.labels(F.col("base"), F.col("notices")).alias("labels"), "score",
+    )
+
+
+def _licenses_sql() -> str:
+    entries = licenses.parsed()
+    entry = ", ".join(f"({e}, '{label}', {i}, '{w}', {any(a <= i < b for a, b in must)})" for e, (label, words, must) in enumerate(entries) for i, w in enumerate(words))
+    phrase = ", ".join(f"('{label}', {i}, '{w}')" for text, label in licenses.PHRASES.items() for i, w in enumerate(text.split()))
+    return f"""
+with doc as (select row_number() over () as d, doc_id, coalesce({_WORDS}, []) as w from documents),
+entry(e, label, place, word, must) as (values {entry}),
+size as (select e, any_value(label) as label, count(*) as n, count(*) filter (where must) as n_must from entry group by e),
+phrase(label, place, word) as (values {phrase}),
+known as (select word from entry union select word from phrase),
+token as (select d, unnest(w) as word, unnest(range(len(w))) as pos from doc),
+hit as (select * from token where word in (from known)),
+df as (select k.word, count(distinct d) as df from known k left join hit using (word) group by k.word),
+anchor as (
+  select e, word from (select e, word, row_number() over (partition by e order by df, word) as nth from (select distinct e, word from entry) join df using (word))
+  where nth <= {licenses.ANCHORS}),
+needed as (select e, ceil({licenses.SHARE} * count(*)) as need from anchor group by e),
+vote as (
+  select d, e, pos - place as shift from hit join entry using (word) join anchor using (e, word)
+  group by d, e, shift having count(distinct word) >= (select need from needed n where n.e = entry.e)),
+same as (
+  select v.d, v.e, v.shift, count(*) as n_same, count(*) filter (where must) as n_must
+  from vote v join entry x on x.e = v.e join hit h on h.d = v.d and h.word = x.word and h.pos = v.shift + x.place group by all),
+notice as (select d, label, n_same / n as score from same join size using (e) where same.n_must = size.n_must),
+base as (
+  select d, label, pos - place as pos from hit join phrase using (word) join (select label, count(*) as n from phrase group by label) using (label)
+  group by d, label, pos - place having count(*) = any_value(n)),
+b as (select d, count(*) as n_base, min(pos) as first_word, max(pos) as last_word, string_agg(distinct label, ',' order by label) as base_labels from base group by d),
+l as (select d, string_agg(distinct label, ',' order by label) as labels, max(score) as score from (select d, label, score from notice union all select d, label, 0 from base) group by d)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word, last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from doc left join b using (d) left join l using (d)"""
+
+
+ORACLES["op11_licenses"] = _licenses_sql()
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof of belonging to the manifest, checked on texts of which a third is altered."""
+    docs = load(spark, sf_dir, "documents")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, ascii_lower(F.col("text")))
+    out = manifest.check(manifest.build(manifest.leaves(docs, altered=altered)).proofs())
+    return out.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+#: Unsigned crc32 of an ASCII text, from its polynomial.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}, ''), lambda x: ascii(x)::bigint)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"
+
+
+def _manifest_sql(depth: int = 8) -> str:
+    """SQL of the manifest, for up to ``8 ** depth`` documents a language and ``8 ** 3`` languages."""
+    part = lambda c: f"case when {c} is null then '-' else strlen({c}::varchar) || ':' || {c} end"
+    leaf = lambda text: "sha256(" + " || ".join(map(part, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    ctes = [f"""leaves as (
+  select doc_id, coalesce('=' || lang, '') as tree, {leaf('text')} as leaf,
+    case when {_CRC32.format('doc_id::varchar')} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as altered
+  from documents)""", """a0 as (
+  select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as r, leaf as digest, altered as f from leaves)""",
+        "an0 as (select tree, r as i, digest, count(*) over (partition by tree) as n from a0)"]
+
+    def levels(tag: str, depth: int) -> None:
+        for k in range(depth):
+            ctes.append(f"""{tag}p{k} as (
+  select x.tree, x.i, coalesce(string_agg(y.digest, '' order by y.i) filter (where y.i < x.i), '') as l,
+    coalesce(string_agg(y.digest, '' order by y.i) filter (where y.i > x.i), '') as r
+  from {tag}n{k} x join {tag}n{k} y on x.tree = y.tree and x.i // 8 = y.i // 8 group by x.tree, x.i)""")
+            ctes.append(f"""{tag}n{k + 1} as (
+  select tree, i // 8 as i, case when any_value(n) = 1 then any_value(digest) else sha256(string_agg(digest, '' order by i)) end as digest, (any_value(n) + 7) // 8 as n
+  from {tag}n{k} group by tree, i // 8)""")
+
+    levels("a", depth)
+    ctes.append(f"tops as (select tree, digest, row_number() over (order by tree) - 1 as i from an{depth})")
+    ctes.append("bn0 as (select 0 as tree, i, digest, count(*) over () as n from tops)")
+    levels("b", 3)
+    size = "select tree, count(*) as n from a0 group by tree"
+    steps = [("a", k, "t.n", f"d.r // {8 ** k}", "d.tree", "d.tree") for k in range(depth)]
+    steps += [("b", k, "(select count(*) from tops)", f"t.i // {8 ** k}", "0", "d.tree") for k in range(3)]
+    ctes.append(f"trees as (select s.tree, s.n, tops.i, tops.digest as subroot from ({size}) s join tops using (tree))")
+    ctes.append("f0 as (select doc_id, tree, r, leaf, altered as f, '' as proof from a0)")
+    for j, (tag, k, n, place, tree, _) in enumerate(steps):
+        ctes.append(f"""f{j + 1} as (
+  select d.doc_id, d.tree, d.r, d.leaf, case when {n} > {8 ** k} then sha256(p.l || d.f || p.r) else d.f end as f, d.proof || case when {n} > {8 ** k} then p.l || p.r else '' end as proof
+  from f{j} d join trees t on d.tree = t.tree join {tag}p{k} p on p.tree = {tree} and p.i = {place})""")
+    return "with " + ",\n".join(ctes) + f"""
+select doc_id, leaf, subroot, root, sha256(proof) as proof_sha256, f as folded_root, f = root as verified
+from f{len(steps)} join trees using (tree), (select digest as root from bn3)"""
+
+
+ORACLES["op12_manifest"] = _manifest_sql()
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through all stages of the corpus pipeline."""
