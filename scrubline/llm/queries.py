@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrubline.llm import decontam, katz, licenses, linededup, manifest, packing, privacy, quality, repair, simhash, urls, warc
+from scrubline.llm import decontam, dialogue, katz, licenses, linededup, manifest, packing, privacy, quality, repair, simhash, urls, warc
 from scrubline.llm.common import ascii_lower, load
 from scrubline.staging import new_path
 
@@ -252,6 +252,13 @@ from f{len(steps)} join trees using (tree), (select digest as root from bn3)"""
 ORACLES["op12_manifest"] = _manifest_sql()
 
 
+@query
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations and the cheapest audit that repairs their turns."""
+    rows = load(spark, sf_dir, "conversations")
+    return dialogue.audit(dialogue.damage(rows), rows)
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents through all stages of the corpus pipeline."""

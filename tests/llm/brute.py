@@ -273,3 +273,150 @@ class Katz:
 
 def sha256(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+# ── conversations ──
+
+
+def damaged(rows):
+    """``(conv_id, turn, role, text)`` with faults put in."""
+    for cid, turn, role, text in rows:
+        pick = zlib.crc32(f"{' ' if cid is None else cid}:{' ' if turn is None else turn}".encode()) % 20
+        role, text = " " if role is None else role, " " if text is None else text
+        if pick == 1:
+            text = ""
+        if pick == 2:
+            text = re.sub("[.!?]", "", text)
+        if pick == 4:
+            role = "user"
+        yield from [(cid, turn, role, text)] * (0 if pick == 0 else 2 if pick == 3 else 1)
+
+
+def audit(rows):
+    """Figures, audit and repaired messages of one conversation's rows."""
+    rows = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, hashlib.sha256(f"{r[2]}:{r[3]}".encode()).hexdigest()))
+    faults = []
+    for i, (_, _, role, text) in enumerate(rows):
+        w = words(text)
+        seen = any((role, text) == r[2:] for r in rows[:i])
+        faults.append("blank" if not w else "duplicate" if seen else "" if w[-1][-1] in ".!?" else "truncated")
+    # (state, initials so far must go on to match) -> cheapest audit, with the repaired messages
+    moves = {("", "s"): "s", ("", "u"): "u", ("s", "u"): "u", ("u", "a"): "a", ("a", "u"): "u"}
+    names = {"u": "user", "a": "assistant"}
+    best = {"": (0, "", ())}
+
+    def offer(table, state, entry):
+        if state not in table or entry[:2] < table[state][:2]:
+            table[state] = entry
+
+    def inserted(table):
+        for _ in range(3):
+            for state, (cost, text, out) in list(table.items()):
+                for c, name in names.items():
+                    if (state, c) in moves:
+                        offer(table, moves[state, c], (cost + 3, text + "I", (*out, (name, ""))))
+        return table
+
+    for (_, _, role, text), fault in zip(rows, faults):
+        following = {}
+        for state, (cost, edits, out) in inserted(best).items():
+            offer(following, state, (cost + 4, edits + "D", out))
+            if fault in ("blank", "duplicate"):
+                continue
+            extra = 3 if fault == "truncated" else 0
+            if (state, role[:1]) in moves:
+                offer(following, moves[state, role[:1]], (cost + extra, edits + "K", (*out, (role, text))))
+            for c, name in names.items():
+                if (state, c) in moves:
+                    offer(following, moves[state, c], (cost + 3 + extra, edits + "R", (*out, (name, text))))
+        best = following
+    cost, edits, out = min(v for k, v in inserted(best).items() if k in ("", "a"))
+    turns = {r[1] for r in rows if r[1] is not None}
+    illegal = sum(a[2][:1] + b[2][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    gaps = max(turns) - min(turns) + 1 - len(turns) if turns else 0
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, edits, digest), list(out)
+
+
+def audits(rows):
+    """The audit of each conversation, damaged first."""
+    groups = {r[0]: [] for r in rows}
+    for r in damaged(rows):
+        groups[r[0]].append(r)
+    return {c: audit(g)[0] for c, g in groups.items()}
+
+
+# ── manifest ──
+
+
+def _h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def manifest(rows, lower=True):
+    """``(doc_id, leaf, subroot, root, proof, folded, verified)`` of rows ``(doc_id, source, lang, n_chars, text)``."""
+
+    def leaf(*values):
+        return _h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in values])
+
+    def tree(digests):
+        """Root, and for each digest its steps ``(left, right)``."""
+        paths = [[] for _ in digests]
+        at = list(range(len(digests)))
+        while len(digests) > 1:
+            runs = [digests[i : i + 8] for i in range(0, len(digests), 8)]
+            for k, i in enumerate(at):
+                run = runs[i // 8]
+                paths[k].append(("".join(run[: i % 8]), "".join(run[i % 8 + 1 :])))
+            digests, at = [_h(*run) for run in runs], [i // 8 for i in at]
+        return digests[0], paths
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[2]].append((row, leaf(*row)))
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    for g in order:
+        groups[g].sort(key=lambda x: (x[0][0] is not None, x[0][0] or 0, x[1]))
+    trees = {g: tree([x[1] for x in groups[g]]) for g in order}
+    root, crown = tree([trees[g][0] for g in order])
+    out = []
+    for g, above in zip(order, crown):
+        subroot, paths = trees[g]
+        for (row, own), path in zip(groups[g], paths):
+            path = path + above
+            changed = row[0] is not None and zlib.crc32(str(row[0]).encode()) % 3 == 0
+            digest = leaf(*row[:4], row[4].translate(LOWER)) if changed and row[4] is not None else own
+            for a, b in path:
+                digest = _h(a, digest, b)
+            out.append((row[0], own, subroot, root, _h(*[x for step in path for x in step]), digest, digest == root))
+    return out
+
+
+# ── licences ──
+
+
+def licences(rows, phrases, notices, most, share):
+    """``(id, n_words, n_base, first, last, base labels, labels, score)`` of ``(id, text)`` rows."""
+    texts = [LETTER_WORD.findall((t or "").translate(LOWER)) for _, t in rows]
+    df = Counter(w for t in texts for w in set(t))
+    out = []
+    for (key, _), w in zip(rows, texts):
+        base = [(label, i) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        labels, score = {x for x, _ in base}, 0.0
+        for label, text in notices:
+            entry = text.replace("[", "").replace("]", "").split()
+            must = [i for i, _ in enumerate(entry) if f" {text} ".count("[", 0, _at(text, i)) > f" {text} ".count("]", 0, _at(text, i))]
+            rare = sorted(set(entry), key=lambda x: (df[x], x))[:most]
+            for offset in range(-len(entry), len(w)):
+                same = [i for i, x in enumerate(entry) if 0 <= offset + i < len(w) and w[offset + i] == x]
+                if len({entry[i] for i in same} & set(rare)) >= math.ceil(share * len(rare)) and set(must) <= set(same):
+                    labels.add(label)
+                    score = max(score, len(same) / len(entry))
+        starts = [i for _, i in base]
+        out.append((key, len(w), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for x, _ in base})), ",".join(sorted(labels)), score))
+    return out
+
+
+def _at(text, i):
+    """End of the ``i``-th word of ``text``, one blank put before it."""
+    return 1 + [m.end() for m in re.finditer(r"[0-9a-z]+", text)][i]
