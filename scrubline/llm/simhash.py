@@ -83,18 +83,21 @@ def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.col("other").isNotNull() & (apart <= radius)).select(F.col("other").alias("a"), F.col("fp").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hubs: bool = False) -> DataFrame:
     """``node, label``: the smallest node reachable from each node of ``edges (a, b)``.
 
     Each round takes the smallest label among a node and its neighbours,
     passes it on to all nodes of the same label, and follows labels one step.
     Rounds go on until nothing changes; each is written, so lineage stays
-    short. Joins on labels are salted, as one group may hold most nodes.
+    short. Joins on labels are salted, as one group may hold most nodes; those on
+    nodes only with ``hubs``, where one node may have most links.
     """
     both = stage(edges.union(edges.select("b", "a")), "links")
     labels = stage(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels")
     while True:
-        low = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
+        ends = labels.withColumnRenamed("node", "b")
+        met = salted_join(both, ends, ["b"], ["a"]) if hubs else both.join(ends, "b")
+        low = met.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
         near = labels.join(low, "node").select("node", "label", F.least("label", "low").alias("low"))
         least = near.groupBy("label").agg(F.min("low").alias("least"))
         hooked = stage(

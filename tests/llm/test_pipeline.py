@@ -7,6 +7,7 @@ import corpus_pipeline as P
 from scrubline.llm import quality
 from scrubline.llm.common import load
 from tests.llm import brute
+from tests.llm.test_minhash import jaccard_groups
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,7 +21,7 @@ def test_stages(spark):
     rows = [r for i, r in enumerate(rows) if verdicts[i][2]]
     cleaned = brute.line_dedup(rows, 5)
     rows = [(r[0], c[0], r[2]) for r, c in zip(rows, cleaned) if not c[2] or brute.words(c[0])]
-    group = brute.components([brute.fingerprint(t, 5) for _, t, _ in rows])
+    group = jaccard_groups([t for _, t, _ in rows])
     first = {}
     for g, (d, _, _) in zip(group, rows):
         first[g] = min(d, first.get(g, d))
