@@ -670,6 +670,22 @@ ORACLES["chart_columns"] = f"select ord, a, b, {r('r')} as r from ({pairs('linei
 
 # ── later additions ──
 
+
+def _exact_quantile(source: str, col: str, share: str) -> str:
+    """One row ``q``: a quantile of a decimal column in decimal arithmetic."""
+    return f"""select max(case when i = k then v end) + (max(case when i = least(k + 1, n - 1) then v end) - max(case when i = k then v end)) * cast(any_value(f) as decimal(3,2)) as q
+    from (select cast({col} as decimal(30,6)) as v, row_number() over (order by {col}) - 1 as i, count(*) over () as n,
+      cast(floor({share} * (count(*) over () - 1)) as bigint) as k, {share} * (count(*) over () - 1) - floor({share} * (count(*) over () - 1)) as f
+      from {source} where {col} is not null)"""
+
+
+ORACLES["clean_exact_money"] = with_views("exact_money") + f""",
+h as ({_exact_quantile('exact_money', 'amount', '0.5')}),
+f as (select o_orderkey, coalesce(cast(amount as decimal(24,4)), cast(h.q as decimal(24,4))) as amount from exact_money, h),
+a as ({_exact_quantile('f', 'amount', '0.25')}), b as ({_exact_quantile('f', 'amount', '0.75')}),
+e as (select cast(a.q - 1.5 * (b.q - a.q) as decimal(24,4)) as lo, cast(b.q + 1.5 * (b.q - a.q) as decimal(24,4)) as hi from a, b)
+select o_orderkey, cast(greatest(lo, least(amount, hi)) as varchar) as amount, 'decimal(24,4)' as kind from f, e"""
+
 ORACLES["csv_round_trip"] = with_views("long_ids") + "select cast(id_19 as bigint) as id_19, id_22, label from long_ids"
 ORACLES["csv_round_trip_cleaned"] = with_views("long_ids") + "select cast(id_19 as bigint) as id_19, id_22 from long_ids"
 ORACLES["run_append"] = with_views("event_runs") + """

@@ -508,6 +508,13 @@ def clean_orders(spark, sf):
     return rounded(_cleaned_orders(spark, sf).table, 4, "o_totalprice")
 
 
+@query
+def clean_exact_money(spark, sf):
+    """Gaps filled and outliers capped in decimals, to the last digit."""
+    out = cleaning.clean(table(spark, sf, "exact_money"), ["o_orderkey"]).table
+    return out.select("o_orderkey", F.col("amount").cast("string").alias("amount"), F.lit(dict(out.dtypes)["amount"]).alias("kind"))
+
+
 @query
 def clean_by_dropped_order(spark, sf):
     """Rows ordered by a column that the cleaning drops."""

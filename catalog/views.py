@@ -49,6 +49,12 @@ from (select o_orderkey, substring(iso, 1, 4) as yyyy, substring(iso, 6, 2) as m
 select concat('1234567890123', substring(cast(1000000 + o_orderkey as varchar(9)), 2, 6)) as id_19,
   concat('1234567890123456', substring(cast(1000000 + o_orderkey as varchar(9)), 2, 6)) as id_22,
   case when o_orderkey % 9 = 0 then null else o_orderpriority end as label
+from {orders}""",
+    # money of 19 digits, more than a double holds, with gaps and values far off
+    "exact_money": """
+select o_orderkey, cast(case when o_orderkey % 97 = 1 then null when o_orderkey % 500 = 33 then '99071992547400000.07'
+    else concat(cast(90071992547400000 + (o_orderkey * 7919) % 5000 as varchar(20)), '.', substring(cast(100 + o_orderkey % 89 as varchar(3)), 2, 2))
+  end as decimal(22,2)) as amount
 from {orders}""",
     # one analysis run per event
     "event_runs": """
@@ -62,6 +68,7 @@ from {events}""",
 SOURCE = {
     "dirty_orders": "orders", "dirty_lineitem": "lineitem", "dirty_events": "events",
     "dup_orders": "orders", "mixed_dates": "orders", "event_runs": "events", "long_ids": "orders",
+    "exact_money": "orders",
 }
 
 

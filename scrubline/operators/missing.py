@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scrubline.config import CURRENT, CleanConfig
 from scrubline.functions import numbers as N
 from scrubline.jobs import together
 from scrubline.operators.columns import ROW_ID, quoted, small_frame
+from scrubline.operators.exact import exact_decimal_quantiles, exact_means, filled_type, fitted
 from scrubline.operators.frequencies import modes
 from scrubline.operators.ordering import RANGE_BITS, numbered
 from scrubline.operators.profile import Moments, moments
@@ -31,7 +34,7 @@ MODE = "mode"
 class Fill:
     column: str
     strategy: str
-    value: float | str | None
+    value: float | Decimal | str | None
     count: int
     share: float
 
@@ -59,6 +62,7 @@ def decide_fills(
     """
     todo = [r for r in roles if nulls[r.column] and not r.protected and r.role != "other"]
     numeric = [r.column for r in todo if r.role in NUMERIC_ROLES]
+    decimals = {c: filled_type(df.schema[c].dataType) for c in numeric if isinstance(df.schema[c].dataType, T.DecimalType)}
 
     def wants_median(m: Moments) -> bool:
         if m.n < config.min_numeric_values:
@@ -70,7 +74,10 @@ def decide_fills(
         stats = dict(known or {})
         stats.update(moments(df, [c for c in numeric if c not in stats]))
         skewed = [c for c in numeric if wants_median(stats[c])]
-        return stats, medians(df, skewed, {c: stats[c].n for c in skewed})
+        counts = {c: stats[c].n for c in skewed}
+        halves = medians(df, [c for c in skewed if c not in decimals], counts)
+        exact = exact_decimal_quantiles(df, [c for c in skewed if c in decimals], [0.5], counts)
+        return stats, halves | {c: q[0.5] for c, q in exact.items()}, exact_means(df, [c for c in numeric if c in decimals and c not in skewed])
 
     share = {r.column: nulls[r.column] / rows for r in todo}
     labels = [
@@ -78,7 +85,7 @@ def decide_fills(
         if r.role in ("categorical", "text")
         and (config.unknown_share is None or share[r.column] <= config.unknown_share)
     ]
-    (stats, halves), mode = together(centres, lambda: modes(df, labels))
+    (stats, halves, means), mode = together(centres, lambda: modes(df, labels))
 
     fills = []
     for r in todo:
@@ -91,7 +98,9 @@ def decide_fills(
             elif stats[c].n < config.min_numeric_values:
                 strategy, value = ZERO, 0.0
             else:
-                strategy, value = MEAN, stats[c].mean
+                strategy, value = MEAN, means.get(c) if means.get(c) is not None else stats[c].mean
+            if isinstance(value, Decimal):
+                value = fitted(value, decimals[c])
             value = None if value is None else round(value, 4)
         elif c in mode:
             strategy, value = MODE, mode[c]
@@ -113,8 +122,11 @@ def apply_fills(df: DataFrame, fills: Sequence[Fill]) -> DataFrame:
         if f.value is None:
             continue
         c = quoted(f.column)
-        if isinstance(f.value, float):
-            new[f.column] = _with_number(c, types[f.column], f.value)
+        if isinstance(f.value, Decimal) and types[f.column].startswith("decimal"):
+            kind = filled_type(df.schema[f.column].dataType)
+            new[f.column] = F.coalesce(c.cast(kind), F.lit(fitted(f.value, kind)).cast(kind))
+        elif isinstance(f.value, (float, Decimal)):
+            new[f.column] = _with_number(c, types[f.column], float(f.value))
         elif types[f.column] == "boolean" and f.strategy == UNKNOWN:
             new[f.column] = F.coalesce(c.cast("string"), F.lit(f.value))
         else:

@@ -37,6 +37,7 @@ class _Search:
         self.edges: list[float] = []
         self.listed: set[int] = set()
         self.found: dict[int, float] = {}
+        self.places: dict[int, tuple[int, int]] = {}  # rank: values below the one found, values equal to it
         self.open = {0: (n, [float(p) for p in probs])}
         if n is not None:
             self.start(n)
@@ -86,6 +87,7 @@ class _Search:
                 value = self.edges[stretch // 2]
             if value is not None:
                 self.found.update(dict.fromkeys(hits, value))
+                self.places.update(dict.fromkeys(hits, (below, n)))
             elif hits:
                 self.open[stretch] = (n, [(k - below) / max(n - 1, 1) for k in hits])
         self.listed = {s for s, (n, _) in self.open.items() if n <= MAX_LISTED}
@@ -145,6 +147,33 @@ def _count_stretches(df: DataFrame, searches: list[_Search]) -> DataFrame:
     )
 
 
+def _run(df: DataFrame, searches: list[_Search]) -> None:
+    while todo := [s for s in searches if s.open]:
+        _bracket(df, todo)
+        todo = [s for s in todo if s.open]
+        if not todo:
+            break
+        cells = _count_stretches(df, todo).collect()  # one or two rows per wanted rank
+        for i, s in enumerate(todo):
+            s.settle([(r.stretch, r.value, r.n, r.below) for r in cells if r.tag == i])
+
+
+def order_statistics(
+    df: DataFrame, ranks: dict[str, Sequence[int]], counts: dict[str, int], batch: int = 16
+) -> dict[str, dict[int, tuple[float, int, int]]]:
+    """Per column and rank (from 0): the value as double, how many lie below it, how many equal it."""
+    result = {}
+    for some in batches(list(ranks), batch):
+        searches = []
+        for c in some:
+            s = _Search(c, [k / max(counts[c] - 1, 1) for k in ranks[c]], counts[c])
+            s.ranks = sorted(set(ranks[c]))
+            searches.append(s)
+        _run(df, searches)
+        result.update({s.name: {k: (s.found[k], *s.places[k]) for k in s.ranks} for s in searches})
+    return result
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -159,14 +188,7 @@ def exact_quantiles(
     result: dict[str, dict[float, float | None]] = {}
     for some in batches(list(cols), batch):
         searches = [_Search(c, probs, counts[c] if counts else None) for c in some]
-        while todo := [s for s in searches if s.open]:
-            _bracket(df, todo)
-            todo = [s for s in todo if s.open]
-            if not todo:
-                break
-            cells = _count_stretches(df, todo).collect()  # one or two rows per wanted rank
-            for i, s in enumerate(todo):
-                s.settle([(r.stretch, r.value, r.n, r.below) for r in cells if r.tag == i])
+        _run(df, searches)
         result.update({s.name: {p: s.quantile(p) for p in probs} for s in searches})
     return result
 

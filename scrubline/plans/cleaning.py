@@ -12,6 +12,7 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from scrubline.config import CURRENT, LEGACY, CleanConfig
 from scrubline.functions import dates as D
@@ -146,12 +147,12 @@ def name_pass(df: DataFrame, order_by, report: Report) -> tuple[DataFrame, list[
     return named, order
 
 
-def value_expression(name: str, role: str, kind: str):
-    """How one unprotected column is cleaned, row by row."""
+def value_expression(name: str, role: str, kind: str, exact: bool = False):
+    """How one unprotected column is cleaned, row by row; ``exact`` numbers keep their type."""
     c = quoted(name)
     if kind != "text":
         # typed values hold no placeholder texts, and money is already a number
-        return c.cast("double") if role in ("currency", "pct") else c
+        return c.cast("double") if role in ("currency", "pct") and not exact else c
     c = X.null_fakes(c)
     if role == "currency":
         return N.parse_currency(c)
@@ -167,7 +168,7 @@ def value_expression(name: str, role: str, kind: str):
 def apply_values(df: DataFrame, roles: Sequence[Role]) -> DataFrame:
     """Row-by-row cleaning of every unprotected column."""
     new = {
-        r.column: value_expression(r.column, r.role, r.family)
+        r.column: value_expression(r.column, r.role, r.family, isinstance(df.schema[r.column].dataType, DecimalType))
         for r in roles
         if not r.protected and r.role != "other" and r.family != "boolean"
     }
