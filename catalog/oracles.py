@@ -670,6 +670,22 @@ ORACLES["chart_columns"] = f"select ord, a, b, {r('r')} as r from ({pairs('linei
 
 # ── later additions ──
 
+ORACLES["run_append_twice"] = with_views("event_runs") + """
+select user_id, count(*) as runs, false as compacted from event_runs group by user_id
+union all select user_id, count(*), true from event_runs where user_id = (select max(user_id) from event_runs) group by user_id"""
+
+ORACLES["first_values_sparse"] = union(
+    f"""select * from (select 'c{k}' as "column", cast(row_number() over (order by o_orderkey) as int) as k, 'c{k}-' || o_orderkey as value
+    from orders where o_orderkey % {k + 40} = {k}) where k <= 50""" for k in range(12)
+)
+
+ORACLES["correlation_wide"] = f"""
+with wide as (select {", ".join(
+    f"case when o_orderkey % {k + 3} <> 0 or {str(k % 2 == 0).lower()} then (o_orderkey * {2 * k + 1} + o_custkey * {k % 7}) % 101 + (o_totalprice % 97) * {k % 5} end as c{k}"
+    for k in range(300))} from orders),
+found as (select unnest([{", ".join(f"{{'i': {i}, 'j': {j}, 'r': corr(c{i}, c{j})}}" for i in range(300) for j in range(i + 1, 300))}], recursive := true) from wide)
+select (i * 300 - i * (i + 1) // 2 + j - i - 1)::int as ord, 'c' || i as a, 'c' || j as b, {r('r')} as r from found where abs(r) > 0.2"""
+
 
 def _exact_quantile(source: str, col: str, share: str) -> str:
     """One row ``q``: a quantile of a decimal column in decimal arithmetic."""

@@ -15,7 +15,8 @@ from scrubline.functions import text as X
 from scrubline.functions.names import normalise_names
 from scrubline.operators import correlation, distribution, duplicates, frequencies, missing, normality
 from scrubline.operators import outliers, profile, quality, roles, summaries
-from scrubline.operators.columns import row_order
+from scrubline.operators.columns import ROW_ID, row_order
+from scrubline.operators.ordering import numbered
 from scrubline.plans import charts, cleaning, insights, report
 from scrubline.sources import runs, sinks, tables
 from scrubline.staging import new_path
@@ -82,6 +83,22 @@ def run_append(spark, sf):
     return runs.read_runs(spark, path).select("id", "user_id", "original_rows", "cleaned_rows")
 
 
+@query
+def run_append_twice(spark, sf):
+    """Both halves of the history appended twice, as after a failed job; then one owner's runs."""
+    path, compacted = new_path(spark, "runs"), new_path(spark, "runs")
+    rows = table(spark, sf, "event_runs")
+    blank = {c: F.lit(None).cast("string") for c in ("columns", "insights_json", "charts_json", "cleaning_json")}
+    full = rows.withColumns(blank).withColumns({c: F.col(c).cast("bigint") for c in ("original_rows", "cleaned_rows")})
+    for part in (0, 1, 1, 0):
+        runs.append_runs(full.where(F.col("id") % 2 == part), path)
+    runs.compact_runs(spark, path, compacted)
+    owner = rows.agg(F.max("user_id")).first()[0]
+    every = runs.run_counts(runs.read_runs(spark, path)).select("user_id", "runs", F.lit(False).alias("compacted"))
+    own = runs.run_counts(runs.read_runs(spark, compacted, owner)).select("user_id", "runs", F.lit(True).alias("compacted"))
+    return every.union(own)
+
+
 @query
 def owner_history(spark, sf):
     df = table(spark, sf, "event_runs")
@@ -412,6 +429,16 @@ def top_values(spark, sf):
     return frequencies.top_values(table(spark, sf, "events"), ["event_type", "props"], 3)
 
 
+@query
+def first_values_sparse(spark, sf):
+    """The first values of columns that are mostly missing, in one scan of the numbered table."""
+    df = table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    cells = [F.when(key % (k + 40) == k, F.concat_ws("-", F.lit(f"c{k}"), key.cast("string"))).alias(f"c{k}") for k in range(12)]
+    rows = numbered(df.select("o_orderkey", *cells), ["o_orderkey"])
+    return roles.first_values(rows, [f"c{k}" for k in range(12)], [ROW_ID], 50)
+
+
 @query
 def correlation_pairs(spark, sf):
     return rounded(correlation.correlation_pairs(table(spark, sf, "lineitem")), 4, "r")
@@ -423,6 +450,16 @@ def correlation_with_gaps(spark, sf):
     return rounded(correlation.correlation_pairs(df), 4, "r")
 
 
+@query
+def correlation_wide(spark, sf):
+    """Three hundred columns, every other one with gaps."""
+    x, y, z = (F.col(c) for c in ("o_totalprice", "o_custkey", "o_orderkey"))
+    wave = lambda k: (z * (2 * k + 1) + y * (k % 7)) % 101 + (x % 97) * (k % 5)
+    cells = [F.when((z % (k + 3) != 0) | F.lit(k % 2 == 0), wave(k)).alias(f"c{k}") for k in range(300)]
+    found = correlation.correlation_pairs(table(spark, sf, "orders").select(*cells))
+    return rounded(found.where(F.abs("r") > 0.2), 4, "r")
+
+
 @query
 def normality_jb(spark, sf):
     return rounded(normality.jarque_bera(table(spark, sf, "events"), ["value"]), 3, "statistic", "p")

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil, log2, pi, sqrt
+from math import ceil, factorial, log2, pi, sqrt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import z_score
 from scrubline.operators.columns import batches, number, numeric_columns, small_frame
-from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.profile import Moments, moments
 from scrubline.operators.quantiles import exact_quantiles
 
 GRID = 300  # points of a density curve
-REPEATS = 20  # rows per value from which counting by value pays
+CELL = 0.5  # width of a cell in bandwidths
+TERMS = 16  # moments kept of each cell
 REACH = 9.0  # bandwidths beyond which a kernel is zero in double precision
 
 
@@ -81,12 +81,11 @@ def density_curve(
 ) -> DataFrame:
     """``point, x, density`` of a Gaussian kernel estimate with Scott's bandwidth.
 
-    Each value adds to the grid points within ``REACH`` bandwidths of it;
-    beyond that its share is below double precision. The bandwidth shrinks as
-    the table grows, so on a large table a value touches a handful of points.
-    The sums form in each task, so only grid points are shuffled; a column
-    with much fewer values than rows is counted by value first. ``scale``
-    (rows times bin width) lays the curve over a histogram.
+    Values are gathered in cells of half a bandwidth, by ``TERMS`` moments about the
+    cell's middle; a kernel is the kernel of the middle times a power series in the
+    distance from it, whose rest is below 1e-14 of the kernel's height. So rows are
+    only added up, and cells, of which there are few, reach for the grid points.
+    ``scale`` (rows times bin width) lays the curve over a histogram.
     """
     spark = df.sparkSession
     m = m or moments(df, [col])[col]
@@ -95,19 +94,28 @@ def density_curve(
     h = m.std * m.n ** (-1 / 5)
     step = (m.max - m.min) / (grid - 1)
     factor = (scale if scale is not None else 1.0) / (m.n * h * sqrt(2 * pi))
-    v, point = F.col("v"), F.col("point")
-    first = F.greatest(F.lit(0), F.ceil((v - REACH * h - m.min) / step).cast("int"))
-    last = F.least(F.lit(grid - 1), F.floor((v + REACH * h - m.min) / step).cast("int"))
-    u = (v - (point * step + m.min)) / h
-    values = df.select(number(col).alias("v"), F.lit(1).alias("n")).where(v.isNotNull())
-    if distinct_counts(df, [col], 0)[col] * REPEATS < m.n:
-        values = values.groupBy("v").agg(F.count("n").alias("n"))
+    point, cell, w, near = (F.col(c) for c in ("point", "cell", "w", "near"))
+    width = h * CELL
+    middle = (cell + 0.5) * width + m.min
+    values = df.select(number(col).alias("v")).where("v is not null").withColumn("cell", F.floor((F.col("v") - m.min) / width))
+    placed = values.select("cell", ((F.col("v") - middle) / h).alias("w")).withColumn("near", F.exp(w * w * -0.5))
+    powers = [near]
+    for _ in range(1, TERMS):
+        powers.append(powers[-1] * w)
+    cells = placed.groupBy("cell").agg(*[F.sum(p).alias(f"m{k}") for k, p in enumerate(powers)])
+    reach = (REACH + CELL) * h
+    first = F.greatest(F.lit(0), F.ceil((middle - reach - m.min) / step).cast("int"))
+    last = F.least(F.lit(grid - 1), F.floor((middle + reach - m.min) / step).cast("int"))
+    series = F.lit(0.0)
+    for k in range(TERMS - 1, -1, -1):
+        series = series * F.col("far") + F.col(f"m{k}") / factorial(k)
     sums = (
-        values.select("v", "n", first.alias("first"), last.alias("last"))
+        cells.withColumns({"first": first, "last": last})
         .where("first <= last")
-        .select("v", "n", F.explode(F.sequence("first", "last")).alias("point"))
+        .withColumn("point", F.explode(F.sequence("first", "last")))
+        .withColumn("far", (point * step + m.min - middle) / h)
         .groupBy("point")
-        .agg(F.sum(F.col("n") * F.exp(u * u * -0.5)).alias("s"))
+        .agg(F.sum(F.exp(F.col("far") * F.col("far") * -0.5) * series).alias("s"))
     )
     points = spark.range(grid).select(F.col("id").cast("int").alias("point"))
     return points.join(F.broadcast(sums), "point", "left").select(

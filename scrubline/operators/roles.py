@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from scrubline.functions.dates import looks_like_date
 from scrubline.functions.numbers import as_written
 from scrubline.functions.text import strip
 from scrubline.jobs import together
-from scrubline.operators.columns import data_columns, family, quoted, row_order, small_frame
+from scrubline.operators.columns import ROW_ID, data_columns, family, quoted, row_order, small_frame
 from scrubline.operators.frequencies import distinct_counts
 from scrubline.operators.ordering import first_rows
 from scrubline.operators.profile import null_counts
@@ -50,9 +52,9 @@ def first_values(
 ) -> DataFrame:
     """``column, k, value``: the first ``k`` non-null values of each column, as text.
 
-    One bounded prefix serves every column that has ``k`` values in it; the
-    sparse rest is looked up one column at a time. ``filled`` tells how many
-    non-null values each column has at all.
+    One bounded prefix serves every column that has ``k`` values in it. In a
+    numbered table one scan serves all of the sparse rest; else they are looked up
+    one at a time. ``filled`` tells how many non-null values each column has at all.
     """
     kinds = dict(df.dtypes)
     depth = SEARCH * k
@@ -79,6 +81,9 @@ def first_values(
         found = prefix.agg(*[F.count(quoted(c)) for c in gappy]).first()
         sparse = [c for c, n in zip(gappy, found) if n < min(k, (filled or {}).get(c, k))]
     out = [ranked(prefix, [c for c in cols if c not in sparse])] if len(sparse) < len(cols) else []
+    if sparse and list(order_by) == [ROW_ID]:
+        out.append(ranked_by_number(df, {c: text[c] for c in sparse}, k))
+        sparse = []
     for c in sparse:
         keep = list(dict.fromkeys([*order_by, c]))
         some = df.where(quoted(c).isNotNull()).select(*[quoted(x) for x in keep])
@@ -89,6 +94,37 @@ def first_values(
     return result
 
 
+def ranked_by_number(df: DataFrame, texts: dict[str, Column], k: int) -> DataFrame:
+    """``column, k, value``: the non-null values with the ``k`` smallest row numbers, of all columns in one scan.
+
+    Each task keeps ``k`` values per column, so that many rows per task are ranked.
+    """
+    names = list(texts)
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {i: (np.zeros(0, np.int64), pa.array([], pa.string())) for i in range(len(names))}
+        for batch in batches:
+            numbers = batch.column(0).to_numpy()
+            for i in range(len(names)):
+                values = batch.column(i + 1)
+                at = np.flatnonzero(values.is_valid().to_numpy(zero_copy_only=False))
+                if len(kept[i][0]) == k:
+                    at = at[numbers[at] < kept[i][0].max()]
+                if not len(at):
+                    continue
+                at = at[np.argsort(numbers[at])[:k]]
+                both = np.concatenate([kept[i][0], numbers[at]])
+                best = np.argsort(both, kind="stable")[:k]
+                kept[i] = both[best], pa.concat_arrays([kept[i][1], values.take(pa.array(at))]).take(pa.array(best))
+        for i, (numbers, values) in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([names[i]] * len(numbers), pa.string()), pa.array(numbers), values], ["column", "number", "value"])
+
+    some = df.select(F.col(ROW_ID), *[e.cast("string").alias(f"c{i}") for i, e in enumerate(texts.values())])
+    best = some.mapInArrow(smallest, "column string, number long, value string")
+    w = Window.partitionBy("column").orderBy("number")
+    return best.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select("column", "k", "value")
+
+
 def sample_shares(values: DataFrame, config: CleanConfig = CURRENT) -> DataFrame:
     """Share of sampled values that look like e-mail, money, percent and date, per column."""
     v = F.col("value")

@@ -1,8 +1,8 @@
-"""Run history: an append-only table with one row per analysis."""
+"""Run history: a table with one row per analysis, to which runs are added."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scrubline.functions.numbers import quality_band
@@ -14,12 +14,41 @@ RUN_SCHEMA = (
 )
 
 
+BUCKETS = 64  # of owners
+PARTS = ("owner_bucket", "batch")
+
+
+def _bucket(owner: Column) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(owner.cast("bigint")), F.lit(BUCKETS)), F.lit(0)).cast("int")
+
+
 def append_runs(runs: DataFrame, path: str) -> None:
-    runs.write.mode("append").parquet(path)
+    """Add runs to the history. The same runs appended again replace themselves.
+
+    Runs lie in a folder per bucket of owners and batch. A batch is named by a digest
+    of its ids, and only the folders written to are replaced, so an append that is
+    tried again after a failure leaves every run once.
+    """
+    batch = runs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("id")).alias("x"))
+    name = batch.select(F.sha2(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in "nsx"]), 256)).first()[0][:32]
+    placed = runs.withColumns({"owner_bucket": _bucket(F.col("user_id")), "batch": F.lit(name)})
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, owner: int | None = None) -> DataFrame:
+    """The history, or one owner's part of it; for an owner only the files of their bucket are read."""
+    runs = spark.read.schema(f"{RUN_SCHEMA}, owner_bucket int, batch string").parquet(path)
+    if owner is not None:
+        bucket = spark.range(1).select(_bucket(F.lit(owner))).first()[0]
+        runs = runs.where((F.col("owner_bucket") == bucket) & (F.col("user_id") == owner))
+    return runs.drop(*PARTS)
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUN_SCHEMA).parquet(path)
+def compact_runs(spark: SparkSession, path: str, target: str) -> None:
+    """Write the history to ``target`` with one batch per bucket, each run once."""
+    runs = read_runs(spark, path).dropDuplicates(["id"])
+    placed = runs.withColumns({"owner_bucket": _bucket(F.col("user_id")), "batch": F.lit("compacted")})
+    placed.repartition("owner_bucket", F.pmod(F.xxhash64("id"), F.lit(8))).write.mode("overwrite").partitionBy(*PARTS).parquet(target)
 
 
 def history(runs: DataFrame, owner: int | None = None, k: int = 15) -> DataFrame:
