@@ -46,6 +46,7 @@ GOOD, BLANK, DUPLICATE, TRUNCATED = range(4)
 SEGMENT_BITS = 8
 SEGMENT = 1 << SEGMENT_BITS
 MOST_ROWS, MOST_CHARS = 4096, 16 << 20
+MOST_BROADCAST = 32 << 20  # characters of the ids of cut conversations
 INFINITE = 1 << 60
 
 # States: nothing yet, after the system's, the user's and the assistant's message.
@@ -501,8 +502,14 @@ def repair(messages: DataFrame, with_messages: bool = False) -> Repair:
     local = stage(_local(rows, with_messages), "local-repairs")
     # at most two edges per task, and conversations beyond a fixed size
     key = [F.col("conv_id").isNull().alias("_null"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")).alias("_key")]
-    rest = local.where(~F.col("whole")).select(*key).distinct()
-    cut = salted_join(rows.select("*", *key), rest, ["_null", "_key"], ["rid"], "left_semi").withColumn("own", _fault(F.col("text")))
+    rest = stage(local.where(~F.col("whole")).select(*key).distinct(), "cut-ids")
+    size = rest.agg(F.sum(F.length("_key") + 16)).first()[0] or 0
+    keyed = rows.select("*", *key)
+    if size <= MOST_BROADCAST:
+        cut = keyed.join(F.broadcast(rest), ["_null", "_key"], "left_semi")
+    else:
+        cut = salted_join(keyed, rest, ["_null", "_key"], ["rid"], "left_semi")
+    cut = cut.withColumn("own", _fault(F.col("text")))
     firsts = cut.groupBy("conv_id", "digest").agg(F.min("rid").alias("rid")).select("rid", F.lit(True).alias("first"))
     # every message joins by its own place, so a message that recurs is not a hot key
     faults = cut.join(firsts, "rid", "left").withColumn("fault", F.when((F.col("own") != BLANK) & F.col("first").isNull(), DUPLICATE).otherwise(F.col("own")))

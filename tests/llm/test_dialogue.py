@@ -40,13 +40,14 @@ def test_query(spark):
     assert len(got) == len({r[0] for r in rows})
 
 
-@pytest.mark.parametrize("most_rows", [4096, 3])
-def test_unusual_rows(spark, monkeypatch, most_rows):
+@pytest.mark.parametrize("most_rows, most_broadcast", [(4096, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_unusual_rows(spark, monkeypatch, most_rows, most_broadcast):
     rows = [*rows_of(1, 60, 9), (None, 1, "user", "Hi."), (None, 2, "assistant", "There"), (70, None, None, None)]
     rows += [rows[0]] * 3
     # conversations of which no message is left, or only blank ones
     rows += [(c, 0, "user", "Hello.") for c in range(100, 160)]
     monkeypatch.setattr(dialogue, "MOST_ROWS", most_rows)
+    monkeypatch.setattr(dialogue, "MOST_BROADCAST", most_broadcast)
     df = frame(spark, rows)
     assert audited(dialogue.audit(dialogue.damage(df), df)) == brute.audits(rows)
 
