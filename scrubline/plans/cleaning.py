@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -81,8 +82,8 @@ class Report:
         self.log.append(("step", text))
 
     def as_dict(self) -> dict:
-        """Plain values, ready for JSON."""
-        out = asdict(self)
+        """Plain values, ready for JSON; decimals as texts, which keep their digits."""
+        out = asdict(self, dict_factory=lambda items: {k: str(v) if isinstance(v, Decimal) else v for k, v in items})
         out["log"] = [{"type": kind, "text": text} for kind, text in self.log]
         out["steps"] = self.steps
         return out

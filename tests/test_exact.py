@@ -1,5 +1,6 @@
 """Decimals keep every digit in quantiles, fills and fences."""
 
+import json
 import random
 from decimal import Decimal, getcontext
 
@@ -70,6 +71,14 @@ def test_bounds_beyond_the_type(spark):
     assert outliers.cap(df, fences).count() == len(values)
 
 
+def test_report_of_decimals_is_json(spark):
+    values = [f"{10**17 + k}.25" for k in range(60)] + ["5.00", None]
+    report = clean(decimals(spark, values, "decimal(22,2)").withColumnRenamed("x", "amount"), ["i"]).report
+    told = json.loads(json.dumps(report.as_dict()))
+    assert Decimal(told["fills"][0]["value"]) == report.fills[0].value
+    assert Decimal(told["fences"][0]["lower"]) == report.fences[0].lower
+
+
 def test_amounts_stay_apart(spark):
     """Forty amounts beyond the whole numbers of a double are forty amounts after cleaning."""
     values = [f"{9007199254740993 + k}.{k:02d}" for k in range(40)]
