@@ -468,7 +468,7 @@ def normality_jb(spark, sf):
 @query
 def shapiro_sample(spark, sf):
     found = normality.shapiro_sample(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"])
-    return rounded(found.drop("p"), 6, "w")
+    return rounded(rounded(found, 6, "w"), 4, "p")
 
 
 @query

@@ -56,6 +56,18 @@ select o_orderkey, cast(case when o_orderkey % 97 = 1 then null when o_orderkey
     else concat(cast(90071992547400000 + (o_orderkey * 7919) % 5000 as varchar(20)), '.', substring(cast(100 + o_orderkey % 89 as varchar(3)), 2, 2))
   end as decimal(22,2)) as amount
 from {orders}""",
+    # contacts with mail and fax, exact copies, repeats of the id, values far off and a dominant state
+    "contacts": """
+select c_custkey as client_id, c_name as full_name,
+  case when c_custkey % 7 = 0 then null else concat('c', cast(c_custkey as varchar(20)), '@mail.org') end as write_to,
+  case when c_custkey % 11 = 0 then null else concat('+49 30 ', cast(1000000 + c_custkey as varchar(20))) end as fax,
+  case when c_custkey % 10 < 6 then 'open' when c_custkey % 10 < 8 then 'held' when c_custkey % 10 < 9 then 'shut' end as state,
+  cast(case when c_custkey % 9 = 0 then null when c_custkey % 50 = 1 then 900 else 20 + c_custkey % 40 end as double) as level,
+  cast(20 + c_custkey % 40 + (c_custkey * 7919) % 61 + extra as double) as paid,
+  cast(2 * (20 + c_custkey % 40) + (c_custkey * 31) % 23 as double) as owed
+from (select c_custkey, c_name, 0 as extra from {customer}
+      union all select c_custkey, c_name, 0 from {customer} where c_custkey % 20 = 0
+      union all select c_custkey, c_name, 1 from {customer} where c_custkey % 30 = 0) a""",
     # one analysis run per event
     "event_runs": """
 select event_id as id, user_id, concat(event_type, '.csv') as filename,
@@ -68,7 +80,7 @@ from {events}""",
 SOURCE = {
     "dirty_orders": "orders", "dirty_lineitem": "lineitem", "dirty_events": "events",
     "dup_orders": "orders", "mixed_dates": "orders", "event_runs": "events", "long_ids": "orders",
-    "exact_money": "orders",
+    "exact_money": "orders", "contacts": "customer",
 }
 
 

@@ -62,8 +62,8 @@ _WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.071190, 4.434685, -2.706056)
 _WEIGHT_NEXT = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
 _SMALL_MEAN = (0.5440, -0.39978, 0.025054, -6.714e-4)
 _SMALL_LOG_STD = (1.3822, -0.77857, 0.062767, -0.0020322)
-_LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
-_LARGE_LOG_STD = (-0.4803, -0.082676, 0.0030302)
+LARGE_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+LARGE_LOG_STD = (-0.4803, -0.082676, 0.0030302)
 _SMALL_SHIFT = (-2.273, 0.459)
 
 
@@ -110,7 +110,7 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
             return w, 0.0
         y, mean, std = -np.log(limit - y), _poly(_SMALL_MEAN, n), np.exp(_poly(_SMALL_LOG_STD, n))
     else:
-        mean, std = _poly(_LARGE_MEAN, np.log(n)), np.exp(_poly(_LARGE_LOG_STD, np.log(n)))
+        mean, std = _poly(LARGE_MEAN, np.log(n)), np.exp(_poly(LARGE_LOG_STD, np.log(n)))
     return w, 1 - NormalDist(mean, float(std)).cdf(float(y))
 
 

@@ -70,14 +70,14 @@ def comparison(cleaned: Cleaned) -> DataFrame:
     """Rows, missing values, duplicates and score, before and after."""
     r = cleaned.report
     pairs = (
-        ("Total Rows", r.rows_before, r.rows_after),
-        ("Missing Values", sum(r.nulls_before.values()), sum(r.nulls_after.values())),
-        ("Duplicate Rows", r.duplicates_before, r.duplicates_after),
-        ("Quality Score", r.quality_before, r.quality_after),
+        ("rows", r.rows_before, r.rows_after),
+        ("missing", sum(r.nulls_before.values()), sum(r.nulls_after.values())),
+        ("duplicates", r.duplicates_before, r.duplicates_after),
+        ("score", r.quality_before, r.quality_after),
     )
     rows = [(i, name, float(a), float(b)) for i, (name, a, b) in enumerate(pairs)]
     table = small_frame(cleaned.table, rows, "ord int, metric string, before double, after double")
-    gain = F.when(F.col("metric") == "Quality Score", F.col("after") - F.col("before")).otherwise(
+    gain = F.when(F.col("metric") == "score", F.col("after") - F.col("before")).otherwise(
         F.col("before") - F.col("after")
     )
     return table.withColumn("improvement", round_even(gain, 1))
@@ -118,6 +118,18 @@ def methods(df: DataFrame) -> DataFrame:
     return small_frame(df, [(i, *m) for i, m in enumerate(METHODS)], "ord int, pass string, description string")
 
 
+def methods_applied(cleaned: Cleaned) -> DataFrame:
+    """Each pass with its description and what it touched: columns, cells or rows, or points gained."""
+    r = cleaned.report
+    touched = (
+        (len(r.renames), "columns"), (sum(f.count for f in r.fills), "cells"), (r.exact_removed + r.key_removed, "rows"),
+        (len(r.texts), "columns"), (len(r.dates_parsed), "columns"), (sum(f.outside for f in r.fences), "cells"),
+        (round(r.quality_after - r.quality_before, 1), "points"),
+    )
+    rows = [(i, *m, float(n), unit) for i, (m, (n, unit)) in enumerate(zip(METHODS, touched))]
+    return small_frame(cleaned.table, rows, "ord int, pass string, description string, touched double, unit string")
+
+
 def legacy_stats(df: DataFrame, first: int = 10) -> DataFrame:
     """The older variant's statistics table: no skew, ten columns."""
     return numeric_stats(df, numeric_columns(df)[:first]).drop("skew", "n")

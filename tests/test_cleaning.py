@@ -264,7 +264,7 @@ def test_report_tables(cleaned):
     assert [r["field"] for r in table] == c.table.columns
     assert table[0]["unique"] == 120 and table[0]["role"] == "id" and table[1]["sample"] == "Buyer 0"
     rows = {r["metric"]: r for r in report.comparison(c).collect()}
-    assert rows["Total Rows"]["improvement"] == 2 and rows["Missing Values"]["after"] == 0
+    assert rows["rows"]["improvement"] == 2 and rows["missing"]["after"] == 0
     assert report.fill_detail(c).count() == 4 and report.rename_log(c).count() == 8
     assert report.methods(c.table).count() == 7 and report.actions(c).count() <= 8
     assert report.key_facts(c.table).first()["completeness_pct"] == 100.0
