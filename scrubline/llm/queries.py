@@ -148,6 +148,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ORACLES["op10_warc"] = """
+with p as (select page_id, coalesce(html, '') as body, sha1(coalesce(html, '')) as hex,
+    translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low from pages),
+q as (select *, max(page_id) over (partition by hex) as head, regexp_extract(low, '^[^:/?#]*://(.*)$', 1) as rest from p),
+u as (select *, regexp_replace(regexp_extract(rest, '^([^/?#]*)', 1), '^www[0-9]*[.]', '') as host,
+    regexp_extract(rest, '^[^/?#]*([^#]*)', 1) as tail from q)
+select page_id, strlen(body) as payload_bytes,
+  list_aggregate(list_transform([1, 11, 21, 31], lambda g: list_aggregate(list_transform([35, 30, 25, 20, 15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, g, 10))::bigint >> b) & 31)::int + 1, 1)), 'string_agg', '')), 'string_agg', '') as payload_digest,
+  case when page_id <> head then 'revisit' else 'response' end as record_type, case when page_id <> head then head end as refers_to,
+  case when rest = '' then low else array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || tail end as url_key,
+  strftime(timestamp '2024-01-01' + to_seconds(page_id::bigint % 1073741824), '%Y-%m-%dT%H:%M:%SZ') as captured
+from u"""
+
+
 @query
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and notices in every document."""

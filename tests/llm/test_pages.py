@@ -5,7 +5,9 @@ import hashlib
 import random
 import re
 from collections import Counter
+from urllib.parse import unquote, urlparse
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -105,7 +107,7 @@ def test_warc_round_trip(spark):
     data, table = pages(spark)
     for least in (0, 10):
         path = new_path(spark, "warc")
-        warc.write(table, path, least_bytes=least, records=17)
+        warc.write(table, path, least_bytes=least, most_bytes=2000)
         got = warc.history(spark, path).collect()
         have = Counter((None if r.page_id is None else int(r.page_id), r.bytes, r.digest, r.record_type, None if r.refers_to is None else int(r.refers_to)) for r in got)
         assert have == brute_records(data, least)
@@ -114,13 +116,62 @@ def test_warc_round_trip(spark):
 def test_history_is_in_one_order(spark):
     _, table = pages(spark)
     path = new_path(spark, "warc")
-    warc.write(table, path, records=9)
-    out = warc.history(spark, path).withColumn("part", F.spark_partition_id())
+    warc.write(table, path, most_bytes=900)
+    out = warc.history(spark, path, range_rows=30).withColumn("part", F.spark_partition_id())
     rows = out.select("part", "url_key", "captured", "page").collect()
     keys = [(r.url_key, r.captured, -1 if r.page is None else r.page) for r in rows]
     assert keys == sorted(keys) and len({r.part for r in rows}) > 1
 
 
+def test_records_are_fetched_by_their_place(spark):
+    data, table = pages(spark)
+    path = new_path(spark, "warc")
+    warc.write(table, path, most_bytes=2000)
+    rows = warc.history(spark, path).collect()
+    assert len({r.archive for r in rows}) > 4  # archives are cut by bytes
+    for r in rows:
+        with open(unquote(urlparse(r.archive).path), "rb") as f:
+            f.seek(r.offset)
+            ((_, _, fields, block),) = warc.parse(f.read(r.length))
+        assert fields["warc-record-id"] == f"<urn:x-page:{r.page_id or ''}>"
+        if r.record_type == "response":
+            assert len(block.partition(b"\r\n\r\n")[2]) == r.bytes
+
+
+def test_text_ids(spark):
+    rows = [("p-17", "http://a.org/", "same"), ("p-2", "http://a.org/", "same"), ("x", None, None)]
+    path = new_path(spark, "warc")
+    warc.write(spark.createDataFrame(rows, "page_id string, url string, html string"), path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.captured) for r in warc.history(spark, path).collect()}
+    first = "2024-01-01T00:00:00Z"
+    assert got == {"p-17": ("revisit", "p-2", first), "p-2": ("response", None, first), "x": ("response", None, first)}
+
+
+def test_record_of_many_members(spark):
+    import os
+
+    record = b"WARC/1.1\r\nContent-Length: 40000000\r\n\r\n" + os.urandom(1000) * 40000 + b"\r\n\r\n"
+    small = b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx\r\n\r\n"
+    members = [x for r in (small, record, small) for x in warc.packed(r)]
+    assert len(members) == 5 and all(x.endswith(b"\0") for x in members)
+    content = b"".join(members)
+    found = list(warc.parse(content))
+    assert [len(block) for *_, block in found] == [1, 40_000_000, 1]
+    at, size = found[1][:2]
+    assert len(list(warc.parse(content[at : at + size]))) == 1
+    with pytest.raises(ValueError):
+        list(warc.parse(content[: at + 100]))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 20)), max_size=9))
+def test_runs_show_by_their_descents(slices):
+    keys = [x for s in slices for x in sorted(s)]
+    found = warc.in_order(keys)
+    assert [i for r in found for i in r] == list(range(len(keys))) and len(found) <= len(slices)
+    assert [keys[i] for i in warc.loser_tree(found, keys.__getitem__)] == sorted(keys)
+
+
 def test_empty_archives(spark):
     _, table = pages(spark)
     path = new_path(spark, "warc")
