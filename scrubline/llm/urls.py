@@ -1,25 +1,26 @@
 """URL filter: rules first, gradient-boosted trees on lexical features for the rest.
 
 Features are lengths, depth, share of digits, entropy of the characters,
-number of parameters, and smoothed block rates of the host's suffixes among the
+number of parameters, and smoothed block rates of the host's suffixes among all
 labelled URLs. The trees learn from at most ``max_train`` labelled URLs, chosen
-by digest; scoring uses DataFrame functions only.
+by digest; their rates come from the labels of the other folds, so that no URL's own
+label is in its features. Scoring uses DataFrame functions only.
 
 Results for unusual rows: a null URL, or one without ``://``, has an empty host
 and path and is judged by the trees. Repeated rows are judged alike. Without
 labelled URLs of both kinds the trees give the more frequent verdict, allow if
-there is none. Extra columns are kept. An empty table gives an empty result.
+there is none. A URL labelled more than once counts once per label. Very long URLs
+are read whole. Extra columns are kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import ascii_lower
+from scrubline.llm.common import ascii_lower, salted_join
 from scrubline.staging import stage
 
 # (verdict, host, path)
@@ -30,6 +31,10 @@ FEATURES = [
 ]
 
 
+SUFFIXES = {"rate_1": 1, "rate_2": 2, "rate_all": 0}
+FOLDS = 5  # of labelled URLs, by digest
+
+
 def parts(urls: DataFrame) -> DataFrame:
     """``row, url, host, path``."""
     after = F.regexp_extract("url", "(?s)^.*?://(.*)$", 1)
@@ -71,6 +76,19 @@ def lexical(df: DataFrame) -> DataFrame:
     })
 
 
+def _fold() -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(FOLDS)).cast("int")
+
+
+def _spread(df: DataFrame) -> list[str]:
+    """What tells rows of one URL apart: the hashable columns of ``row``, if there is one, beside the URL."""
+    fields = df.schema["row"].dataType.fields if "row" in df.columns else []
+    names = [f.name.lower() for f in fields]
+    kinds = {f.name: f.dataType.simpleString() for f in fields if names.count(f.name.lower()) == 1}
+    quote = lambda n: n.replace("`", "``")
+    return ["url", *[f"row.`{quote(n)}`" for n, kind in kinds.items() if "map<" not in kind and "variant" not in kind]]
+
+
 class UrlModel:
     """Block rates of suffixes and boosted trees, fitted on labelled URLs.
 
@@ -79,24 +97,42 @@ class UrlModel:
 
     def __init__(self, labelled: DataFrame, max_train: int = 20_000, smoothing: float = 5.0, trees: int = 10, depth: int = 3, seed: int = 7):
         order = F.xxhash64("url")
-        self.sample = stage(labelled.select("url", "host", "path", "label").distinct().orderBy(order, "url", "label").limit(max_train), "labelled")
-        n, blocked = self.sample.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-        self.prior = (blocked + 0.5) / (n + 1) if n else 0.0
-        self.rates = {}
-        for name, k in (("rate_1", 1), ("rate_2", 2), ("rate_all", 0)):
-            rate = (F.sum("label") + smoothing * self.prior) / (F.count("*") + smoothing)
-            self.rates[name] = stage(self.sample.groupBy(_suffix(k).alias(f"_{name}")).agg(rate.alias(name)), name)
+        every = stage(labelled.select("url", "host", "path", "label").distinct(), "labelled")
+        self.sample = stage(every.orderBy(order, "url", "label").limit(max_train), "sampled")
+        n, blocked = every.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+        self.prior, self.smoothing = (blocked + 0.5) / (n + 1) if n else 0.0, smoothing
+        in_fold = [_fold() == i for i in range(FOLDS)]
+        self.rates = {
+            name: stage(
+                every.groupBy(_suffix(k).alias(f"_{name}")).agg(
+                    F.array(*[F.count_if(x & (F.col("label") == 1)) for x in in_fold]).alias(f"{name}_blocked"),
+                    F.array(*[F.count_if(x) for x in in_fold]).alias(f"{name}_seen"),
+                ),
+                name,
+            )
+            for name, k in SUFFIXES.items()
+        }
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
         self.model = None
-        if 0 < blocked < n:
+        kinds = self.sample.agg(F.count_distinct("label")).first()[0]
+        if kinds == 2:
             trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=trees, maxDepth=depth, maxBins=32, seed=seed, checkpointInterval=-1)
-            self.model = trees.fit(self.assembler.transform(self.features(self.sample)).select("features", F.col("label").cast("double").alias("label")))
-
-    def features(self, df: DataFrame) -> DataFrame:
-        out = lexical(df)
-        for (name, rate), k in zip(self.rates.items(), (1, 2, 0)):
-            # at most max_train suffixes were seen
-            out = out.withColumn(f"_{name}", _suffix(k)).join(F.broadcast(rate), f"_{name}", "left").withColumn(name, F.coalesce(name, F.lit(self.prior)))
+            self.model = trees.fit(self.assembler.transform(self.features(self.sample, fitting=True)).select("features", F.col("label").cast("double").alias("label")))
+
+    def features(self, df: DataFrame, fitting: bool = False) -> DataFrame:
+        """``df`` with all features; ``fitting`` leaves the labels of a row's own fold out of its rates."""
+        hosts = df.select("host").distinct()  # suffixes are looked up once per host
+        for name, rate in self.rates.items():
+            hosts = salted_join(hosts.withColumn(f"_{name}", _suffix(SUFFIXES[name])), rate, [f"_{name}"], ["host"], "left").drop(f"_{name}")
+        out = salted_join(lexical(df), hosts, ["host"], _spread(df), "left")
+
+        def labels(counts: str) -> Column:
+            total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+            own = F.get(counts, _fold()) if fitting else F.lit(0)
+            return F.coalesce(total - own, F.lit(0))
+
+        rate = lambda name: (labels(f"{name}_blocked") + self.smoothing * self.prior) / (labels(f"{name}_seen") + self.smoothing)
+        out = out.withColumns({name: rate(name) for name in SUFFIXES})
         return out.withColumns({c: F.col(c).cast("double") for c in FEATURES})
 
     def judge(self, df: DataFrame) -> DataFrame:

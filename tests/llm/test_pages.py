@@ -69,6 +69,28 @@ def test_url_trees_on_held_out_urls(spark):
     assert right > 0.95
 
 
+def test_suffix_rates_count_all_labels_but_a_rows_own_fold(spark):
+    rows = [(f"http://h{i % 3}.{'biz' if i % 2 else 'org'}/{i}", i % 2) for i in range(300)] + [("http://alone.info/", 1)]
+    ready = urls.parts(spark.createDataFrame(rows, "url string, label int")).select("url", "host", "path", "row.label")
+    model = urls.UrlModel(ready, max_train=40)
+    assert model.sample.count() == 40
+    seen = model.rates["rate_1"].select(F.sum(F.expr("aggregate(rate_1_seen, 0L, (a, x) -> a + x)"))).first()[0]
+    assert seen == 301
+    rates = {r.url: (r.rate_1, r.rate_all) for r in model.features(ready).collect()}
+    fitting = {r.url: (r.rate_1, r.rate_all) for r in model.features(ready, fitting=True).collect()}
+    prior = 151.5 / 302
+    assert rates["http://h1.biz/1"][0] == pytest.approx((150 + 5 * prior) / 155)
+    assert rates["http://alone.info/"] == pytest.approx(((1 + 5 * prior) / 6,) * 2)
+    assert fitting["http://alone.info/"] == pytest.approx((prior,) * 2)
+    assert 0.5 < fitting["http://h1.biz/1"][0] < rates["http://h1.biz/1"][0]
+
+
+def test_url_rows_with_odd_columns(spark):
+    table = page_table(spark, ["http://a.info/", None, "http://a.net/"]).selectExpr("*", "map('a', 1) as m", "1 as `a``b.c`", "2 as Host2")
+    out = urls.judge(table).select("row.*", "verdict")
+    assert out.count() == 3 and out.columns == [*table.columns, "verdict"]
+
+
 def test_url_tables_without_labels(spark):
     assert urls.judge(page_table(spark, ["http://a.info/"])).select("verdict").first()[0] == "allow"
     assert urls.judge(page_table(spark, ["http://a.info/", "http://a.net/"]).limit(0)).count() == 0
