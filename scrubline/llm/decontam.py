@@ -5,22 +5,27 @@ is one pattern. Patterns of one length share a table of shifts: for the last
 two words read, how far the window may move without missing a pattern. Where
 the shift is zero, the patterns that end in these two words are compared word
 by word. The items are a stated query set; they are split into blocks of bounded
-size, and each block's tables are sent to every task.
+size, and each block's tables are sent to every task, one block at a time.
 
 Results for unusual rows: a null text has no words and is never hit; an item
 without words has no pattern; a null ``item_id`` is written as the empty text;
-repeated items count once per id. Extra columns are kept by :func:`clean`.
+repeated items count once per id; empty tables give no hits; a text of any length is
+searched whole, in time linear in it but for compared windows. Extra columns are
+kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import in_groups, utf8
+from scrubline.llm.common import in_groups, salted_join, utf8
+from scrubline.staging import stage
 
 BLOCK_BYTES = 16 << 20
 # letters and digits: ASCII ones and every byte of other characters; the rest separates words
@@ -90,38 +95,59 @@ def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 HITS = "struct<n_words:bigint,spans:array<struct<start:bigint,stop:bigint>>,items:array<string>>"
 
 
+def searched(docs: DataFrame, items: list[tuple[str, bytes]], width: int) -> tuple[DataFrame, Broadcast]:
+    """``docs`` with ``text`` searched and taken off, and what it finds added to ``hits``; the tables that were sent."""
+    shared = docs.sparkSession.sparkContext.broadcast({"items": items})
+    schema = docs.drop("text").schema
+    kept, at = schema.names, docs.columns.index("hits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = shared.value
+        if "tables" not in tables:  # kept in the worker from task to task
+            tables["tables"] = searchers(tables["items"], width)
+        for batch in in_groups(batches):
+            found = []
+            for text, before in zip(utf8(batch.column("text")), batch.column("hits").to_pylist()):
+                words = split_words(text)
+                spans = [(s["start"], s["stop"]) for s in before["spans"]] if before else []
+                names = set(before["items"]) if before else set()
+                for s in tables["tables"]:
+                    for place, those in s.find(words):
+                        spans.append((place, place + s.length))
+                        names |= those
+                found.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in covered(spans)], "items": sorted(names)})
+            batch = batch.set_column(at, batch.schema.field(at), pa.array(found, batch.schema.field(at).type))
+            yield batch.select(kept)
+
+    return docs.mapInArrow(run, schema), shared
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, carry: list[str], width: int = 13, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``row, hits``: the columns ``carry`` of each document; its number of words, spans of hit words, and the items found."""
-    spark = docs.sparkSession
+    """``row, hits``: the columns ``carry`` of each document; its number of words, spans of hit words, and the items found.
+
+    A benchmark of one block is searched in the pass that returns the rows. Of further
+    blocks each has a pass of its own, which writes what it found by digest of the
+    text and frees the block's tables before the next one is sent.
+    """
     bench = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    found = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), F.lit(None).cast(HITS).alias("hits"), "text")
-    for block in range(blocks):
-        mine = bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast({"items": [(r.item, r.text.encode()) for r in mine.collect()]})
-        last = block == blocks - 1
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            tables = shared.value
-            if "tables" not in tables:  # kept in the worker from task to task
-                tables["tables"] = searchers(tables["items"], width)
-            for batch in in_groups(batches):
-                out = []
-                for text, before in zip(utf8(batch.column("text")), batch.column("hits").to_pylist()):
-                    words = split_words(text)
-                    spans = [(s["start"], s["stop"]) for s in before["spans"]] if before else []
-                    items = set(before["items"]) if before else set()
-                    for s in tables["tables"]:
-                        for at, names in s.find(words):
-                            spans.append((at, at + s.length))
-                            items |= names
-                    out.append({"n_words": len(words), "spans": [{"start": a, "stop": b} for a, b in covered(spans)], "items": sorted(items)})
-                batch = batch.set_column(1, batch.schema.field(1), pa.array(out, batch.schema.field(1).type))
-                yield batch.select(["row", "hits"]) if last else batch
-
-        found = found.mapInArrow(run, found.select("row", "hits").schema if last else found.schema)
-    return found
+    none = F.lit(None).cast(HITS).alias("hits")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), none, "text")
+    if blocks > 1:
+        bench = stage(bench.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks))).repartitionByRange("block"), "blocks")
+        mine = lambda block: [(r.item, r.text.encode()) for r in bench.where(F.col("block") == block).collect()]
+        keys = [F.xxhash64(F.lit(k), "text").alias(f"k{k}") for k in (1, 2)]
+        texts, parts = docs.select(*keys, none, "text"), []
+        for block in range(blocks - 1):
+            found, shared = searched(texts, mine(block), width)
+            parts.append(stage(found.where(F.size("hits.items") > 0), f"block-{block}"))
+            shared.destroy()
+        every = lambda field: F.flatten(F.collect_set(f"hits.{field}")).alias(field)
+        seen = reduce(DataFrame.union, parts).groupBy("k1", "k2").agg(every("spans"), every("items"))
+        before = seen.select("k1", "k2", F.struct(F.lit(0).cast("long").alias("n_words"), "spans", "items").cast(HITS).alias("hits"))
+        rows = salted_join(rows.drop("hits").withColumns({f"k{i + 1}": k for i, k in enumerate(keys)}), before, ["k1", "k2"], ["row"], "left").select("row", "hits", "text")
+    return searched(rows, mine(blocks - 1) if blocks > 1 else [(r.item, r.text.encode()) for r in bench.collect()], width)[0]
 
 
 def report(docs: DataFrame, benchmark: DataFrame, carry: list[str], width: int = 13, parts: int = 20) -> DataFrame:
