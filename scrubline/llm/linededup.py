@@ -4,12 +4,15 @@ A HyperLogLog sketch of the sites of each line, merged by aggregation,
 estimates how many distinct sites carry it. Lines whose estimate lies near the
 threshold are counted exactly; lines far below it stay and lines far above it
 are boilerplate. The first occurrence of a boilerplate line stays, by smallest
-document id, then digest of id and text, then place; all others go.
+document id, then digest of id and text, then place; all others go. Long lines are
+passages rather than navigation, and are boilerplate on fewer sites already.
+Lines that occur fewer times than they would need sites are never sent further.
 
 Results for unusual rows: a line without a word is never boilerplate; a null
 text has no lines and stays null; a null site is a site of its own; a null
-``doc_id`` comes last; rows with equal id and text are treated alike. Extra
-columns are kept.
+``doc_id`` comes last; rows with equal id and text are treated alike; an
+empty table gives an empty table; texts of any length are read whole, one line at a
+time. Extra columns are kept.
 """
 
 from __future__ import annotations
@@ -23,38 +26,52 @@ from scrubline.staging import stage
 WORD = "[^ \\t-\\r]"
 
 
-def line_rows(rows: DataFrame, site: str) -> DataFrame:
-    """``k1, k2, doc_id, site, place, h1, h2``: one row per line with a word; lines go as digests, not as texts."""
+LONG_WORDS = 50  # a line of more words is long
+LONG_SITES = 2  # sites on which a long line is boilerplate
+
+
+def line_rows(rows: DataFrame, site: str, long_words: int = LONG_WORDS) -> DataFrame:
+    """``k1, k2, doc_id, site, place, h1, h2, long``: one row per line with a word; lines go as digests, not as texts."""
+    long = lambda line: (F.length(line) > 2 * long_words) & (F.regexp_count(line, F.lit(WORD + "+")) > long_words)
     lines = F.transform(
         F.split("row.text", "\n"),
-        lambda line, i: F.when(line.rlike(WORD), F.struct(i.alias("place"), F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"))),
+        lambda line, i: F.when(
+            line.rlike(WORD),
+            F.struct(i.alias("place"), F.xxhash64(F.lit(1), line).alias("h1"), F.xxhash64(F.lit(2), line).alias("h2"), long(line).alias("long")),
+        ),
     )
     flat = rows.select("k1", "k2", F.col("row.doc_id").alias("doc_id"), F.col(f"row.{site}").cast("string").alias("site"), F.explode(lines).alias("line"))
     return flat.where(F.col("line").isNotNull()).select("k1", "k2", "doc_id", F.coalesce("site", F.lit("\0")).alias("site"), "line.*")
 
 
-def spread_lines(lines: DataFrame, min_sites: int, log_k: int, sigmas: float) -> DataFrame:
-    """``h1, h2``: lines on ``min_sites`` or more distinct sites."""
-    margin = max(1.0, sigmas * 1.04 / 2 ** (log_k / 2) * min_sites)
-    sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", log_k).alias("sketch"))
-    about = stage(
-        sketches.select("h1", "h2", F.hll_sketch_estimate("sketch").alias("sites")).where(F.col("sites") >= min_sites - margin), "sites"
-    )
-    near = about.where(F.col("sites") <= min_sites + margin).select("h1", "h2")
-    pairs = salted_join(lines.select("h1", "h2", "site", "k1"), near, ["h1", "h2"], ["k1"]).select("h1", "h2", "site").distinct()
-    exact = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites).select("h1", "h2")
-    return exact.union(about.where(F.col("sites") > min_sites + margin).select("h1", "h2"))
-
-
-def remove(docs: DataFrame, site: str = "source", min_sites: int = 5, log_k: int = 12, sigmas: float = 4.0) -> DataFrame:
+def spread_lines(lines: DataFrame, min_sites: int, log_k: int, sigmas: float, long_sites: int = LONG_SITES) -> DataFrame:
+    """``h1, h2``: lines on ``min_sites`` or more distinct sites, long ones on ``long_sites`` or more."""
+    margin = lambda sites: max(1.0, sigmas * 1.04 / 2 ** (log_k / 2) * sites)
+    by_length = lambda f: F.when(F.col("long"), F.lit(f(long_sites))).otherwise(F.lit(f(min_sites)))
+    sketches = lines.groupBy("h1", "h2", "long").agg(F.hll_sketch_agg("site", log_k).alias("sketch"), F.count("*").alias("seen"))
+    least = by_length(lambda sites: sites)
+    often = sketches.where(F.col("seen") >= least).select("h1", "h2", "long", F.hll_sketch_estimate("sketch").alias("sites"))
+    about = stage(often.where(F.col("sites") >= by_length(lambda sites: sites - margin(sites))), "sites")
+    far = F.col("sites") > by_length(lambda sites: sites + margin(sites))
+    near = about.where(~far).select("h1", "h2")
+    pairs = salted_join(lines.select("h1", "h2", "long", "site", "k1"), near, ["h1", "h2"], ["k1"]).select("h1", "h2", "long", "site").distinct()
+    exact = pairs.groupBy("h1", "h2", "long").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h1", "h2")
+    return exact.union(about.where(far).select("h1", "h2"))
+
+
+def remove(
+    docs: DataFrame, site: str = "source", min_sites: int = 5, log_k: int = 12, sigmas: float = 4.0,
+    long_words: int = LONG_WORDS, long_sites: int = LONG_SITES,
+) -> DataFrame:
     """``row, n_lines, n_removed, text``: every document with its text after removal.
 
-    ``n_lines`` counts lines, ``n_removed`` those that went; line breaks
+    A line goes if it stands on ``min_sites`` sites, one of more than ``long_words`` words
+    on ``long_sites`` sites. ``n_lines`` counts lines, ``n_removed`` those that went; line breaks
     between the lines that stay are kept.
     """
     rows = keyed(docs, docs["doc_id"], docs["text"])
-    lines = stage(line_rows(rows, site), "lines")
-    spread = stage(spread_lines(lines, min_sites, log_k, sigmas), "spread")
+    lines = stage(line_rows(rows, site, long_words), "lines")
+    spread = stage(spread_lines(lines, min_sites, log_k, sigmas, long_sites), "spread")
     places = ["k1", "k2", "place"]
     found = stage(salted_join(lines, spread, ["h1", "h2"], ["k1", "place"]).select("h1", "h2", "doc_id", *places).distinct(), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *places)
@@ -73,12 +90,20 @@ def remove(docs: DataFrame, site: str = "source", min_sites: int = 5, log_k: int
     )
 
 
-def clean(docs: DataFrame, site: str = "source", min_sites: int = 5) -> DataFrame:
+def clean(docs: DataFrame, site: str = "source", min_sites: int = 5, long_words: int = LONG_WORDS, long_sites: int = LONG_SITES, emptied: str = "drop") -> DataFrame:
     """Documents with boilerplate lines removed; those that had words and have none left go.
 
-    ``n_chars`` is counted anew where the documents have it.
+    With ``emptied="keep"`` these stay as they were. ``n_chars`` is counted anew
+    where the documents have it.
     """
-    out = remove(docs, site, min_sites)
-    left = where_computed(out, (F.col("n_removed") == 0) | F.col("text").rlike(WORD))
-    new = {"text": F.col("text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None}
-    return left.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    out = remove(docs, site, min_sites, long_words=long_words, long_sites=long_sites)
+    whole = (F.col("n_removed") == 0) | F.col("text").rlike(WORD)
+    if emptied == "drop":
+        out, same = where_computed(out, whole), F.col("n_removed") == 0
+    else:
+        same = (F.col("n_removed") == 0) | ~whole
+    new = {
+        "text": F.when(same, F.col("row.text")).otherwise(F.col("text")),
+        "n_chars": F.when(same, F.col("row.n_chars")).otherwise(F.length("text").cast("long")) if "n_chars" in docs.columns else None,
+    }
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

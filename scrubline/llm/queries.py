@@ -64,7 +64,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines that stand on many sites, removed but for their first occurrence."""
+    """Lines on five sites or more, and those of over 50 words on two, removed but for their first occurrence."""
     out = linededup.remove(load(spark, sf_dir, "documents"))
     return out.select("row.doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
@@ -75,7 +75,9 @@ with lines as (
          unnest(range(len(string_split(text, chr(10))))) as place
   from documents where text is not null),
 worded as (select * from lines where regexp_matches(line, '[^ \\t-\\r]')),
-spread as (select line from worded group by line having count(distinct site) >= 5),
+spread as (
+  select line from worded group by line
+  having count(distinct site) >= case when len(regexp_extract_all(line, '[^ \\t-\\r]+')) > 50 then 2 else 5 end),
 ranked as (
   select doc_id, place, row_number() over (partition by line order by doc_id, place) as nth
   from worded where line in (select line from spread)),

@@ -129,7 +129,7 @@ def quality(docs, labels, buckets, smoothing, threshold):
 # ── lines ──
 
 
-def line_dedup(docs, min_sites):
+def line_dedup(docs, min_sites, long_words=50, long_sites=2):
     """New texts and numbers of removed lines of ``(doc_id, text, site)`` rows with distinct ids."""
     sites, first = defaultdict(set), {}
     for d, text, site in docs:
@@ -138,10 +138,11 @@ def line_dedup(docs, min_sites):
                 sites[line].add(site)
                 key = (d is None, d if d is not None else 0, place)
                 first[line] = min(first.get(line, key), key)
+    least = {line: long_sites if len(words(line)) > long_words else min_sites for line in sites}
     out = []
     for d, text, _ in docs:
         lines = text.split("\n") if text is not None else []
-        keep = [x for place, x in enumerate(lines) if len(sites[x]) < min_sites or first[x] == (d is None, d if d is not None else 0, place)]
+        keep = [x for place, x in enumerate(lines) if len(sites[x]) < least.get(x, 1) or first[x] == (d is None, d if d is not None else 0, place)]
         out.append((None if text is None else "\n".join(keep), len(lines), len(lines) - len(keep)))
     return out
 

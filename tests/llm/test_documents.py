@@ -105,6 +105,31 @@ def test_line_dedup_drops_emptied_documents(spark):
     assert sorted((r.doc_id, r.text, r.n_chars) for r in kept) == [(0, "the very same line", 18), (10, "own words", 9)] or sorted(r.doc_id for r in kept) == [0, 9, 10]
 
 
+def passage_rows():
+    """Passages of 51 words on one, two and four sites, one of them hot; one of 50 words on four."""
+    long = {k: " ".join(f"{k}{i}" for i in range(51)) for k in "abc"}
+    short = " ".join(f"d{i}" for i in range(50))
+    own = lambda i: f"own words of {i}"
+    data = [(i, f"{own(i)}\n{long['a']}", "hot") for i in range(300)]
+    data += [(1000 + i, f"{long['b']}\n{own(i)}", "hot" if i else "cold") for i in range(300)]
+    data += [(2000 + i, f"{long['c']}\n{own(i)}\n{short}", f"s{i % 4}") for i in range(40)]
+    return data + [(3000, long["b"], "cold"), (3001, None, None), (3002, "", None)]
+
+
+def test_long_lines_go_on_two_sites(spark):
+    data = passage_rows()
+    for log_k in (4, 12):
+        got = {r.row.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.remove(frame(spark, data), log_k=log_k).collect()}
+        assert got == dict(zip((d for d, _, _ in data), brute.line_dedup(data, 5)))
+    assert sum(x[2] for x in got.values()) == 299 + 39 + 1
+
+
+def test_documents_of_one_passage_can_stay(spark):
+    docs = frame(spark, passage_rows())
+    left = {how: {r.doc_id: r.text for r in linededup.clean(docs, emptied=how).collect()} for how in ("drop", "keep")}
+    assert set(left["keep"]) - set(left["drop"]) == {3000} and left["keep"][3000].startswith("b0 b1")
+
+
 # ── benchmark passages ──
 
 
@@ -128,6 +153,30 @@ def test_decontamination(spark, block):
     assert sum(w[3] for w in want) >= 2
 
 
+def test_benchmark_blocks_are_held_one_at_a_time(spark, monkeypatch):
+    """Twenty blocks: the tables of one are freed before those of the next are sent."""
+    items = [(i, prose(50 + i, 30)) for i in range(40)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    data = [(i, prose(900 + i, 40) + " " + items[i % 40][1] + " " + items[(i * 7) % 40][1], "s") for i in range(60)] + [(99, None, None)] * 2
+    held, most, sent = set(), [], decontam.searched
+
+    def counted(docs, mine, width):
+        out, shared = sent(docs, mine, width)
+        held.add(shared.id if hasattr(shared, "id") else id(shared))
+        most.append(len(held))
+        free = shared.destroy
+        shared.destroy = lambda: (held.clear(), free())
+        return out, shared
+
+    monkeypatch.setattr(decontam, "searched", counted)
+    size = sum(len(t.encode()) for _, t in items)
+    got = decontam.hits(frame(spark, data), table, ["doc_id"], block_bytes=-(-size // 20)).collect()
+    want = brute.decontamination([t for _, t, _ in data], items)
+    n_hit = lambda r: sum(s.stop - s.start for s in r.hits.spans)
+    assert Counter((r.row.doc_id, r.hits.n_words, n_hit(r), tuple(r.hits["items"])) for r in got) == Counter((d, w[0], w[1], tuple(w[2])) for (d, _, _), w in zip(data, want))
+    assert len(most) == 20 and max(most) == 1
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from("abc"), min_size=1, max_size=7), min_size=1, max_size=6), st.lists(st.sampled_from("abcd"), max_size=60))
 def test_search_finds_every_occurrence(items, words):

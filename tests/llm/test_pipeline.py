@@ -19,13 +19,15 @@ def test_stages(spark):
     items = [(r.item_id, r.text) for r in load(spark, SF, "benchmark").collect()]
     verdicts = brute.quality([r[:2] for r in rows], labels, quality.BUCKETS, 10.0, -0.1)
     rows = [r for i, r in enumerate(rows) if verdicts[i][2]]
-    cleaned = brute.line_dedup(rows, 5)
+    cleaned = brute.line_dedup(rows, 5, long_sites=5)
     rows = [(r[0], c[0], r[2]) for r, c in zip(rows, cleaned) if not c[2] or brute.words(c[0])]
     group = jaccard_groups([t for _, t, _ in rows])
     first = {}
     for g, (d, _, _) in zip(group, rows):
         first[g] = min(d, first.get(g, d))
     rows = [r for g, r in zip(group, rows) if first[g] == r[0]]
+    passages = brute.line_dedup(rows, 5)
+    rows = [(r[0], c[0] if brute.words(c[0] or "") else r[1], r[2]) for r, c in zip(rows, passages)]
     found = brute.decontamination([t for _, t, _ in rows], items)
     rows = [r for r, f in zip(rows, found) if not f[3]]
     want = Counter()
