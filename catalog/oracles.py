@@ -332,6 +332,16 @@ ORACLES["top_values"] = " union all ".join(
     for c in ("event_type", "props")
 )
 
+ORACLES["distinct_counts_wide"] = (
+    "select name as \"column\", n as n_distinct from (select count(distinct columns(*)) from lineitem) unpivot (n for name in (columns(*)))"
+)
+
+ORACLES["top_values_long_text"] = " union all ".join(
+    f"""select "column", md5(value) as value, n, rank from (select '{c}' as "column", {c} as value, count(*) as n,
+    cast(row_number() over (order by count(*) desc, {c}) as int) as rank from documents where {c} is not null group by {c}) where rank <= 5"""
+    for c in ("text", "source", "lang")
+)
+
 ORACLES["correlation_pairs"] = f"select ord, a, b, {r('r')} as r from ({pairs('lineitem', LINEITEM)})"
 
 ORACLES["correlation_with_gaps"] = with_views("dirty_events") + (
@@ -525,8 +535,10 @@ _FIELDS = (
     ("o_orderkey", "id"), ("o_custkey", "id"), ("o_orderstatus", "categorical"), ("o_totalprice", "currency"),
     ("o_orderdate", "date"), ("o_orderpriority", "categorical"),
 )
+_TYPE_NAMES = "map {'INTEGER': 'int', 'VARCHAR': 'string', 'TIMESTAMP': 'timestamp_ntz', 'TIMESTAMP WITH TIME ZONE': 'timestamp'}"
 ORACLES["schema_table"] = union(
-    f"""select '{c}' as field, {i} as ord, '{role}' as role, count({c}) as non_null, count(distinct {c}) as unique,
+    f"""select '{c}' as field, {i} as ord,
+    (select coalesce({_TYPE_NAMES}[typeof({c})], lower(typeof({c}))) from orders limit 1) as type, '{role}' as role, count({c}) as non_null, count(distinct {c}) as unique,
     (select substr(cast({c} as varchar), 1, 20) from orders order by o_orderkey limit 1) as sample from orders"""
     for i, (c, role) in enumerate(_FIELDS)
 )
@@ -726,14 +738,25 @@ _POWERS = lambda terms: " + ".join(f"({x}) * ln(50) ** {i}" for i, x in enumerat
 _Z = f"(ln(1 - w) - ({_POWERS(LARGE_MEAN)})) / exp({_POWERS(LARGE_LOG_STD)})"
 
 
-def shapiro(c: str) -> str:
+_KEYED = """
+select '{c}' as "column", count(*) as n, {w} as w from (
+  select v, row_number() over (order by v) as i, avg(v) over () as mean from (
+    select {c}::double as v from lineitem where {c} is not null
+    order by substr(md5(concat_ws(':', '42', l_orderkey, l_linenumber, l_partkey, l_suppkey)), 1, 15) limit 50))"""
+
+
+def shapiro(c: str, drawn: str = _DRAWN) -> str:
     """``column, n, w, p`` of 50 drawn values; the normal tail by an approximation right to seven digits."""
     return f"""select "column", n, w, case when z < 0 then 1 - q else q end as p from (
       select *, exp(-z * z / 2) / sqrt(2 * pi()) * (0.319381530 * t - 0.356563782 * t ** 2 + 1.781477937 * t ** 3
         - 1.821255978 * t ** 4 + 1.330274429 * t ** 5) as q
-      from (select *, 1 / (1 + 0.2316419 * abs(z)) as t from (select *, {_Z} as z from ({_DRAWN.format(c=c, w=_W)}))))"""
+      from (select *, 1 / (1 + 0.2316419 * abs(z)) as t from (select *, {_Z} as z from ({drawn.format(c=c, w=_W)}))))"""
 
 
 ORACLES["shapiro_sample"] = union(
     f"""select "column", n, {r('w', 6)} as w, {r('p')} as p from ({shapiro(c)})""" for c in ("l_quantity", "l_extendedprice")
 )
+
+ORACLES["shapiro_keyed"] = union(
+    f"""select "column", n, {r('w', 6)} as w, {r('p')} as p from ({shapiro(c, _KEYED)})""" for c in ("l_quantity", "l_extendedprice")
+)

@@ -424,11 +424,26 @@ def distinct_counts(spark, sf):
     return spark.createDataFrame(list(found.items()), "column string, n_distinct bigint")
 
 
+@query
+def distinct_counts_wide(spark, sf):
+    """Every column of lineitem, of all types, by digests in one tall shuffle."""
+    df = table(spark, sf, "lineitem")
+    found = frequencies.distinct_counts(df, df.columns)
+    return spark.createDataFrame(list(found.items()), "column string, n_distinct bigint")
+
+
 @query
 def top_values(spark, sf):
     return frequencies.top_values(table(spark, sf, "events"), ["event_type", "props"], 3)
 
 
+@query
+def top_values_long_text(spark, sf):
+    """Whole texts that are copied most often; the winners' texts alone are shuffled."""
+    found = frequencies.top_values(table(spark, sf, "documents"), ["text", "source", "lang"], 5)
+    return found.withColumn("value", F.md5("value"))
+
+
 @query
 def first_values_sparse(spark, sf):
     """The first values of columns that are mostly missing, in one scan of the numbered table."""
@@ -471,6 +486,13 @@ def shapiro_sample(spark, sf):
     return rounded(rounded(found, 6, "w"), 4, "p")
 
 
+@query
+def shapiro_keyed(spark, sf):
+    """The same test on values drawn by the rows' keys, all columns in one scan."""
+    found = normality.shapiro_sample(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], order_by=["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return rounded(rounded(found, 6, "w"), 4, "p")
+
+
 @query
 def histogram_far_tail(spark, sf):
     """One value far away from the others: most bins are empty."""
@@ -603,7 +625,7 @@ def compare_before_after(spark, sf):
 @query
 def schema_table(spark, sf):
     df = table(spark, sf, "orders")
-    return report.schema_table(df, roles.infer_roles(df, ["o_orderkey"]), ["o_orderkey"]).drop("type")
+    return report.schema_table(df, roles.infer_roles(df, ["o_orderkey"]), ["o_orderkey"])
 
 
 @query

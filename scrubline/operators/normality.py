@@ -9,7 +9,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.operators.columns import number, numeric_columns, small_frame
+from scrubline.operators.columns import ROW_ID, number, numeric_columns, quoted, small_frame
+from scrubline.operators.ordering import is_numbered
+from scrubline.operators.roles import ranked_by_number
 
 SAMPLE = 50
 _TESTED = "column string, n bigint, w double, p double"
@@ -51,6 +53,19 @@ def hashed_sample(df: DataFrame, col: str, k: int = SAMPLE, seed: int = SEED) ->
     return copies.withColumn("_draw", draw).orderBy("_draw", "value").limit(k).select(F.lit(col).alias("column"), "value")
 
 
+def keyed_sample(df: DataFrame, cols: Sequence[str], key: Sequence[str], k: int = SAMPLE, seed: int = SEED) -> DataFrame:
+    """``column, value``: ``k`` values of each column, drawn by a digest of the row's key, of all columns in one scan.
+
+    Each task keeps the rows with the ``k`` smallest digests per column. ``key`` tells
+    rows apart: rows of equal key are drawn together.
+    """
+    parts = [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in key]
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
+    values = {c: number(c).cast("string") for c in cols}  # a double's text gives the double back
+    drawn = df.select(draw.alias(ROW_ID), *[v.alias(c) for c, v in values.items()])
+    return ranked_by_number(drawn, {c: quoted(c) for c in cols}, k).select("column", F.col("value").cast("double").alias("value"))
+
+
 def _normal_quantile(p: np.ndarray) -> np.ndarray:
     from statistics import NormalDist
 
@@ -114,12 +129,22 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
     return w, 1 - NormalDist(mean, float(std)).cdf(float(y))
 
 
-def shapiro_sample(df: DataFrame, cols: Sequence[str] | None = None, k: int = SAMPLE) -> DataFrame:
-    """``column, n, w, p`` of the Shapiro-Wilk test on ``k`` sampled values per column; no column without values."""
+def shapiro_sample(
+    df: DataFrame, cols: Sequence[str] | None = None, k: int = SAMPLE, order_by: Sequence[str] | None = None
+) -> DataFrame:
+    """``column, n, w, p`` of the Shapiro-Wilk test on ``k`` sampled values per column; no column without values.
+
+    With a row number or a key ``order_by`` the values are drawn in one scan. Without
+    either, equal rows could not be told apart, and values and copies are counted first.
+    """
     cols = list(cols if cols is not None else numeric_columns(df))
     if not cols:
         return small_frame(df, [], _TESTED)
-    sample = reduce(DataFrame.unionByName, [hashed_sample(df, c, k) for c in cols])
+    key = list(order_by) if order_by else [ROW_ID] if is_numbered(df) else []
+    if key:
+        sample = keyed_sample(df, cols, key, k)
+    else:
+        sample = reduce(DataFrame.unionByName, [hashed_sample(df, c, k) for c in cols])
     drawn = {r["column"]: r["values"] for r in sample.groupBy("column").agg(F.collect_list("value").alias("values")).collect()}
     rows = [(c, len(drawn[c]), *shapiro_wilk(np.array(drawn[c]))) for c in cols if c in drawn]
     return small_frame(df, rows, _TESTED)

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.config import INSIGHTS, LEGACY_INSIGHTS, InsightConfig
@@ -23,7 +23,7 @@ from scrubline.operators.columns import (
     data_columns, date_columns, numeric_columns, quoted, small_frame, text_columns,
 )
 from scrubline.operators.correlation import correlation_pairs
-from scrubline.operators.frequencies import all_value_counts
+from scrubline.operators.frequencies import named_by, top_of, value_digests
 from scrubline.operators.normality import jarque_bera, shapiro_sample
 from scrubline.operators.profile import Moments, moments, null_counts
 from scrubline.operators.quantiles import medians
@@ -136,23 +136,19 @@ def numeric_frame(df: DataFrame, config: InsightConfig, normality: str, m: dict[
 
 
 def text_frame(df: DataFrame, config: InsightConfig, rows: int) -> DataFrame:
-    """One row per leading text column: distinct values and the three most frequent."""
+    """One row per leading text column: distinct values and the three most frequent, from one table of digests."""
     cols = text_columns(df)[: config.text_columns]
     schema = "ord int, column string, rows bigint"
     frame = small_frame(df, [(i, c, rows) for i, c in enumerate(cols)], schema)
     if not cols:
         return frame.select("*", F.lit(0).alias("n_distinct"), F.lit(None).cast(_TOP).alias("top"))
-    counts = all_value_counts(df, cols)
-
-
-    w = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    digests = value_digests(df, cols)
     top = (
-        counts.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= 3)  # kept to three per task before the shuffle
+        top_of(df, cols, digests, 3)
         .groupBy("column")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
     )
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    distinct = digests.groupBy("ord").agg(F.count(F.lit(1)).alias("n_distinct")).select(named_by(cols), "n_distinct")
     return frame.join(F.broadcast(distinct), "column", "left").join(F.broadcast(top), "column", "left")
 
 

@@ -11,7 +11,7 @@ from scrubline.functions.numbers import round_even
 
 from scrubline.functions.text import truncate
 from scrubline.operators.columns import data_columns, numeric_columns, row_order, small_frame
-from scrubline.operators.frequencies import distinct_counts
+from scrubline.operators.frequencies import distinct_counts, distinct_estimates, near
 from scrubline.operators.missing import fill_log
 from scrubline.operators.profile import null_counts, numeric_stats, table_shape
 from scrubline.operators.roles import Role, first_values
@@ -19,6 +19,7 @@ from scrubline.plans.cleaning import Cleaned, Report
 from scrubline.plans.insights import OVERVIEW
 
 SCHEMA_COLUMNS, FILL_ROWS, RENAME_ROWS, STEP_ROWS = 20, 12, 15, 8
+FEW = 1000  # distinct values up to which an approximate schema table counts exactly
 NO_STEPS = "No cleaning steps were needed."
 
 METHODS = (
@@ -46,21 +47,24 @@ def schema_table(
 ) -> DataFrame:
     """Field, type, role, filled and distinct values and the first value of the leading columns.
 
-    An exact distinct count shuffles every value of a long column; ``approx``
-    keeps it exact for few values and estimates the rest.
+    An exact distinct count shuffles a digest of every value; with ``approx`` only
+    columns of few values are counted, the others have no ``unique``, and
+    ``unique_about`` holds the estimate of every column.
     """
     cols = data_columns(df)[:first]
     rows, nulls = null_counts(df, cols)
     simple = [f.name for f in df.schema.fields if f.name in cols and f.dataType.simpleString().find("<") < 0]
-    distinct = distinct_counts(df, cols, 1000 if approx else None)
+    about = distinct_estimates(df, cols) if approx else {}
+    distinct = distinct_counts(df, near(about, FEW) if approx else cols)
     filled = {c: rows - nulls[c] for c in cols}
     by_role = {r.column: r.role for r in roles}
     types = dict(df.dtypes)
     table = small_frame(
         df,
-        [(i, c, types[c], by_role.get(c, "—"), filled[c], distinct[c]) for i, c in enumerate(cols)],
-        "ord int, field string, type string, role string, non_null bigint, unique bigint",
+        [(i, c, types[c], by_role.get(c, "—"), filled[c], distinct.get(c), about.get(c)) for i, c in enumerate(cols)],
+        "ord int, field string, type string, role string, non_null bigint, unique bigint, unique_about bigint",
     )
+    table = table if approx else table.drop("unique_about")
     samples = first_values(df, simple, row_order(df, order_by), 1, rows, filled)
     samples = samples.select(F.col("column").alias("field"), F.substring("value", 1, 20).alias("sample"))
     return table.join(F.broadcast(samples), "field", "left").withColumn("sample", F.coalesce("sample", F.lit("—")))

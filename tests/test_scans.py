@@ -1,11 +1,14 @@
 """Operators that serve any number of columns from one scan, and the history of runs."""
 
+import hashlib
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scrubline.operators import correlation, distribution, roles
+from scrubline.operators import correlation, distribution, frequencies, normality, roles
 from scrubline.operators.columns import ROW_ID
 from scrubline.operators.ordering import numbered
 from scrubline.sources import runs
@@ -74,3 +77,75 @@ def test_history_prunes_and_repeats(spark, tmp_path):
     assert own.count() == 5 and own.columns == runs.read_runs(spark, path).columns
     plan = own._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(owner_bucket" in plan
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distinct_counts_of_all_kinds(spark):
+    rows = [(0.0, "a", [None], (None, 1)), (-0.0, "a", [], (1, None)), (float("nan"), "", [1], (1, None)), (float("nan"), None, None, None), (None, "A", [None], (None, 1))]
+    df = spark.createDataFrame(rows, "x double, t string, l array<int>, s struct<a:int,b:int>")
+    assert frequencies.distinct_counts(df, df.columns) == {"x": 2, "t": 3, "l": 3, "s": 2}
+    assert frequencies.distinct_counts(df.limit(0), df.columns) == dict.fromkeys(df.columns, 0)
+
+
+def test_distinct_counts_shuffle_digests_once(spark, tmp_path):
+    spark.range(300).select(F.col("id"), F.repeat(F.lit("long "), 200).alias("t"), (F.col("id") % 3).alias("m")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    found = plan(frequencies.distinct_frame(df, df.columns))
+    assert "Expand" not in found and "SortAggregate" not in found
+    assert scans(frequencies.distinct_frame(df, df.columns)) == 1
+
+
+def top_by_hand(values, k):
+    counts = Counter(v for v in values if v is not None)
+    return [(v, n, i + 1) for i, (v, n) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0].encode()))[:k])]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_top_values_of_long_texts(spark, monkeypatch, most):
+    """Ties beyond the leading bytes, zero bytes, empty and missing values; candidates broadcast and joined."""
+    monkeypatch.setattr(frequencies, "BROADCAST_ROWS", most)
+    alike = [f"https://www.example.com/{i:03}" for i in range(40)]
+    texts = alike * 2 + ["é" * 9, "é" * 9, "", "", "a", "a\0", "a\0b", None, None, None] + ["x" * 5000 + str(i) for i in range(30)]
+    df = spark.createDataFrame([(t, i % 4, None) for i, t in enumerate(texts)], "t string, m int, none string").repartition(7)
+    for k in (1, 3, 7, 50):
+        got = frequencies.top_values(df, df.columns, k).orderBy("column", "rank").collect()
+        assert [tuple(r)[1:] for r in got if r["column"] == "t"] == top_by_hand(texts, k)
+        assert [tuple(r)[1:] for r in got if r["column"] == "m"] == top_by_hand([str(i % 4) for i in range(len(texts))], k)
+        assert {r["column"] for r in got} == {"t", "m"}
+    assert frequencies.top_values(df.limit(0), df.columns, 3).count() == 0
+
+
+def test_keyed_sample_reads_once(spark, tmp_path):
+    spark.range(0, 4000, 1, 9).select("id", *[((F.col("id") * (k + 3)) % 97).cast("double").alias(f"c{k}") for k in range(6)]).withColumn(
+        "c5", F.when(F.col("id") % 200 == 0, F.col("c5"))).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    cols = [f"c{k}" for k in range(6)]
+    sample = normality.keyed_sample(df, cols, ["id"])
+    assert scans(sample) == 1
+    got = {c: sorted(r["value"] for r in sample.where(F.col("column") == c).collect()) for c in cols}
+    rows = sorted((int(hashlib.md5(f"42:{r.id}".encode()).hexdigest()[:15], 16), r) for r in df.collect())
+    assert got == {c: sorted([r[c] for _, r in rows if r[c] is not None][:50]) for c in cols}
+    assert len(got["c5"]) == 20
+    a = normality.shapiro_sample(df.repartition(11), cols, order_by=["id"]).collect()
+    assert a == normality.shapiro_sample(df, cols, order_by=["id"]).collect()
+
+
+def test_numbered_tables_are_sampled_by_number(spark):
+    df = numbered(spark.range(500).select((F.col("id") % 7).cast("double").alias("x")), ["x"])
+    assert ROW_ID in df.columns
+    drawn = [r["value"] for r in normality.keyed_sample(df, ["x"], [ROW_ID]).collect()]
+    assert len(drawn) == 50 and len(set(drawn)) == 7
+    assert normality.shapiro_sample(df, ["x"]).first()["n"] == 50
+
+
+def test_approximate_schema_table_keeps_estimates_apart(spark):
+    from scrubline.plans import report
+
+    df = spark.range(30_000).select(F.col("id").alias("many"), (F.col("id") % 9).alias("few"))
+    t = {r["field"]: r for r in report.schema_table(df, [], ["many"], approx=True).collect()}
+    assert t["few"]["unique"] == 9 and t["many"]["unique"] is None and abs(t["many"]["unique_about"] / 30_000 - 1) < 0.2
+    assert "unique_about" not in report.schema_table(df, [], ["many"]).columns
