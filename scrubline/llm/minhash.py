@@ -1,8 +1,11 @@
 """Near-duplicates by the Jaccard similarity of their shingles.
 
-Documents with equal shingle sets are one node. Each node has a MinHash value
-for every band of ``ROWS`` hash functions; nodes that share a band's value are
-candidates. Large groups of near copies are joined first, by rounds in which every
+Documents with equal shingle sets are one node. Each node has a SimHash
+fingerprint of its shingles; nodes whose fingerprints differ in two bits or fewer
+meet by ball hashing (:mod:`scrubline.llm.simhash`) and are joined if their sets are
+alike. A similarity of 0.8 leaves more bits than that, so the search goes on
+with a MinHash value for every band of ``ROWS`` hash functions; nodes of different groups
+that share a band's value are candidates. Large groups of near copies are joined first, by rounds in which every
 node is compared with one lead; what is still apart is found by prefix filtering,
 so neither a group of copies nor a template that many unlike texts share is
 compared pair by pair. All pairs are judged by their exact sets, as arrays of
@@ -28,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import in_groups, keyed, salted_join, utf8
+from scrubline.llm import simhash
+from scrubline.llm.common import in_groups, keyed, salted_join, stage_and_free, utf8
 from scrubline.llm.katz import mix
 from scrubline.llm.simhash import components
 from scrubline.staging import stage
@@ -69,20 +73,21 @@ def band_keys(digests: np.ndarray) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, k1, k2, node, n, bands``: a row per document; ``node`` is a digest of its ``n`` shingles."""
+    """``doc_id, k1, k2, node, n, fp, bands``: a row per document; ``node`` is a digest of its ``n`` shingles, ``fp`` their fingerprint."""
     from xxhash import xxh64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_groups(batches):
             found = [shingles(t, width) for t in utf8(batch.column("text"))]
             node = np.array([xxh64_intdigest(x.tobytes()) for x in found], np.uint64).astype(np.int64)
+            fps = np.array([simhash.majority(x) for x in found], np.uint64).astype(np.int64)
             bands = np.array([band_keys(x) for x in found], np.uint64).reshape(-1).astype(np.int64)
             ends = pa.array(np.arange(len(found) + 1, dtype=np.int32) * BANDS)
-            columns = [*[batch.column(c) for c in ("doc_id", "k1", "k2")], pa.array(node), pa.array([len(x) for x in found], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(bands))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "node", "n", "bands"])
+            columns = [*[batch.column(c) for c in ("doc_id", "k1", "k2")], pa.array(node), pa.array([len(x) for x in found], pa.int64()), pa.array(fps), pa.ListArray.from_arrays(ends, pa.array(bands))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "node", "n", "fp", "bands"])
 
     rows = keyed(docs.select("doc_id", "text"), docs["doc_id"], docs["text"]).select("row.*", "k1", "k2")
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, node long, n long, bands array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k1 long, k2 long, node long, n long, fp long, bands array<long>")
 
 
 def digest_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -122,6 +127,19 @@ def alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", (shared / (F.size("set_a") + F.size("set_b") - shared) >= F.lit(least)).alias("linked"))
 
 
+def by_fingerprint(sets: DataFrame, radius: int) -> DataFrame:
+    """``a, b``: nodes of equal fingerprints, and of fingerprints that meet within ``radius`` bits.
+
+    One node stands for each fingerprint; the others of that fingerprint are paired with it.
+    """
+    fps = stage(sets.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("held")), "fps")
+    met = stage_and_free(simhash.links(fps.select("fp"), radius), "met")
+    for side in ("a", "b"):
+        met = met.join(fps.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")), side)
+    equal = salted_join(sets.select("node", "fp"), fps.where("held > 1").select("fp", "head"), ["fp"], ["node"])
+    return equal.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).union(met.select("head_a", "head_b"))
+
+
 def stars(members: DataFrame, turn: int) -> DataFrame:
     """``a, b``: for each node one node of another group, the lead of one of its bands.
 
@@ -173,18 +191,19 @@ def by_prefix(held: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
-def links(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, met: DataFrame, least: float) -> DataFrame:
     """``node, label`` of the linked nodes.
 
-    ``members`` has ``node, n, band`` of bands that several nodes share, ``sets``
-    the digests of those nodes. While at least half of the pairs it compares are
+    ``members`` has ``node, n, band`` of bands that several nodes share, ``met``
+    the pairs whose fingerprints meet, ``sets`` the digests of all these nodes.
+    The pairs of ``met`` are compared first. While at least half of the pairs it compares are
     linked, a round compares each node with one lead; the pairs still in
     different groups are then found by their prefixes.
     """
     crowd = salted_join(members, members.groupBy("band").agg(F.count("*").alias("held")), ["band"], ["node"]).groupBy("node").agg(F.sum("held").alias("crowd"))
     members = stage(members.join(crowd, "node"), "crowded")
-    labels = members.sparkSession.createDataFrame([], "node long, label long")
-    judged = members.sparkSession.createDataFrame([], "a long, b long")
+    close = stage(alike(met, sets, least), "compared")
+    labels = relabelled(members.sparkSession.createDataFrame([], "node long, label long"), close.where("linked"))
     turn = 0
     while True:
         # a band whose nodes are all in one group has nothing left to compare
@@ -217,19 +236,21 @@ def relabelled(labels: DataFrame, linked: DataFrame) -> DataFrame:
     return stage(out.select("node", F.coalesce("next", "label").alias("label")), "labels")
 
 
-def groups(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+def groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 2) -> DataFrame:
     """``doc_id, k1, k2, head``: near-duplicate groups; ``head`` is the ``(doc_id, k1, k2)`` that stands for the group."""
     rows = stage(nodes(docs, width), "nodes")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k1", "k2")
-    sets = stage(rows.groupBy("node").agg(F.min(order).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands")), "sets")
+    sets = stage(rows.groupBy("node").agg(F.min(order).alias("first"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")), "sets")
     members = sets.select("node", "n", F.explode("bands").alias("band"))
     shared = members.groupBy("band").agg(F.count("*").alias("held")).where(F.col("held") > 1).select("band")
     members = stage(salted_join(members, shared, ["band"], ["node"]), "members")
-    wanted = sets.select("first.k1", "first.k2", "node").join(members.select("node").distinct(), "node", "left_semi")
+    met = stage(by_fingerprint(sets.select("node", "fp"), radius), "pairs")
+    held = members.select("node").union(met.select("a")).union(met.select("b")).distinct()
+    wanted = sets.select("first.k1", "first.k2", "node").join(held, "node", "left_semi")
     named = keyed(docs.select("doc_id", "text"), docs["doc_id"], docs["text"]).select("k1", "k2", "row.text")
     # equal rows share k1 and k2: any of them has the node's text
     texts = salted_join(named, wanted, ["k1", "k2"], ["text"])
-    labels = links(members, stage(digest_sets(texts, width).dropDuplicates(["node"]), "digests"), least)
+    labels = links(members, stage(digest_sets(texts, width).dropDuplicates(["node"]), "digests"), met, least)
     tied = stage(sets.select("node", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "tied")
     heads = tied.groupBy("label").agg(F.min("first").alias("head"))
     of_node = stage(salted_join(tied.select("node", "label"), heads, ["label"], ["node"]).select("node", "head"), "heads")

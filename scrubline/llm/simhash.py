@@ -53,6 +53,15 @@ def fingerprint(text: bytes, width: int, seed: int = 42) -> int:
     return reduce(or_, (1 << i for i in range(BITS) if 2 * counts[i] > n), 0)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of 64-bit hashes; 0 of none."""
+    counts = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype("<u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return reduce(or_, (1 << i for i in range(BITS) if 2 * counts[i] > len(hashes)), 0)
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """``doc_id, k1, k2, fp``: a row per document; ``(k1, k2)`` is a digest of id and text, ``fp`` signed."""
 

@@ -2,11 +2,12 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from scrubline.llm import minhash
+from scrubline.llm import minhash, simhash
 from scrubline.llm.common import load
 from tests.llm import brute
 from tests.llm.data import SCHEMA, frame, prose, rows
@@ -83,6 +84,24 @@ def test_links_across_leads(spark):
     assert Counter(r.doc_id for r in minhash.keep_one(frame(spark, data)).collect()) == firsts(data)
 
 
+def test_fingerprints_find_near_copies(spark, monkeypatch):
+    """Near copies meet by their fingerprints also where no two share a band; unlike sets that meet are told apart."""
+    monkeypatch.setattr(minhash, "band_keys", lambda x: x[:1] + np.arange(minhash.BANDS, dtype=np.uint64))
+    base = prose(8, 2000).split()
+    near = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in (300, 900, 1500)]
+    data = [(k, t, "s") for k, t in enumerate([" ".join(base), *near, "a single line", "another one of them", prose(9, 300)])]
+    fps = [simhash.majority(minhash.shingles(t.encode(), 5)) for _, t, _ in data]
+    assert all((fps[0] ^ f).bit_count() <= 2 for f in fps[1:4])
+    assert Counter(r.doc_id for r in minhash.keep_one(frame(spark, data)).collect()) == Counter([0, 4, 5, 6])
+
+
+def test_equal_fingerprints_are_compared(spark):
+    """Texts of equal fingerprints are paired with one of them, and every fingerprint within two bits with the next."""
+    sets = spark.createDataFrame([(1, 0), (2, 0), (3, 3), (4, 7), (5, 1 << 40 | 31)], "node long, fp long")
+    met = {tuple(sorted(r)) for r in minhash.by_fingerprint(sets, 2).collect()}
+    assert met == {(1, 2), (1, 3), (3, 4)}
+
+
 def test_joins_on_nodes_are_salted(spark):
     """No join whose key is a node alone may have a side in which it recurs."""
     pairs = spark.range(100).select("id", (F.col("id") % 3).alias("b")).withColumnRenamed("id", "a")
