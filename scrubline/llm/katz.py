@@ -1,10 +1,14 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
 Documents are encoded into blocks of about ``block_tokens`` tokens, written
-once. For each order a block asks for the counts of its distinct n-grams: it
-sends their 64-bit keys and its own training counts to the parts of the n-gram
-table, cut by key. A part sums what the blocks have sent, is written as table,
-and answers every block in the order asked. From the answers the blocks sum,
+once. Order by order a block asks for the counts of its distinct n-grams: it
+sends their 64-bit keys, as differences, and its own training counts to the parts of the n-gram
+table, cut by key. A part sums what the blocks have sent and answers every block
+in the order asked; its shuffle is freed before the next order. An n-gram that stands at one place of
+all documents, a training one, is alone: what follows it is alone as well and has the count 1,
+so longer n-grams after it are counted where they stand and never sent, nor is its backoff
+weight, for which no document asks. Training documents hold all of their n-grams, so only
+the others are sent weights. From the answers the blocks sum,
 for each context, the discounted mass and the lower-order probability of the
 n-grams seen after it; the table of contexts turns these sums into backoff
 weights. Then each token is scored: by its n-gram if the training documents
@@ -32,6 +36,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -90,6 +95,41 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+def squeeze(keys: np.ndarray) -> bytes:
+    """Ascending keys: the first, then the differences byte by byte, highest bytes left out where all are zero."""
+    gaps = np.diff(keys).astype("<u8")
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
+    return keys[:1].astype("<u8").tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def spread(data: bytes, n: int) -> np.ndarray:
+    gaps = np.zeros((n, 8), np.uint8)
+    gaps[0] = np.frombuffer(data, np.uint8, 8)
+    if n > 1:
+        planes = np.frombuffer(data, np.uint8, -1, 8).reshape(-1, n - 1)
+        gaps[1:, : len(planes)] = planes.T
+    return np.cumsum(gaps.view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def bits_of(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8), count=n) > 0
+
+
+def few(values: np.ndarray) -> bytes:
+    """Numbers of which many are equal: the distinct ones, then their places in one to four bytes each."""
+    distinct, places = np.unique(values, return_inverse=True)
+    code = "u1" if len(distinct) <= 1 << 8 else "<u2" if len(distinct) <= 1 << 16 else "<u4"
+    return len(distinct).to_bytes(8, "little") + distinct.astype("<f8").tobytes() + places.astype(code).tobytes()
+
+
+def from_few(data: bytes, n: int) -> tuple[np.ndarray, int]:
+    """The numbers, and where they end."""
+    many = int.from_bytes(data[:8], "little")
+    code = np.dtype("u1" if many <= 1 << 8 else "<u2" if many <= 1 << 16 else "<u4")
+    end = 8 + 8 * many
+    return np.frombuffer(data, "<f8", many, 8)[np.frombuffer(data, code, n, end)], end + n * code.itemsize
+
+
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of each key among them, and where one of each lies."""
     order = np.argsort(keys)
@@ -137,7 +177,7 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
             flat = np.concatenate(keys)
             vocabulary, tokens = ranked(np.array(known.keys_of, np.uint64), flat)
             blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([(tokens >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes())
-            cells = [(part << 32) + number, rows, None, held, sizes, firsts, vocabulary.astype("<u8").tobytes(), blob, len(flat)]
+            cells = [(part << 32) + number, rows, None, held, sizes, firsts, len(vocabulary).to_bytes(8, "little") + squeeze(vocabulary), blob, len(flat)]
             kinds = [pa.int64(), pa.list_(pa.int64()), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64()]
             names = ["block", "rows", "doc_ids", "held", "sizes", "firsts", "words", "tokens", "n_tokens"]
             id_array = pa.concat_arrays(ids)
@@ -176,13 +216,13 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
 
 
 class Block:
-    """A block's n-grams: for each order the key and context key at every place where it has one."""
+    """A block's n-grams: for each order up to ``depth`` the key and context key at every place where it has one."""
 
-    def __init__(self, row: dict, order: int):
+    def __init__(self, row: dict, order: int, depth: int):
         import zstandard
 
         n = row["n_tokens"]
-        self.words = np.frombuffer(row["words"], "<u8")
+        self.words = spread(row["words"][8:], int.from_bytes(row["words"][:8], "little"))
         planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.uint8).reshape(4, n).astype(np.int64)
         token = planes[0] | planes[1] << 8 | planes[2] << 16 | planes[3] << 24
         sizes = np.array(row["sizes"], np.int64)
@@ -199,7 +239,7 @@ class Block:
         self.at, self.keys, self.gram, self.one = [np.arange(n)], [self.words], [token], [one]
         # the number of each place's context among the n-grams of the order below; one more for the start
         self.context = [np.zeros(0, np.int64)]
-        for _ in range(2, order + 1):
+        for _ in range(2, depth + 1):
             below, known = np.full(n, -1), len(self.keys[-1])
             below[1:][place[1:] > 0] = self.gram[-1][:-1][place[1:] > 0]
             if len(self.keys) == 1:
@@ -215,10 +255,15 @@ class Block:
             self.one.append(at[one])
             self.context.append(below)
 
-    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys in order, and their training counts."""
-        at = self.at[level]
-        return self.keys[level], np.bincount(self.gram[level][at], self.train[at], len(self.keys[level])).astype(np.int64)
+    def distinct(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, their training counts, and whether they also stand where they are not counted."""
+        at, many = self.at[level], len(self.keys[level])
+        counts = np.bincount(self.gram[level][at], self.train[at], many).astype(np.int64)
+        return self.keys[level], counts, np.bincount(self.gram[level][at], minlength=many) > counts
+
+    def after(self, level: int, alone: np.ndarray) -> np.ndarray:
+        """Which distinct n-grams follow a context that is ``alone``."""
+        return np.append(alone, False)[self.context[level][self.one[level]]]
 
 
 def cut(keys: np.ndarray, bits: int) -> list[tuple[int, slice]]:
@@ -239,32 +284,64 @@ def messages(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [x.split()[0] for x in MESSAGE.split(", ")])
 
 
-def ask_counts(blocks: DataFrame, order: int, bits: int) -> DataFrame:
-    """Each block's distinct n-grams with its training counts, cut into the parts of the table."""
+class Counts:
+    """Training counts of a block's distinct n-grams, from the answers it got, for as many orders as were answered.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in (r for i in range(batch.num_rows) for r in batch.slice(i, 1).to_pylist()):
-                block = Block(row, order)
-                for level in range(order):
-                    keys, counts = block.distinct(level)
-                    yield messages([(level, part, row["block"], s.stop - s.start, keys[s].tobytes(), pack(counts[s]), b"", b"") for part, s in cut(keys, bits)])
+    ``own`` has one place of each n-gram that this block sums, ``alone`` says which
+    n-grams stand at one place of all documents, in training.
+    """
+
+    def __init__(self, block: Block, answers: list[dict]):
+        got = by_level(answers)
+        self.known, self.own, self.alone = [], [], []
+        for level, one in enumerate(block.one[: max(got) + 1]):
+            asked = ~block.after(level, self.alone[-1]) if level else np.ones(len(one), bool)
+            known, own, alone = np.ones(len(one), np.int64), np.ones(len(one), bool), np.ones(len(one), bool)
+            none = [np.zeros(0, np.int64)]
+            known[asked] = np.concatenate([*none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]])
+            own[asked] = np.concatenate([*none, *[bits_of(a["b"], a["n"]) for a in got.get(level, [])]])
+            alone[asked] = np.concatenate([*none, *[bits_of(a["c"], a["n"]) for a in got.get(level, [])]])
+            self.known.append(known)
+            self.own.append(one[own])
+            self.alone.append(alone)
+
+
+def ask_counts(blocks: DataFrame, answers: list[DataFrame], level: int, order: int, bits: int) -> DataFrame:
+    """Each block's distinct n-grams of one order with its training counts, cut into the parts of the table.
+
+    Those after an n-gram that is alone are not sent; a message of their own says how many they are.
+    """
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        row = batch.drop_columns(["doc_ids"]).to_pylist()[0]
+        block = Block(row, order, level + 1)
+        keys, counts, elsewhere = block.distinct(level)
+        if level:
+            sent = ~block.after(level, Counts(block, row["answers"]).alone[level - 1])
+            keys, counts, elsewhere = keys[sent], counts[sent], elsewhere[sent]
+        out = [(level, part, row["block"], s.stop - s.start, squeeze(keys[s]), pack(counts[s]), np.packbits(elsewhere[s]).tobytes(), b"") for part, s in cut(keys, bits)]
+        if len(keys) < len(block.keys[level]):
+            out.append((level, row["block"] % (1 << bits), row["block"], 0, b"", b"", b"", (len(block.keys[level]) - len(keys)).to_bytes(8, "little")))
+        return messages(out)
 
-    return blocks.mapInArrow(run, MESSAGE)
+    return _blocks_with(blocks, [answers] if answers else [], run, MESSAGE)
 
 
 COUNTED = MESSAGE + ", known long, total long, " + ", ".join(f"r{r} long" for r in range(1, TOP + 2))
 
 
 def count(asked: DataFrame) -> DataFrame:
-    """Answers (``a``: counts, ``b``: whether the block is to sum the n-gram) and, as block -1, the table's parts."""
+    """Answers (``a``: counts, ``b``: whether the block is to sum the n-gram, ``c``: whether it is alone) and, as block -1, figures of the parts."""
 
     def merge(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys = np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows])
-        own = np.concatenate([unpack(r["a"], r["n"]) for r in rows])
+        asked = sorted(table.to_pylist(), key=lambda r: r["block"])
+        rows, left = [r for r in asked if r["n"]], sum(int.from_bytes(r["c"], "little") for r in asked if not r["n"])
+        keys = np.concatenate([np.zeros(0, np.uint64), *[spread(r["keys"], r["n"]) for r in rows]])
+        own = np.concatenate([np.zeros(0, np.int64), *[unpack(r["a"], r["n"]) for r in rows]])
+        elsewhere = np.concatenate([np.zeros(0, bool), *[bits_of(r["b"], r["n"]) for r in rows]])
         known, inverse, _ = grouped(keys)
         total = np.bincount(inverse, own, len(known)).astype(np.int64)
+        alone = (total == 1) & (np.bincount(inverse, elsewhere, len(known)) == 0)
         # the last block that has an n-gram in training sums it
         held = np.flatnonzero(own > 0)
         last = np.full(len(known), -1)
@@ -275,12 +352,13 @@ def count(asked: DataFrame) -> DataFrame:
         blank = (0,) * (TOP + 3)
         for r in rows:
             s = slice(at, at + r["n"])
-            out.append((r["level"], r["part"], r["block"], r["n"], b"", pack(answer[s]), np.packbits(owner[s]).tobytes(), b"", *blank))
+            out.append((r["level"], r["part"], r["block"], r["n"], b"", pack(answer[s]), np.packbits(owner[s]).tobytes(), np.packbits(alone[inverse[s]]).tobytes(), *blank))
             at += r["n"]
         seen = total > 0
-        first_row = rows[0]
+        first_row = asked[0]
         ranks = [int((total == r).sum()) for r in range(1, TOP + 2)]
-        out.append((first_row["level"], first_row["part"], -1, int(seen.sum()), known[seen].tobytes(), pack(total[seen]), b"", b"", int(seen.sum()), int(total.sum()), *ranks))
+        ranks[0] += left
+        out.append((first_row["level"], first_row["part"], -1, int(seen.sum()) + left, b"", b"", b"", b"", int(seen.sum()) + left, int(total.sum()) + left, *ranks))
         names = [x.split()[0] for x in COUNTED.split(", ")]
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.binary()] * 4, *[pa.int64()] * (TOP + 3)]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
@@ -387,114 +465,119 @@ class Scores:
 
     def __init__(self, block: Block, counts: list[dict], stats: Statistics):
         self.block, self.stats = block, stats
-        none = np.zeros(0, np.int64)
-        got = by_level(counts)
-        self.known, self.own = [], []  # training counts of the distinct n-grams; one place of each that this block sums
-        for level, one in enumerate(block.one):
-            self.known.append(np.concatenate([none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]]))
-            owned = np.concatenate([none, *[np.unpackbits(np.frombuffer(a["b"], np.uint8), count=a["n"]) for a in got.get(level, [])]])
-            self.own.append(one[owned > 0])
+        found = Counts(block, counts)
+        self.known, self.own, self.alone = found.known, found.own, found.alone
         self.counts = self.known[0][block.gram[0]]
         self.log = stats.word(self.known[0])[block.gram[0]]
 
-    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places with a context that the training documents hold; their contexts' keys in order, places among these, counts."""
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a context that the training documents hold and that is not alone; their contexts' keys in order, places among these, counts, whether documents not in training have them."""
         block = self.block
         counts = np.append(self.known[level - 1], self.stats.documents if level == 1 else 0)
         below = block.context[level]
         at = block.at[level]
-        at = at[counts[below[at]] > 0]
+        at = at[(counts[below[at]] > 0) & ~np.append(self.alone[level - 1], False)[below[at]]]
         all_keys = np.append(block.keys[level - 1], START)
         keys, places = ranked(all_keys, below[at])
         of_each = np.zeros(len(keys), np.int64)
         of_each[places] = counts[below[at]]
-        return at, keys, places, of_each
+        return at, keys, places, of_each, np.bincount(places, (block.scored & ~block.train)[at], len(keys)) > 0
 
-    def sums(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For each context: discounted counts, and lower-order probability, of the n-grams that this block sums."""
-        at, keys, inverse, counts = self.contexts(level)
+    def sums(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each context: its count, whether its weight is wanted, discounted counts, and lower-order probability, of the n-grams that this block sums."""
+        at, keys, inverse, counts, wanted = self.contexts(level)
         place = np.full(len(self.block.piece), -1)
         place[at] = inverse
         own = self.own[level]
+        own = own[place[own] >= 0]
         mass = np.bincount(place[own], self.stats.discounted(level, self.known[level][self.block.gram[level][own]]), len(keys))
         lower = np.bincount(place[own], 10 ** self.log[own], len(keys))
-        return keys, counts, mass, lower
+        return keys, counts, wanted, mass, lower
 
     def climb(self, level: int, answers: list[dict]) -> None:
         """Probabilities of the next order."""
-        at, _, inverse, counts = self.contexts(level)
-        none = np.zeros(0)
-        alpha = np.concatenate([none, *[np.frombuffer(a["a"], "<f8") for a in answers]])
+        at, keys, inverse, counts, wanted = self.contexts(level)
+        none, alpha = np.zeros(0), np.zeros(len(keys))
+        alpha[wanted] = np.concatenate([none, *[np.frombuffer(a["a"], "<f8") for a in answers if a["a"]]])
         more = np.concatenate([none, *[np.unpackbits(np.frombuffer(a["b"], np.uint8), count=a["n"]) for a in answers]])
         seen = self.known[level][self.block.gram[level][at]]
         mass = self.stats.discounted(level, np.maximum(seen, 1))
         self.log[at] = np.where(seen > 0, np.log10(mass / (counts + more)[inverse]), alpha[inverse] + self.log[at])
+        # the only n-gram after a context that is alone
+        at = self.block.at[level]
+        at = at[np.append(self.alone[level - 1], False)[self.block.context[level][at]]]
+        mass = float(self.stats.discounted(level, np.ones(1, np.int64))[0])
+        self.log[at] = np.log10(mass / (1 + (1 - mass <= 1e-9)))
 
 
-def _blocks_with(blocks: DataFrame, answers: list[DataFrame], f, schema: str) -> DataFrame:
-    """``f`` of each block and the answers to it."""
-    sent = [a.where(F.col("block") >= 0).select(*[x.split()[0] for x in MESSAGE.split(", ")], F.lit(k).alias("round")) for k, a in enumerate(answers)]
-    all_sent = sent[0]
-    for a in sent[1:]:
-        all_sent = all_sent.union(a)
-    # one row per block, with its answers as a list: as many as parts that it has n-grams in
-    listed = all_sent.groupBy("block").agg(F.collect_list(F.struct("round", "level", "part", "n", "a", "b")).alias("answers"))
+def _blocks_with(blocks: DataFrame, answers: list[list[DataFrame]], f, schema: str) -> DataFrame:
+    """``f`` of each block and the answers to it, by rounds."""
+    fields = [x.split()[0] for x in MESSAGE.split(", ")]
+    sent = [a.where(F.col("block") >= 0).select(*fields, F.lit(k).alias("round")) for k, each in enumerate(answers) for a in each]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 yield f(batch.slice(i, 1))
 
+    if not sent:
+        return blocks.mapInArrow(run, schema)
+    all_sent = sent[0]
+    for a in sent[1:]:
+        all_sent = all_sent.union(a)
+    # one row per block, with its answers as a list: as many as parts that it has n-grams in
+    listed = all_sent.groupBy("block").agg(F.collect_list(F.struct("round", "level", "part", "n", "a", "b", "c")).alias("answers"))
     return blocks.join(listed, "block").mapInArrow(run, schema)
 
 
-def _scores(row: dict, order: int, stats: Statistics, rounds: int) -> Scores:
+def _scores(row: dict, order: int, stats: Statistics, rounds: int, depth: int) -> Scores:
     answers = [[a for a in row["answers"] if a["round"] == k] for k in range(rounds + 1)]
-    scores = Scores(Block(row, order), answers[0], stats)
+    scores = Scores(Block(row, order, depth), answers[0], stats)
     for level in range(1, rounds + 1):
         scores.climb(level, by_level(answers[level]).get(level, []))
     return scores
 
 
-def ask_weights(blocks: DataFrame, answers: list[DataFrame], level: int, order: int, bits: int, stats: Statistics) -> DataFrame:
+def ask_weights(blocks: DataFrame, answers: list[list[DataFrame]], level: int, order: int, bits: int, stats: Statistics) -> DataFrame:
     """Each block's contexts with their counts and what it has summed after them."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row = batch.to_pylist()[0]
-        keys, counts, mass, lower = _scores(row, order, stats, level - 1).sums(level)
+        row = batch.drop_columns(["doc_ids"]).to_pylist()[0]
+        keys, counts, wanted, mass, lower = _scores(row, order, stats, level - 1, level + 1).sums(level)
         out = []
         for part, s in cut(keys, bits):
             some = mass[s] > 0
-            sums = np.concatenate([mass[s][some], lower[s][some]]).astype("<f8").tobytes()
-            out.append((level, part, row["block"], s.stop - s.start, keys[s].tobytes(), pack(counts[s]), np.packbits(some).tobytes(), sums))
+            sums = few(mass[s][some]) + lower[s][some].astype("<f8").tobytes()
+            out.append((level, part, row["block"], s.stop - s.start, squeeze(keys[s]), pack(counts[s]), np.packbits(np.append(some, wanted[s])).tobytes(), sums))
         return messages(out)
 
     return _blocks_with(blocks, answers, run, MESSAGE)
 
 
 def weigh(asked: DataFrame) -> DataFrame:
-    """Answers (``a``: log10 backoff weights, ``b``: whether the denominator is one more) and, as block -1, the table's parts."""
+    """Answers (``a``: log10 backoff weights of the contexts wanted, ``b``: whether the denominator is one more) and, as block -1, the table's parts."""
 
     def merge(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-        keys, inverse, _ = grouped(np.concatenate([np.frombuffer(r["keys"], np.uint64) for r in rows]))
+        keys, inverse, _ = grouped(np.concatenate([spread(r["keys"], r["n"]) for r in rows]))
         counts, mass, lower, at = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys)), 0
         for r in rows:
             places = inverse[at : at + r["n"]]
             counts[places] = unpack(r["a"], r["n"])
-            some = np.unpackbits(np.frombuffer(r["b"], np.uint8), count=r["n"]) > 0
-            first, second = np.split(np.frombuffer(r["c"], "<f8"), 2)
+            some = bits_of(r["b"], r["n"])
+            first, end = from_few(r["c"], int(some.sum()))
             mass[places[some]] += first
-            lower[places[some]] += second
+            lower[places[some]] += np.frombuffer(r["c"][end:], "<f8")
             at += r["n"]
         more = counts - mass <= 1e-9 * counts  # nothing was discounted
         alpha = np.log10((1 - mass / (counts + more)) / (1 - lower))
         out, at = [], 0
         for r in rows:
             places = inverse[at : at + r["n"]]
-            out.append((r["level"], r["part"], r["block"], r["n"], b"", alpha[places].astype("<f8").tobytes(), np.packbits(more[places]).tobytes(), b""))
+            wanted = bits_of(r["b"], 2 * r["n"])[r["n"] :]
+            out.append((r["level"], r["part"], r["block"], r["n"], b"", alpha[places[wanted]].astype("<f8").tobytes(), np.packbits(more[places]).tobytes(), b""))
             at += r["n"]
-        out.append((rows[0]["level"], rows[0]["part"], -1, len(keys), keys.astype("<u8").tobytes(), alpha.astype("<f8").tobytes(), np.packbits(more).tobytes(), pack(counts)))
+        out.append((rows[0]["level"], rows[0]["part"], -1, len(keys), squeeze(keys), alpha.astype("<f8").tobytes(), np.packbits(more).tobytes(), pack(counts)))
         return pa.Table.from_batches([messages(out)])
 
     return asked.groupBy("level", "part").applyInArrow(merge, MESSAGE)
@@ -509,16 +592,20 @@ def score(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS, par
     blocks = stage(encode(docs, block_tokens, order), "blocks")
     tokens = int(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
     bits = max(0, (tokens // part_keys).bit_length())
-    counts = stage_and_free(count(ask_counts(blocks, order, bits)), "counts")
-    stats = statistics(blocks, counts, order)
+    counts: list[DataFrame] = []
+    for level in range(order):
+        counts.append(stage_and_free(count(ask_counts(blocks, counts, level, order, bits)), "counts"))
+    stats = statistics(blocks, reduce(DataFrame.union, counts), order)
     answers = [counts]
     for level in range(1, order):
-        answers.append(stage_and_free(weigh(ask_weights(blocks, answers, level, order, bits, stats)), "weights"))
+        # the answers for longer n-grams are not read yet
+        lower = [counts[: level + 1], *answers[1:]]
+        answers.append([stage_and_free(weigh(ask_weights(blocks, lower, level, order, bits, stats)), "weights")])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         row = batch.drop_columns(["doc_ids"]).to_pylist()[0]
-        scores = _scores(row, order, stats, order - 1)
+        scores = _scores(row, order, stats, order - 1, order)
         block, counts = scores.block, scores.counts
         total = lambda x: np.bincount(block.piece, np.where(block.scored, x, 0), block.pieces)
         columns = [total(np.ones(len(counts))).astype(np.int64), total(counts > 0).astype(np.int64), total(stats.base(counts)), total(scores.log)]

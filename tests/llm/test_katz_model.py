@@ -2,9 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 
 from scrubline.llm import katz
+from tests.llm import brute
+from tests.llm.data import frame, prose
 
 # numbers of words, pairs and triples that occur 1 to 6 times in the training documents of sf0.001 and sf0.01
 COUNTED = {
@@ -53,3 +56,30 @@ def test_valid_counts_stay_as_they_are():
 @pytest.mark.parametrize("ranks", [[0] * 6, [5, 0, 0, 0, 0, 0], [3, 3, 3, 3, 3, 3], [100, 20, 0, 3, 0, 0], [40, 9, 30, 2, 0, 1]])
 def test_few_counts(ranks):
     assert all(0 < x < 1 for x in katz.discounts(ranks)[1:6])
+
+
+@pytest.mark.parametrize("n", [1, 2, 60_000])
+def test_keys_as_differences(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 1 << 64, n, np.uint64, endpoint=False) if n > 2 else np.array([3, (1 << 64) - 1][:n], np.uint64))
+    data = katz.squeeze(keys)
+    assert katz.spread(data, len(keys)).tolist() == keys.tolist()
+    assert n < 60_000 or len(data) < 7.1 * n
+
+
+def test_lone_contexts_are_not_sent(spark, monkeypatch):
+    """N-grams after words that stand nowhere else are counted where they are; scores and numbers are those of all n-grams."""
+    sent = []
+    monkeypatch.setattr(katz, "count", lambda asked, real=katz.count: sent.append(asked.selectExpr("sum(n)").first()[0]) or real(asked))
+    common = prose(5, 60)
+    data = [(k, f"{common} " + " ".join(f"own{k}x{i}" for i in range(40)) + (f" own{k - 1}x7 own{k - 1}x8 end" if k else ""), "s") for k in range(30)]
+    model = brute.Katz([(str(d), t) for d, t, _ in data], 3, katz.discounts)
+    got = {r.doc_id: r for r in katz.score(frame(spark, data), order=3, block_tokens=1000, part_keys=500).collect()}
+    assert [got[d].score for d, _, _ in data] == pytest.approx([model.score(t) for _, t, _ in data], rel=1e-9)
+    assert max(sent[1:]) < 0.7 * sent[0]
+
+
+@pytest.mark.parametrize("distinct", [1, 300, 70_000])
+def test_numbers_of_which_many_are_equal(distinct):
+    values = np.arange(150_000) % distinct / 7
+    got, end = katz.from_few(katz.few(values) + b"rest", len(values))
+    assert got.tolist() == values.tolist() and end == len(katz.few(values))
