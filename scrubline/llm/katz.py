@@ -1,15 +1,16 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
 Documents are encoded into blocks of about ``block_tokens`` tokens, written
-once. Order by order a block asks for the counts of its distinct n-grams: it
+once, by the partition that their answers are shuffled to. Order by order a block asks for the counts of its distinct n-grams: it
 sends their 64-bit keys, as differences, and its own training counts to the parts of the n-gram
 table, cut by key. A part sums what the blocks have sent and answers every block
 in the order asked; its shuffle is freed before the next order. An n-gram that stands at one place of
 all documents, a training one, is alone: what follows it is alone as well and has the count 1,
 so longer n-grams after it are counted where they stand and never sent, nor is its backoff
 weight, for which no document asks. Training documents hold all of their n-grams, so only
-the others are sent weights. From the answers the blocks sum,
-for each context, the discounted mass and the lower-order probability of the
+the others are sent weights, and a context of up to five places that only training
+documents hold is not in the table of contexts. From the answers the blocks sum,
+for each other context, the discounted mass and the lower-order probability of the
 n-grams seen after it; the table of contexts turns these sums into backoff
 weights. Then each token is scored: by its n-gram if the training documents
 hold it, else by the backoff weight of its context times the probability after
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scrubline.llm.common import in_groups, stage_and_free, utf8
-from scrubline.staging import stage
+from scrubline.staging import stage_in_buckets
 
 BLOCK_TOKENS = 1 << 19
 PART_KEYS = 1 << 20
@@ -287,23 +288,25 @@ def messages(rows: list[tuple]) -> pa.RecordBatch:
 class Counts:
     """Training counts of a block's distinct n-grams, from the answers it got, for as many orders as were answered.
 
-    ``own`` has one place of each n-gram that this block sums, ``alone`` says which
-    n-grams stand at one place of all documents, in training.
+    ``own`` has one place of each n-gram that this block sums, ``outside`` says which
+    n-grams any block has where they are not counted, ``alone`` which ones stand at one
+    place of all documents, in training.
     """
 
     def __init__(self, block: Block, answers: list[dict]):
         got = by_level(answers)
-        self.known, self.own, self.alone = [], [], []
+        self.known, self.own, self.outside, self.alone = [], [], [], []
         for level, one in enumerate(block.one[: max(got) + 1]):
             asked = ~block.after(level, self.alone[-1]) if level else np.ones(len(one), bool)
-            known, own, alone = np.ones(len(one), np.int64), np.ones(len(one), bool), np.ones(len(one), bool)
+            known, own, outside = np.ones(len(one), np.int64), np.ones(len(one), bool), np.zeros(len(one), bool)
             none = [np.zeros(0, np.int64)]
             known[asked] = np.concatenate([*none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]])
             own[asked] = np.concatenate([*none, *[bits_of(a["b"], a["n"]) for a in got.get(level, [])]])
-            alone[asked] = np.concatenate([*none, *[bits_of(a["c"], a["n"]) for a in got.get(level, [])]])
+            outside[asked] = np.concatenate([*none, *[bits_of(a["c"], a["n"]) for a in got.get(level, [])]])
             self.known.append(known)
             self.own.append(one[own])
-            self.alone.append(alone)
+            self.outside.append(outside)
+            self.alone.append((known == 1) & ~outside)
 
 
 def ask_counts(blocks: DataFrame, answers: list[DataFrame], level: int, order: int, bits: int) -> DataFrame:
@@ -331,7 +334,7 @@ COUNTED = MESSAGE + ", known long, total long, " + ", ".join(f"r{r} long" for r
 
 
 def count(asked: DataFrame) -> DataFrame:
-    """Answers (``a``: counts, ``b``: whether the block is to sum the n-gram, ``c``: whether it is alone) and, as block -1, figures of the parts."""
+    """Answers (``a``: counts, ``b``: whether the block is to sum the n-gram, ``c``: whether any block has it where it is not counted) and, as block -1, figures of the parts."""
 
     def merge(table: pa.Table) -> pa.Table:
         asked = sorted(table.to_pylist(), key=lambda r: r["block"])
@@ -341,7 +344,7 @@ def count(asked: DataFrame) -> DataFrame:
         elsewhere = np.concatenate([np.zeros(0, bool), *[bits_of(r["b"], r["n"]) for r in rows]])
         known, inverse, _ = grouped(keys)
         total = np.bincount(inverse, own, len(known)).astype(np.int64)
-        alone = (total == 1) & (np.bincount(inverse, elsewhere, len(known)) == 0)
+        outside = np.bincount(inverse, elsewhere, len(known)) > 0
         # the last block that has an n-gram in training sums it
         held = np.flatnonzero(own > 0)
         last = np.full(len(known), -1)
@@ -352,7 +355,7 @@ def count(asked: DataFrame) -> DataFrame:
         blank = (0,) * (TOP + 3)
         for r in rows:
             s = slice(at, at + r["n"])
-            out.append((r["level"], r["part"], r["block"], r["n"], b"", pack(answer[s]), np.packbits(owner[s]).tobytes(), np.packbits(alone[inverse[s]]).tobytes(), *blank))
+            out.append((r["level"], r["part"], r["block"], r["n"], b"", pack(answer[s]), np.packbits(owner[s]).tobytes(), np.packbits(outside[inverse[s]]).tobytes(), *blank))
             at += r["n"]
         seen = total > 0
         first_row = asked[0]
@@ -430,6 +433,10 @@ class Statistics:
     def discounted(self, level: int, counts: np.ndarray) -> np.ndarray:
         return self.factors[level][np.minimum(counts, TOP + 1)] * counts
 
+    def always_discounted(self, level: int) -> bool:
+        """Whether contexts of up to ``TOP`` places always have mass left for other n-grams."""
+        return bool((self.factors[level][1 : TOP + 1] < 1 - 1e-9).all())
+
     def word(self, counts: np.ndarray) -> np.ndarray:
         """log10 probability of single words of these counts."""
         return np.log10(np.where(counts > 0, self.discounted(0, counts) / self.denominator, self.unknown))
@@ -466,26 +473,36 @@ class Scores:
     def __init__(self, block: Block, counts: list[dict], stats: Statistics):
         self.block, self.stats = block, stats
         found = Counts(block, counts)
-        self.known, self.own, self.alone = found.known, found.own, found.alone
+        self.known, self.own, self.outside, self.alone = found.known, found.own, found.outside, found.alone
         self.counts = self.known[0][block.gram[0]]
         self.log = stats.word(self.known[0])[block.gram[0]]
 
-    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Places with a context that the training documents hold and that is not alone; their contexts' keys in order, places among these, counts, whether documents not in training have them."""
+    def contexts(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a context that the training documents hold and that is sent; their contexts' keys in order, places among these, counts, whether documents not in training have them; the other places, whose contexts only training documents hold.
+
+        Those of the other places need no weight, as every n-gram after them is known, and
+        have a discounted one among these.
+        """
         block = self.block
         counts = np.append(self.known[level - 1], self.stats.documents if level == 1 else 0)
+        sent = np.append(self.outside[level - 1], True)
+        if not self.stats.always_discounted(level):
+            sent |= ~np.append(self.alone[level - 1], False)
+        sent |= counts > TOP
         below = block.context[level]
         at = block.at[level]
-        at = at[(counts[below[at]] > 0) & ~np.append(self.alone[level - 1], False)[below[at]]]
+        at = at[counts[below[at]] > 0]
+        there = sent[below[at]]
+        at, rest = at[there], at[~there]
         all_keys = np.append(block.keys[level - 1], START)
         keys, places = ranked(all_keys, below[at])
         of_each = np.zeros(len(keys), np.int64)
         of_each[places] = counts[below[at]]
-        return at, keys, places, of_each, np.bincount(places, (block.scored & ~block.train)[at], len(keys)) > 0
+        return at, keys, places, of_each, np.bincount(places, (block.scored & ~block.train)[at], len(keys)) > 0, rest
 
     def sums(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each context: its count, whether its weight is wanted, discounted counts, and lower-order probability, of the n-grams that this block sums."""
-        at, keys, inverse, counts, wanted = self.contexts(level)
+        at, keys, inverse, counts, wanted, _ = self.contexts(level)
         place = np.full(len(self.block.piece), -1)
         place[at] = inverse
         own = self.own[level]
@@ -496,18 +513,16 @@ class Scores:
 
     def climb(self, level: int, answers: list[dict]) -> None:
         """Probabilities of the next order."""
-        at, keys, inverse, counts, wanted = self.contexts(level)
+        at, keys, inverse, counts, wanted, rest = self.contexts(level)
         none, alpha = np.zeros(0), np.zeros(len(keys))
         alpha[wanted] = np.concatenate([none, *[np.frombuffer(a["a"], "<f8") for a in answers if a["a"]]])
         more = np.concatenate([none, *[np.unpackbits(np.frombuffer(a["b"], np.uint8), count=a["n"]) for a in answers]])
         seen = self.known[level][self.block.gram[level][at]]
         mass = self.stats.discounted(level, np.maximum(seen, 1))
         self.log[at] = np.where(seen > 0, np.log10(mass / (counts + more)[inverse]), alpha[inverse] + self.log[at])
-        # the only n-gram after a context that is alone
-        at = self.block.at[level]
-        at = at[np.append(self.alone[level - 1], False)[self.block.context[level][at]]]
-        mass = float(self.stats.discounted(level, np.ones(1, np.int64))[0])
-        self.log[at] = np.log10(mass / (1 + (1 - mass <= 1e-9)))
+        below = self.known[level - 1][self.block.context[level][rest]]
+        mass = self.stats.discounted(level, self.known[level][self.block.gram[level][rest]])
+        self.log[rest] = np.log10(mass / (below + (below - mass <= 1e-9 * below)))
 
 
 def _blocks_with(blocks: DataFrame, answers: list[list[DataFrame]], f, schema: str) -> DataFrame:
@@ -589,7 +604,7 @@ def score(docs: DataFrame, order: int = 2, block_tokens: int = BLOCK_TOKENS, par
     ``base_score`` is the unigram model with one added to each count;
     ``score`` the backoff model's log10 probability of the text.
     """
-    blocks = stage(encode(docs, block_tokens, order), "blocks")
+    blocks = stage_in_buckets(encode(docs, block_tokens, order), "blocks", "block")
     tokens = int(blocks.agg(F.sum("n_tokens")).first()[0] or 0)
     bits = max(0, (tokens // part_keys).bit_length())
     counts: list[DataFrame] = []

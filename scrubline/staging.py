@@ -38,3 +38,16 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
+
+
+def stage_in_buckets(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Stage ``df`` by the shuffle partition of ``key``: joins on it move the other side alone.
+
+    Buckets need a name in the catalogue; it goes at once, the files stay.
+    """
+    spark = df.sparkSession
+    name, path = f"scrubline_{uuid.uuid4().hex}", new_path(spark, label)
+    df.write.format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).saveAsTable(name)
+    staged = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return staged

@@ -78,6 +78,40 @@ def test_lone_contexts_are_not_sent(spark, monkeypatch):
     assert max(sent[1:]) < 0.7 * sent[0]
 
 
+def test_contexts_of_training_alone_are_not_sent(spark, monkeypatch):
+    """Weights are worked out for contexts that other documents hold, or that stand too often to be discounted for certain."""
+    sent = []
+    monkeypatch.setattr(katz, "weigh", lambda asked, real=katz.weigh: sent.append(asked.selectExpr("sum(n)").first()[0] or 0) or real(asked))
+    common = prose(6, 30)
+    data = [(k, f"{common} " + (prose(50 + k // 3, 80) if katz.held_out(str(k)) else " ".join(f"pair{k // 2}x{i}" for i in range(200))), "s") for k in range(30)]
+    assert any(katz.held_out(str(d)) for d, _, _ in data)
+    model = brute.Katz([(str(d), t) for d, t, _ in data], 3, katz.discounts)
+    got = {r.doc_id: r for r in katz.score(frame(spark, data), order=3, block_tokens=1000, part_keys=500).collect()}
+    assert [got[d].score for d, _, _ in data] == pytest.approx([model.score(t) for _, t, _ in data], rel=1e-9)
+    assert 0 < max(sent) < 2000  # of some 2000 words and pairs that two training documents share, none
+
+
+def test_blocks_are_not_shuffled(spark, monkeypatch):
+    """Only answers move to the blocks."""
+    plans = []
+
+    def explained(blocks, answers, f, schema, real=katz._blocks_with):
+        out = real(blocks, answers, f, schema)
+        plans.append((bool(answers), out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    monkeypatch.setattr(katz, "_blocks_with", explained)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = set(x.name for x in spark.catalog.listTables())
+        assert katz.score(frame(spark), order=3, block_tokens=1000, part_keys=500).count() == len(frame(spark).collect())
+        assert set(x.name for x in spark.catalog.listTables()) == names
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joined = [p for answered, p in plans if answered]
+    assert len(joined) == 5 and all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in joined)
+
+
 @pytest.mark.parametrize("distinct", [1, 300, 70_000])
 def test_numbers_of_which_many_are_equal(distinct):
     values = np.arange(150_000) % distinct / 7
