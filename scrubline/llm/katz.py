@@ -42,17 +42,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import in_groups, stage_and_free, utf8
+from scrubline.llm.common import in_groups, stage_and_free
 from scrubline.staging import stage_in_buckets
 
 BLOCK_TOKENS = 1 << 19
 PART_KEYS = 1 << 20
-MOST_WORDS = 400_000  # after a block, a task forgets its words beyond this
+MOST_WORDS = 400_000  # words of a block beyond this are merged where they are equal
 TOP = 5  # counts above are not discounted
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
@@ -62,16 +63,21 @@ def held_out(id_text: str | None) -> bool:
     return zlib.crc32((id_text or "").encode()) % 7 == 2
 
 
-class Numbers(dict):
-    """Numbers of the words that a task has seen, from 1 on, and their keys; 0 is the end."""
-
-    def __init__(self):
-        self.keys_of = [int(END)]
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.keys_of)
-        self.keys_of.append(xxhash.xxh64_intdigest(word))
-        return number
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of words, among them all of some texts; each text's words and its end as places among these; the tokens of each text."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.fill_null("")))
+    coded = lists.flatten().dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    keys = np.fromiter(chain((int(END),), map(xxhash.xxh64_intdigest, distinct)), np.uint64, len(distinct) + 1)
+    # white space at either end of a text leaves an empty word there
+    full = np.array([bool(w) for w in distinct], bool)[coded.indices.to_numpy()]
+    of_text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    sizes = np.bincount(of_text[full], minlength=len(texts)) + 1
+    flat = np.zeros(int(sizes.sum()), np.int64)
+    word = np.ones(len(flat), bool)
+    word[np.cumsum(sizes) - 1] = False
+    flat[word] = coded.indices.to_numpy()[full] + 1
+    return keys, flat, sizes
 
 
 def mix(context: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -133,8 +139,13 @@ def from_few(data: bytes, n: int) -> tuple[np.ndarray, int]:
 
 def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys in order, the place of each key among them, and where one of each lies."""
-    order = np.argsort(keys)
+    # places in the lowest bits; keys alike in all others are rare and may come out of order
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    order = (np.sort(keys & ~low | np.arange(len(keys), dtype=np.uint64)) & low).astype(np.int64)
     sorted_keys = keys[order]
+    if (sorted_keys[1:] < sorted_keys[:-1]).any():
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = sorted_keys[1:] != sorted_keys[:-1]
     places = np.empty(len(keys), np.int64)
@@ -168,7 +179,7 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Numbers()
+        vocabularies: list[np.ndarray] = []
         part, number, row = TaskContext.get().partitionId(), 0, TaskContext.get().partitionId() << 32
         keys: list[np.ndarray] = []
         length = 0
@@ -176,7 +187,7 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             flat = np.concatenate(keys)
-            vocabulary, tokens = ranked(np.array(known.keys_of, np.uint64), flat)
+            vocabulary, tokens = ranked(np.concatenate(vocabularies), flat)
             blob = zstandard.ZstdCompressor(level=1).compress(np.concatenate([(tokens >> s & 255).astype(np.uint8) for s in (0, 8, 16, 24)]).tobytes())
             cells = [(part << 32) + number, rows, None, held, sizes, firsts, len(vocabulary).to_bytes(8, "little") + squeeze(vocabulary), blob, len(flat)]
             kinds = [pa.int64(), pa.list_(pa.int64()), None, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.int64()]
@@ -187,14 +198,18 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
 
         for batch in in_groups(batches):
             id_texts = batch.column("id_text").to_pylist()
-            for at, text in enumerate(utf8(batch.column("text"))):
-                words = text.lower().split()
-                all_keys = np.fromiter(chain(map(known.__getitem__, words), (0,)), np.int64, len(words) + 1)
+            words, flat, many = numbered(batch.column("text"))
+            base = sum(map(len, vocabularies))
+            if base > MOST_WORDS:
+                merged, places, _ = grouped(np.concatenate(vocabularies))
+                keys, vocabularies, base = [places[k] for k in keys], [merged], len(merged)
+            vocabularies.append(words)
+            for at, text in enumerate(np.split(flat, np.cumsum(many)[:-1])):
                 out, start, row = held_out(id_texts[at]), 0, row + 1
-                while start < len(all_keys):
+                while start < len(text):
                     before = min(start, order - 1)
-                    stop = min(len(all_keys), start + max(1, block_tokens - length))
-                    keys.append(all_keys[start - before : stop])
+                    stop = min(len(text), start + max(1, block_tokens - length))
+                    keys.append(text[start - before : stop] + base)
                     length += stop - start + before
                     rows.append(row)
                     ids.append(batch.column("doc_id").slice(at, 1))
@@ -205,9 +220,7 @@ def encode(docs: DataFrame, block_tokens: int, order: int) -> DataFrame:
                     if length >= block_tokens:
                         yield flush()
                         length = 0
-                        if len(known) > MOST_WORDS:  # nothing is held now; the rest of the document is numbered anew
-                            known = Numbers()
-                            all_keys = np.fromiter(chain(map(known.__getitem__, words), (0,)), np.int64, len(words) + 1)
+                        vocabularies, base = [words], 0
                         keys, rows, ids, held, sizes, firsts, number = [], [], [], [], [], [], number + 1
         if ids:
             yield flush()

@@ -3,7 +3,9 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from scrubline.llm import katz
 from tests.llm import brute
@@ -112,6 +114,21 @@ def test_blocks_are_not_shuffled(spark, monkeypatch):
     assert len(joined) == 5 and all(p.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in p for p in joined)
 
 
+def test_words_are_numbered_as_bytes_split():
+    texts = ["left out", None, "", " ", "\n a", "A b\x0bC\x0c\r\x1cq  ", "x\x85y\u00a0z   w", "\u00c9 \u00e9\t\u00c0 \u2003", "b A b"]
+    keys, flat, sizes = katz.numbered(pa.array(texts, pa.string()).slice(1))
+    pieces = [keys[x].tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])]
+    assert pieces == [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] + [int(katz.END)] for t in texts[1:]]
+
+
+@pytest.mark.parametrize("spread", [1, 1 << 30])
+def test_groups_of_keys_alike_in_their_high_bits(spread):
+    """Places ride in the lowest bits while keys are sorted; keys that differ there alone are still apart."""
+    keys = np.random.default_rng(5).integers(0, 50, 1000).astype(np.uint64) * np.uint64(spread) + np.uint64(1 << 60)
+    distinct, places, one = katz.grouped(keys)
+    assert distinct.tolist() == sorted(set(keys.tolist())) and distinct[places].tolist() == keys.tolist() and keys[one].tolist() == distinct.tolist()
+
+
 @pytest.mark.parametrize("distinct", [1, 300, 70_000])
 def test_numbers_of_which_many_are_equal(distinct):
     values = np.arange(150_000) % distinct / 7
