@@ -37,63 +37,74 @@ LEAST = 16
 _BITS = 20
 
 
-def _code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return ((a.astype(np.uint32) * np.uint32(0x9E3779B1)) ^ (b.astype(np.uint32) * np.uint32(0x85EBCA6B))) >> np.uint32(32 - _BITS)
+def _code(pairs: np.ndarray) -> np.ndarray:
+    return ((pairs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).view(np.int64)
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, least: int = LEAST):
-    """``symbols, starts, left, right``; ``ends`` flags the last id of each document."""
-    seq, last = ids.astype(np.int32), ends.copy()
+    """``symbols, starts, left, right``; ``ends`` flags the last id of each document.
+
+    A pair that was rare once stays rare, as its places only grow fewer. So a round looks
+    only where the pair was not rare before or has a symbol of the round before in it.
+    """
+    seq, last = ids.astype(np.uint64), ends.copy()
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     rules = 0
+    live = np.ones(len(seq), bool)
     for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        a, b = seq[:-1], seq[1:]
-        code = _code(a, b)
-        inside = ~last[:-1]
-        counts = np.bincount(code[inside], minlength=1 << _BITS)
-        often = counts >= least
-        at = np.flatnonzero(often[code] & inside)
+        live[-1:] = False
+        at = np.flatnonzero(live & ~last)
+        pairs = seq[at] << np.uint64(32) | seq[at + 1]
+        here = _code(pairs)
+        often = np.bincount(here, minlength=1 << _BITS) >= least
+        keep = np.flatnonzero(often[here])
+        at, here, pairs = at[keep], here[keep], pairs[keep]
         if not len(at):
             break
         # of the pairs that share a code, the last one stands for it
-        seen = np.zeros(1 << _BITS, np.int32)
-        here = code[at]
-        seen[here] = at
-        chosen = seen[here]
-        same = (a[at] == a[chosen]) & (b[at] == b[chosen])
-        at, here = at[same], here[same]
-        exact = np.bincount(here, minlength=1 << _BITS)
-        keep = exact[here] >= least
+        chosen = np.zeros(1 << _BITS, np.uint64)
+        chosen[here] = pairs
+        same = chosen[here] == pairs
+        exact = np.bincount(here[np.flatnonzero(same)], minlength=1 << _BITS).astype(np.int32)
+        frequent = exact[here] >= least
+        live[:] = False
+        live[at[np.flatnonzero(frequent | ~same)]] = True
+        keep = np.flatnonzero(same & frequent)
         at, here = at[keep], here[keep]
         if not len(at):
-            break
-        weight = np.zeros(len(a) + 2, np.int32)
+            continue
+        weight = np.zeros(len(seq) + 1, np.int32)
         weight[at + 1] = exact[here]
         top = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2])
+        top = np.flatnonzero(top)
         at, here = at[top], here[top]
         # equal neighbours: every other one, from the left
         fresh = np.ones(len(at), bool)
         fresh[1:] = np.diff(at) > 1
         run = np.maximum.accumulate(np.where(fresh, at, 0))
         odd = (at - run) & 1 == 0
+        odd = np.flatnonzero(odd)
         at, here = at[odd], here[odd]
-        used = np.flatnonzero(np.bincount(here, minlength=1 << _BITS))
-        number = np.zeros(1 << _BITS, np.int32)
-        number[used] = base + rules + np.arange(len(used), dtype=np.int32)
-        left.append(a[seen[used]].copy())
-        right.append(b[seen[used]].copy())
+        there = np.zeros(1 << _BITS, bool)
+        there[here] = True
+        used = np.flatnonzero(there)
+        number = np.zeros(1 << _BITS, np.uint64)
+        number[used] = np.arange(base + rules, base + rules + len(used), dtype=np.uint64)
+        left.append((chosen[used] >> np.uint64(32)).astype(np.int32))
+        right.append((chosen[used] & np.uint64(0xFFFFFFFF)).astype(np.int32))
         rules += len(used)
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
         seq[at] = number[here]
         last[at] = last[at + 1]
-        seq, last = seq[stay], last[stay]
+        live[at] = True
+        live[np.maximum(at - 1, 0)] = True
+        stay = np.flatnonzero(stay)
+        seq, last, live = seq[stay], last[stay], live[stay]
     starts = np.concatenate([[0], np.flatnonzero(last) + 1]).astype(np.int64)
     empty = np.zeros(0, np.int32)
-    return seq, starts, np.concatenate([empty, *left]), np.concatenate([empty, *right])
+    return seq.astype(np.int32), starts, np.concatenate([empty, *left]), np.concatenate([empty, *right])
 
 
 def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
@@ -113,8 +124,25 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, base: int) -> np.ndar
     return sizes
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
-    """The ids that symbols stand for; any slice of a shard's symbols may be given."""
+def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int, sizes: np.ndarray | None = None) -> np.ndarray:
+    """The ids that symbols stand for; any slice of a shard's symbols may be given.
+
+    With the rules' ``sizes`` every rule is expanded once, and the symbols' ids are copied from there.
+    """
+    if sizes is None or len(symbols) <= len(left):
+        return _unfold(symbols, left, right, base)
+    rules = _unfold(np.arange(base, base + len(left), dtype=np.int32), left, right, base)
+    # an id has a place of its own in front of the rules
+    flat = np.concatenate([np.arange(base, dtype=np.int32), rules])
+    length = np.concatenate([np.ones(base, np.int32), sizes.astype(np.int32)])
+    first = np.concatenate([np.arange(base), base + np.cumsum(sizes, dtype=np.int64) - sizes])
+    n = length[symbols]
+    ends = np.cumsum(n, dtype=np.int64)
+    return flat[np.repeat(first[symbols] - ends + n, n) + np.arange(ends[-1])]
+
+
+def _unfold(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, base: int) -> np.ndarray:
+    """Each rule gives way to its two symbols until only ids are left."""
     seq = symbols
     while True:
         rule = seq >= base
@@ -191,8 +219,8 @@ def read(spark, path: str, base: int = 1 << 16) -> DataFrame:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
                 doc_ids, sizes = row.column("doc_ids").flatten(), row.column("n_tokens").flatten().to_numpy()
-                left, right, _, starts, symbols = from_body(row.column("body")[0].as_py(), row.column("n_rules")[0].as_py(), len(sizes))
-                ids = expand(symbols, left, right, base).astype("<u4").tobytes()
+                left, right, lengths, _, symbols = from_body(row.column("body")[0].as_py(), row.column("n_rules")[0].as_py(), len(sizes))
+                ids = expand(symbols, left, right, base, lengths).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 view = memoryview(ids)
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]

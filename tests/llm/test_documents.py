@@ -259,6 +259,29 @@ def test_grammar_makes_files_smaller():
     assert len(repair.compress(ids, ends, 100)[0]) < len(ids) / 20
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 3), max_size=60), min_size=1, max_size=8), st.integers(0, 4))
+def test_rules_are_expanded_once(docs, rounds):
+    """By the rules' sizes a shard's symbols become the same ids as round by round."""
+    ids = np.array([x for d in docs for x in [*d, 9]], np.int32)
+    ends = ids == 9
+    seq, _, left, right = repair.compress(ids, ends, 100, rounds, least=2)
+    sizes = repair.expansion_lengths(left, right, 100)
+    assert repair.expand(np.tile(seq, 9), left, right, 100, sizes).tolist() == ids.tolist() * 9
+
+
+def test_rounds_leave_out_pairs_that_were_rare(monkeypatch):
+    """A round looks again only at pairs that were frequent or have a new symbol."""
+    seen = []
+    monkeypatch.setattr(repair, "_code", lambda pairs, real=repair._code: seen.append(len(pairs)) or real(pairs))
+    ids = np.concatenate([np.arange(100, 10_100), np.tile([1, 2, 3, 4], 500)]).astype(np.int32)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    seq, _, left, right = repair.compress(ids, ends, 1 << 16)
+    assert repair.expand(seq, left, right, 1 << 16).tolist() == ids.tolist()
+    assert seen[0] == len(ids) - 1 and 0 < max(seen[1:]) <= 2000 and len(seq) < 10_100
+
+
 @pytest.mark.parametrize("name", [BYTE, WORD])
 def test_pieces_encode_like_whole_texts(name):
     from scrubline.llm.common import PieceEncoder, vocabulary as read
