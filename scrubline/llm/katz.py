@@ -150,7 +150,8 @@ def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = sorted_keys[1:] != sorted_keys[:-1]
     places = np.empty(len(keys), np.int64)
     places[order] = np.cumsum(new) - 1
-    return sorted_keys[new], places, order[new]
+    heads = np.flatnonzero(new)
+    return sorted_keys[heads], places, order[heads]
 
 
 def ranked(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,9 +254,10 @@ class Block:
         self.at, self.keys, self.gram, self.one = [np.arange(n)], [self.words], [token], [one]
         # the number of each place's context among the n-grams of the order below; one more for the start
         self.context = [np.zeros(0, np.int64)]
+        inner = np.flatnonzero(place > 0)
         for _ in range(2, depth + 1):
             below, known = np.full(n, -1), len(self.keys[-1])
-            below[1:][place[1:] > 0] = self.gram[-1][:-1][place[1:] > 0]
+            below[inner] = self.gram[-1][inner - 1]
             if len(self.keys) == 1:
                 below[begin] = known
             context_keys = np.append(self.keys[-1], START)
@@ -310,7 +312,7 @@ class Counts:
         got = by_level(answers)
         self.known, self.own, self.outside, self.alone = [], [], [], []
         for level, one in enumerate(block.one[: max(got) + 1]):
-            asked = ~block.after(level, self.alone[-1]) if level else np.ones(len(one), bool)
+            asked = np.flatnonzero(~block.after(level, self.alone[-1])) if level else np.arange(len(one))
             known, own, outside = np.ones(len(one), np.int64), np.ones(len(one), bool), np.zeros(len(one), bool)
             none = [np.zeros(0, np.int64)]
             known[asked] = np.concatenate([*none, *[unpack(a["a"], a["n"]) for a in got.get(level, [])]])
@@ -333,7 +335,7 @@ def ask_counts(blocks: DataFrame, answers: list[DataFrame], level: int, order: i
         block = Block(row, order, level + 1)
         keys, counts, elsewhere = block.distinct(level)
         if level:
-            sent = ~block.after(level, Counts(block, row["answers"]).alone[level - 1])
+            sent = np.flatnonzero(~block.after(level, Counts(block, row["answers"]).alone[level - 1]))
             keys, counts, elsewhere = keys[sent], counts[sent], elsewhere[sent]
         out = [(level, part, row["block"], s.stop - s.start, squeeze(keys[s]), pack(counts[s]), np.packbits(elsewhere[s]).tobytes(), b"") for part, s in cut(keys, bits)]
         if len(keys) < len(block.keys[level]):
@@ -504,9 +506,8 @@ class Scores:
         sent |= counts > TOP
         below = block.context[level]
         at = block.at[level]
-        at = at[counts[below[at]] > 0]
-        there = sent[below[at]]
-        at, rest = at[there], at[~there]
+        known, there = counts[below[at]] > 0, sent[below[at]]
+        at, rest = at[np.flatnonzero(known & there)], at[np.flatnonzero(known & ~there)]
         all_keys = np.append(block.keys[level - 1], START)
         keys, places = ranked(all_keys, below[at])
         of_each = np.zeros(len(keys), np.int64)
@@ -519,7 +520,7 @@ class Scores:
         place = np.full(len(self.block.piece), -1)
         place[at] = inverse
         own = self.own[level]
-        own = own[place[own] >= 0]
+        own = own[np.flatnonzero(place[own] >= 0)]
         mass = np.bincount(place[own], self.stats.discounted(level, self.known[level][self.block.gram[level][own]]), len(keys))
         lower = np.bincount(place[own], 10 ** self.log[own], len(keys))
         return keys, counts, wanted, mass, lower
