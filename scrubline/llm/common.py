@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,6 +130,8 @@ class PieceEncoder:
     more of it in one place, are encoded whole.
     """
 
+    group = 2 << 20
+
     def __init__(self, vocabulary_text: str, limit: int = 800_000):
         from tokenizers import Tokenizer
 
@@ -196,10 +201,151 @@ class PieceEncoder:
         return out
 
 
-def encoder(shared: dict) -> PieceEncoder:
+#: steps of the tokenizers that lower-case texts, drop white space and part letters, digits and other characters
+_WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+# Latin-1's letters are composed and have one lower case each
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_TAILS = ".,;:!?"
+
+
+def cuts_words(vocabulary_text: str) -> bool:
+    """Whether a tokenizer takes the steps above, with no added token that letters or white space may be in."""
+    spec = json.loads(vocabulary_text)
+    added = [t["content"] for t in spec["added_tokens"]]
+    return all(spec[k] == v for k, v in _WORD_STEPS.items()) and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+
+
+class WordEncoder:
+    """Encodes texts word by word, for tokenizers that ``cuts_words`` accepts.
+
+    White space is dropped there, so a text is cut at ASCII white space of any
+    kind and length. Arrow numbers the pieces of a group of texts. A piece of
+    letters, with one of ``_TAILS`` behind them at most, stands for its
+    lower-cased stem, which goes to the tokenizer's merges as it is, and the id
+    of its tail. Other pieces take all steps. The ids of up to ``limit`` stems and
+    other pieces are kept.
+    """
+
+    group = 16 << 20
+    at_once = 1 << 18
+
+    def __init__(self, vocabulary_text: str, limit: int = 800_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # a task has one core, on which threads of the library only take time from each other
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self.whole, self.merges = Tokenizer.from_str(vocabulary_text), Tokenizer.from_str(vocabulary_text)
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        written = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        # how the merges' alphabet writes the bytes of letters and of the mark between pieces
+        self.letters = {c: written(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        (self.mark,), self.mark_written = self._ids(self.whole, ["\x01"])[0], written("\x01")[0][0]
+        tails = {ord(c): ids for c, ids in zip(_TAILS, self._ids(self.whole, list(_TAILS))) if len(ids) == 1}
+        self.tails = np.full(256, -1, np.int32)
+        self.tails[list(tails)] = [ids[0] for ids in tails.values()]
+        self.word = f"^[{_LETTERS}]+[{''.join(map(chr, tails))}]?$"
+        self.limit = limit
+        self.known = pa.array([], pa.string())
+        self.flat = np.zeros(0, np.int32)
+        self.sizes = np.zeros(0, np.int32)
+
+    def _ids(self, tokenizer, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _many(self, tokenizer, mark: str, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of pieces, a thousand to a text with a mark behind each."""
+        bulk = [f" {mark} ".join([*pieces[i : i + 1000], ""]) for i in range(0, len(pieces), 1000)]
+        flat = np.fromiter(chain.from_iterable(self._ids(tokenizer, bulk)), np.int32)
+        ends = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(ends, prepend=-1) - 1
+
+    def _learn(self, new: pa.Array, stem: np.ndarray) -> np.ndarray:
+        """Encode new pieces, of which some are stems; their ids go behind those known. The result is the order they are kept in."""
+        marked = pc.match_substring(new, "\x01").to_numpy(zero_copy_only=False)
+        kinds = [np.flatnonzero(m) for m in (stem, ~stem & ~marked, marked)]
+        parts = [new.take(pa.array(k)) for k in kinds]
+        stems, others, alone = ([p.decode("utf-8", "replace") for p in x.cast(pa.binary()).to_pylist()] for x in parts)
+        single = [np.array(x, np.int32) for x in self._ids(self.whole, alone)]
+        found = [
+            self._many(self.merges, self.mark_written, [p if p.isascii() else p.translate(self.letters) for p in stems]),
+            self._many(self.whole, "\x01", others),
+            (np.concatenate([self.flat[:0], *single]), [len(x) for x in single]),
+        ]
+        self.known = pa.concat_arrays([self.known, *parts])
+        self.flat = np.concatenate([self.flat, *[ids for ids, _ in found]])
+        self.sizes = np.concatenate([self.sizes, *[np.asarray(n, np.int32) for _, n in found]])
+        return np.concatenate(kinds)
+
+    def _forget(self) -> None:
+        """Drop the pieces beyond the limit; the earliest, which recur most, stay."""
+        # concatenated, as a slice would hold on to all pieces
+        self.known = pa.concat_arrays([self.known.slice(0, self.limit), self.known.slice(0, 0)])
+        self.sizes = self.sizes[: self.limit]
+        self.flat = self.flat[: int(self.sizes.sum())].copy()
+
+    def _table(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of distinct pieces one after the other, and where each piece's start and how many they are."""
+        word = pc.match_substring_regex(pieces, self.word).to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(word), np.flatnonzero(~word)])
+        words, others = (pieces.filter(pa.array(m)) for m in (word, ~word))
+        many = len(words)
+        tail = np.full(len(pieces), -1, np.int32)
+        if many:
+            stops = np.frombuffer(words.buffers()[1], np.int32)[words.offset + 1 : words.offset + many + 1]
+            tail[:many] = self.tails[np.frombuffer(words.buffers()[2], np.uint8)[stops - 1]]
+        stems = pa.concat_arrays([pc.utf8_rtrim(pc.utf8_lower(words), _TAILS), others]).dictionary_encode()
+        stand_for = stems.indices.to_numpy()
+        place = pc.index_in(stems.dictionary, self.known).fill_null(-1).to_numpy().copy()
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            held = len(self.known)
+            stem = np.zeros(len(place), bool)
+            stem[stand_for[:many]] = True
+            place[new[self._learn(stems.dictionary.take(pa.array(new)), stem[new])]] = np.arange(held, held + len(new))
+        place = place[stand_for]
+        tailed = tail >= 0
+        n = self.sizes[place] + tailed
+        stops = np.cumsum(n, dtype=np.int64)
+        first = (np.cumsum(self.sizes, dtype=np.int64) - self.sizes)[place]
+        flat = np.append(self.flat, np.int32(0))[np.repeat(first - stops + n, n) + np.arange(n.sum())]
+        flat[stops[tailed] - 1] = tail[tailed]
+        first, size = np.empty_like(stops), np.empty_like(n)
+        first[order], size[order] = stops - n, n
+        return flat, first, size
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text."""
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))
+        pieces = cut.flatten().dictionary_encode()
+        flat, first, size = self._table(pieces.dictionary)
+        codes, bounds = pieces.indices.to_numpy(), cut.offsets.to_numpy()
+        out: list[np.ndarray] = []
+        while len(out) < len(texts):
+            low = len(out)
+            high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + self.at_once, "right")) - 1)
+            code = codes[bounds[low] : bounds[high]]
+            n = size[code]
+            stops = np.cumsum(n, dtype=np.int64)
+            ids = flat[np.repeat(first[code] - stops + n, n) + np.arange(n.sum())]
+            out += np.split(ids, np.append(0, stops)[bounds[low + 1 : high] - bounds[low]])
+        if len(self.known) > self.limit:
+            self._forget()
+        return out
+
+
+def encoder(shared: dict) -> PieceEncoder | WordEncoder:
     """The encoder of this worker process, kept beside the broadcast vocabulary from task to task."""
     if "encoder" not in shared:
-        shared["encoder"] = PieceEncoder(shared["vocabulary"])
+        shared["encoder"] = (WordEncoder if cuts_words(shared["vocabulary"]) else PieceEncoder)(shared["vocabulary"])
     return shared["encoder"]
 
 

@@ -47,50 +47,54 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     A pair that was rare once stays rare, as its places only grow fewer. So a round looks
     only where the pair was not rare before or has a symbol of the round before in it.
     """
-    seq, last = ids.astype(np.uint64), ends.copy()
+    seq, last = ids.astype(np.uint32), ends.copy()
     left: list[np.ndarray] = []
     right: list[np.ndarray] = []
     rules = 0
     live = np.ones(len(seq), bool)
+    # tables by code, made once; a round reads no more than it has written, and sets the counts back to zero
+    count, there = np.zeros(1 << _BITS, np.int32), np.zeros(1 << _BITS, bool)
+    chosen, number = np.empty(1 << _BITS, np.uint64), np.empty(1 << _BITS, np.uint32)
+    weight, one = np.zeros(len(seq) + 1, np.int32), np.int32(1)
     for _ in range(rounds):
         live[-1:] = False
         at = np.flatnonzero(live & ~last)
-        pairs = seq[at] << np.uint64(32) | seq[at + 1]
+        pairs = seq[at].astype(np.uint64)
+        pairs <<= np.uint64(32)
+        pairs |= seq[1:][at]
         here = _code(pairs)
-        often = np.bincount(here, minlength=1 << _BITS) >= least
-        keep = np.flatnonzero(often[here])
-        at, here, pairs = at[keep], here[keep], pairs[keep]
+        np.add.at(count, here, one)
+        keep = np.flatnonzero(count[here] >= least)
+        seen, at, here, pairs = here, at[keep], here[keep], pairs[keep]
         if not len(at):
             break
         # of the pairs that share a code, the last one stands for it
-        chosen = np.zeros(1 << _BITS, np.uint64)
         chosen[here] = pairs
         same = chosen[here] == pairs
-        exact = np.bincount(here[np.flatnonzero(same)], minlength=1 << _BITS).astype(np.int32)
-        frequent = exact[here] >= least
+        np.subtract.at(count, here[np.flatnonzero(~same)], one)
+        exact = count[here]
+        count[seen] = 0
+        frequent = exact >= least
         live[:] = False
         live[at[np.flatnonzero(frequent | ~same)]] = True
         keep = np.flatnonzero(same & frequent)
-        at, here = at[keep], here[keep]
+        at, here, exact = at[keep], here[keep], exact[keep]
         if not len(at):
             continue
-        weight = np.zeros(len(seq) + 1, np.int32)
-        weight[at + 1] = exact[here]
-        top = (weight[at + 1] >= weight[at]) & (weight[at + 1] >= weight[at + 2])
-        top = np.flatnonzero(top)
+        weight[1:][at] = exact
+        top = np.flatnonzero((exact >= weight[at]) & (exact >= weight[2:][at]))
+        weight[1:][at] = 0
         at, here = at[top], here[top]
         # equal neighbours: every other one, from the left
         fresh = np.ones(len(at), bool)
         fresh[1:] = np.diff(at) > 1
         run = np.maximum.accumulate(np.where(fresh, at, 0))
-        odd = (at - run) & 1 == 0
-        odd = np.flatnonzero(odd)
+        odd = np.flatnonzero((at - run) & 1 == 0)
         at, here = at[odd], here[odd]
-        there = np.zeros(1 << _BITS, bool)
         there[here] = True
         used = np.flatnonzero(there)
-        number = np.zeros(1 << _BITS, np.uint64)
-        number[used] = np.arange(base + rules, base + rules + len(used), dtype=np.uint64)
+        there[used] = False
+        number[used] = np.arange(base + rules, base + rules + len(used), dtype=np.uint32)
         left.append((chosen[used] >> np.uint64(32)).astype(np.int32))
         right.append((chosen[used] & np.uint64(0xFFFFFFFF)).astype(np.int32))
         rules += len(used)
@@ -191,7 +195,7 @@ def write(docs: DataFrame, path: str, vocabulary_path: str, end_id: int = 2, bas
             row = [pa.array([part]), pa.array([shard]), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), pa.array([sizes.tolist()], pa.list_(pa.int64())), pa.array([n_rules]), pa.array([len(flat)]), pa.array([body], pa.binary())]
             return pa.RecordBatch.from_arrays(row, ["part", "shard", "doc_ids", "n_tokens", "n_rules", "total", "body"])
 
-        for batch in in_groups(batches, most=2 << 20):
+        for batch in in_groups(batches, most=enc.group, rows=max(512, enc.group >> 10)):
             for at, found in enumerate(enc.encode(utf8(batch.column("text")))):
                 ids.append(np.append(found, np.int32(end_id)))
                 names.append(batch.column("doc_id").slice(at, 1))

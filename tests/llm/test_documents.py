@@ -1,6 +1,8 @@
 """Operators on documents against brute force, with unusual rows."""
 
 from collections import Counter, defaultdict
+from copy import copy
+from functools import cache
 
 import numpy as np
 import pytest
@@ -292,6 +294,66 @@ def test_pieces_encode_like_whole_texts(name):
     assert [g.tolist() for g in got] == [brute.encode(t, name, 0)[:-1] for t in texts]
 
 
+@cache
+def loaded():
+    from scrubline.llm.common import WordEncoder, vocabulary as read
+
+    return WordEncoder(read(vocabulary(WORD))["vocabulary"])
+
+
+def word_encoder(limit=100):
+    """One that knows nothing yet."""
+    enc = copy(loaded())
+    enc.limit = limit
+    return enc
+
+
+def test_words_are_learnt_once_in_any_case_and_before_any_mark():
+    """The registered query's encoder takes these eight pieces for one stem and two others."""
+    from scrubline.llm.common import encoder, vocabulary as read
+
+    enc = encoder(read(vocabulary(WORD)))
+    text = "Theastou theastou, THEASTOU. theastou!\ntheastou? theastou; #theastou theastou's"
+    (got,) = enc.encode([text.encode()])
+    assert got.tolist() == brute.encode(text, WORD, 0)[:-1]
+    assert sorted(enc.known.to_pylist()) == ["#theastou", "theastou", "theastou's"]
+
+
+def test_letters_and_tails_encode_like_whole_texts():
+    letters = [chr(c) for c in [*range(33, 127), *range(160, 0x250), 0x1E9E, 0x212A, 0x3A3, 0x416]]
+    texts = [f"{a}{c}{tail} {c}{tail} x{c}y\n{c}z{tail}{tail}" for c in letters for a in ("ha", "T") for tail in ("", ".", ",", "'s", "\u0308")]
+    got = word_encoder().encode([t.encode() for t in texts])
+    assert [g.tolist() for g in got] == [brute.encode(t, WORD, 0)[:-1] for t in texts]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["T", "t", "st", "ea", "\u00c9", "\u00df", "\u0130", "\u0308", "'", "s", "LL", ".", ",", "!", "7", "<|endoftext|>", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\u0085", "\u00a0", "\u2003", "\x00", "\x01", "\u4e2d", "\U0001f600"]), max_size=25).map("".join), min_size=1, max_size=6), st.integers(0, 8))
+def test_words_encode_like_whole_texts(texts, limit):
+    enc = word_encoder(limit=limit)
+    enc.at_once = 3
+    for group in (texts, texts[::-1], ["", *texts]):
+        assert [g.tolist() for g in enc.encode([t.encode() for t in group])] == [brute.encode(t, WORD, 0)[:-1] for t in group]
+        assert len(enc.known) <= limit and len(enc.sizes) == len(enc.known) and enc.sizes.sum() == len(enc.flat)
+
+
+def test_bytes_that_are_no_text():
+    texts = [b"ab\xff cd\xc3 \xe2\x80.", b"\xc3\xa9t\xc3", b"\x80"]
+    got = word_encoder().encode(texts)
+    assert [g.tolist() for g in got] == [brute.encode(t.decode("utf-8", "replace"), WORD, 0)[:-1] for t in texts]
+
+
+def test_other_tokenizers_keep_their_encoder():
+    import json
+
+    from scrubline.llm.common import PieceEncoder, cuts_words, encoder, vocabulary as read
+
+    assert type(encoder(read(vocabulary(BYTE)))) is PieceEncoder
+    spec = json.loads(read(vocabulary(WORD))["vocabulary"])
+    assert cuts_words(json.dumps(spec))
+    assert not cuts_words(json.dumps(spec | {"normalizer": None}))
+    assert not cuts_words(json.dumps(spec | {"added_tokens": [{"content": "theastou"}]}))
+
+
 # ── language model ──
 
 
