@@ -69,6 +69,11 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: li
     return big.join(small, [*keys, "_salt"], how).drop("_salt")
 
 
+def few(df: DataFrame, row_bytes: int) -> bool:
+    """Whether the rows of a stage table, counted, are within Spark's own limit for broadcasts."""
+    return df.count() * row_bytes <= df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+
+
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

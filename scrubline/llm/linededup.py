@@ -7,6 +7,8 @@ are boilerplate. The first occurrence of a boilerplate line stays, by smallest
 document id, then digest of id and text, then place; all others go. Long lines are
 passages rather than navigation, and are boilerplate on fewer sites already.
 Lines that occur fewer times than they would need sites are never sent further.
+Digests of such lines are broadcast where Spark's limit holds all of them, each once;
+more of them meet the lines in a shuffle, and none of their copies pass the driver.
 
 Results for unusual rows: a line without a word is never boilerplate; a null
 text has no lines and stays null; a null site is a site of its own; a null
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrubline.llm.common import keyed, salted_join, where_computed
+from scrubline.llm.common import few, keyed, salted_join, where_computed
 from scrubline.staging import stage
 
 WORD = "[^ \\t-\\r]"
@@ -28,6 +30,7 @@ WORD = "[^ \\t-\\r]"
 
 LONG_WORDS = 50  # a line of more words is long
 LONG_SITES = 2  # sites on which a long line is boilerplate
+DIGEST_BYTES = 24  # of a row of two digests as Spark holds it
 
 
 def line_rows(rows: DataFrame, site: str, long_words: int = LONG_WORDS) -> DataFrame:
@@ -44,6 +47,16 @@ def line_rows(rows: DataFrame, site: str, long_words: int = LONG_WORDS) -> DataF
     return flat.where(F.col("line").isNotNull()).select("k1", "k2", "doc_id", F.coalesce("site", F.lit("\0")).alias("site"), "line.*")
 
 
+def among(lines: DataFrame, digests: DataFrame, spread_by: list[str]) -> DataFrame:
+    """The rows of ``lines`` with one of ``digests``, each of which a stage table holds once.
+
+    Spark would judge a salted join by ``digests`` as stored, and broadcast the copies of each.
+    """
+    if few(digests, DIGEST_BYTES):
+        return lines.join(F.broadcast(digests), ["h1", "h2"])
+    return salted_join(lines.hint("merge"), digests, ["h1", "h2"], spread_by)
+
+
 def spread_lines(lines: DataFrame, min_sites: int, log_k: int, sigmas: float, long_sites: int = LONG_SITES) -> DataFrame:
     """``h1, h2``: lines on ``min_sites`` or more distinct sites, long ones on ``long_sites`` or more."""
     margin = lambda sites: max(1.0, sigmas * 1.04 / 2 ** (log_k / 2) * sites)
@@ -54,7 +67,7 @@ def spread_lines(lines: DataFrame, min_sites: int, log_k: int, sigmas: float, lo
     about = stage(often.where(F.col("sites") >= by_length(lambda sites: sites - margin(sites))), "sites")
     far = F.col("sites") > by_length(lambda sites: sites + margin(sites))
     near = about.where(~far).select("h1", "h2")
-    pairs = salted_join(lines.select("h1", "h2", "long", "site", "k1"), near, ["h1", "h2"], ["k1"]).select("h1", "h2", "long", "site").distinct()
+    pairs = among(lines.select("h1", "h2", "long", "site", "k1"), near, ["k1"]).select("h1", "h2", "long", "site").distinct()
     exact = pairs.groupBy("h1", "h2", "long").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("h1", "h2")
     return exact.union(about.where(far).select("h1", "h2"))
 
@@ -73,7 +86,7 @@ def remove(
     lines = stage(line_rows(rows, site, long_words), "lines")
     spread = stage(spread_lines(lines, min_sites, log_k, sigmas, long_sites), "spread")
     places = ["k1", "k2", "place"]
-    found = stage(salted_join(lines, spread, ["h1", "h2"], ["k1", "place"]).select("h1", "h2", "doc_id", *places).distinct(), "found")
+    found = stage(among(lines, spread, ["k1", "place"]).select("h1", "h2", "doc_id", *places).distinct(), "found")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *places)
     first = found.groupBy("h1", "h2").agg(F.min(order).alias("first")).select("first.k1", "first.k2", "first.place")
     gone = found.join(first, places, "left_anti").groupBy("k1", "k2").agg(F.collect_set("place").alias("gone"))

@@ -132,6 +132,31 @@ def test_documents_of_one_passage_can_stay(spark):
     assert set(left["keep"]) - set(left["drop"]) == {3000} and left["keep"][3000].startswith("b0 b1")
 
 
+@pytest.mark.parametrize(("limit", "join"), [("10m", "BroadcastHashJoin"), ("44k", "SortMergeJoin"), ("-1", "SortMergeJoin")])
+def test_salted_copies_of_lines_are_not_broadcast(spark, monkeypatch, limit, join):
+    """2000 digests of 16 bytes are below 44 KB as stored; their 16 copies are not."""
+    passage = lambda k: " ".join(f"p{k}" for _ in range(51))
+    data = [(1000 * s + i, "\n".join(passage(10 * i + j) for j in range(10)), f"s{s}") for s in range(2) for i in range(200)]
+    data += [(5000 + i, f"{passage(7)}\nown words of {i}", "s0") for i in range(300)] + [(None, None, None), (6000, "", "s1")]
+    plans, stage = {}, linededup.stage
+
+    def seen(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return stage(df, label)
+
+    monkeypatch.setattr(linededup, "stage", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        got = {r.row.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.remove(frame(spark, data)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == dict(zip((d for d, _, _ in data), brute.line_dedup(data, 5)))
+    assert sum(x[2] for x in got.values()) == 2000 + 300
+    joins = [line for label in ("spread", "found") for line in plans[label].splitlines() if "Join [h1" in line]
+    assert len(joins) == 2 and all(join in line and ("_salt" in line) == (join == "SortMergeJoin") for line in joins)
+
+
 # ── benchmark passages ──
 
 
